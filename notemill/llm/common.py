@@ -5,7 +5,11 @@ Nothing here collects rows of documents to the driver; what reaches it is bounde
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +20,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors unless their Python finds it already (PYTHONPATH or the working folder)."""
+    root = Path(sys.modules["notemill"].__file__).resolve().parents[1]
+    found = [Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    context = spark.sparkContext
+    if root in found or any(p.endswith("notemill-package.zip") for p in context._python_includes):
+        return
+    packed = os.path.join(context._temp_dir, "notemill-package.zip")  # the driver's own; Spark serves it to executors
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted((root / "notemill").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(packed)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

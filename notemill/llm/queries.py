@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import exact_dedup, mixing, sharding
+from notemill.llm import chat, exact_dedup, mixing, packing, quality, sharding, toxicity
 from notemill.llm.common import read
 
 
@@ -19,6 +19,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_conversations(chat.with_forged(read(spark, sf_dir, "conversations")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards with near equal bytes; virtual_slot is the slot that the map assigns, slot the place in the shard."""
     placed, _ = sharding.shard_documents(read(spark, sf_dir, "documents"), count=40)
@@ -28,6 +44,10 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_chat_format": op6_chat_format,
+    "op9_quality": op9_quality,
     "op10_shard": op10_shard,
 }
 
@@ -57,6 +77,20 @@ ORACLE_SQL = {
         SELECT doc_id, size, source_size, target,
                CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken
         FROM queued""",
+    "op6_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        escaped AS (
+            SELECT *, regexp_replace(replace(text, '\', '\\'), '(<|\[)(s>|/s>|/?INST\]|/?ANS\]|/?SYS\]|ROLE:|/ROLE\]|\|image:|\|audio:|\|document:)', '\1\\\2', 'g') AS body FROM turns),
+        sized AS (
+            SELECT *, length(body) + CASE role WHEN 'user' THEN 3 + 7 + 8 WHEN 'system' THEN 3 + 6 + 7 WHEN 'assistant' THEN 6 + 7 + 4
+                                     ELSE 3 + 6 + length(replace(replace(replace(coalesce(role, ''), '%', '%25'), ' ', '%20'), ']', '%5D')) + 2 + 8 END AS chars FROM escaped)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op3_exact_dedup": r"""
         WITH hashed AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
