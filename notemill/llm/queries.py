@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import chat, exact_dedup, mixing, packing, quality, sharding, toxicity
+from notemill.llm import chat, exact_dedup, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors
 from notemill.llm.common import read
 
 
@@ -15,6 +15,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans' counts and checksum, and all spans; n_* count base spans, which added ones never are."""
+    return pii.digest(pii.spans(read(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(chat.with_forged(read(spark, sf_dir, "conversations")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(read(spark, sf_dir, "documents"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,10 +56,13 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
+    "op7_minhash": op7_minhash,
+    "op8_near_vectors": op8_near_vectors,
     "op9_quality": op9_quality,
     "op10_shard": op10_shard,
 }
