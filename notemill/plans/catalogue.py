@@ -1,6 +1,9 @@
-"""All queries over the driver's tables, and each one in DuckDB SQL."""
+"""All queries over the driver's tables, and each one in DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from notemill.plans import cleanup, cohorts, evaluation, profiling
+
+MODULES = (profiling, cohorts, cleanup, evaluation)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
