@@ -107,7 +107,7 @@ def before_marker(text: Column, marker: str) -> Column:
 
 
 def contains_word(longer: Column, shorter: Column) -> Column:
-    return longer.rlike(F.concat(F.lit(r"(?U)\b\Q"), shorter, F.lit(r"\E\b")))
+    return F.rlike(longer, F.concat(F.lit(r"(?U)\b\Q"), shorter, F.lit(r"\E\b")))
 
 
 def escape_html(text: Column) -> Column:
