@@ -192,6 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["bias", "index", "weight", "rest"])
 
     got = sample.repartition(1).mapInArrow(train, "bias array<double>, index array<array<int>>, weight array<array<float>>, rest array<double>").first()
+    if got is None:  # no rows to learn from
+        none = ftrl.Sparse(0.0, np.empty(0, np.int32), np.empty(0, np.float32))
+        return Model((none, none), np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5, 0.0]), 0.0)
     rest = np.array(got["rest"])
     sparse = [ftrl.Sparse(b, np.array(i, np.int32), np.array(w, np.float32)) for b, i, w in zip(got["bias"], got["index"], got["weight"], strict=True)]
     return Model((sparse[0], sparse[1]), rest[:4].reshape(2, 2), rest[4:7], float(rest[7]))

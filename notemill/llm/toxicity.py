@@ -54,6 +54,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.index.tolist()], pa.list_(pa.int32())), pa.array([model.weight.tolist()], pa.list_(pa.float32()))], ["bias", "index", "weight"])
 
     got = sample(docs, labels, label, fit_rows, id_col, text_col).repartition(1).mapInArrow(train, "bias double, index array<int>, weight array<float>").first()
+    if got is None:  # no labelled rows at all
+        return ftrl.Sparse(0.0, np.empty(0, np.int32), np.empty(0, np.float32))
     return ftrl.Sparse(got["bias"], np.array(got["index"], np.int32), np.array(got["weight"], np.float32))
 
 
