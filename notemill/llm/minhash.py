@@ -26,6 +26,8 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Of SIZE one-bit values, a pair of similarity 0.8 differs in a tenth; beyond 5 standard deviations of that it is not verified.
 MOST_BITS = int(SIZE * 0.1 + 5 * (SIZE * 0.1 * 0.9) ** 0.5) + 1
+#: Members of one bucket that a task holds at most twice of: texts, and their shingles in all (one text may be larger).
+CHUNK_TEXTS, CHUNK_SHINGLES = 1024, 2_000_000
 _NOT_SPACE = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,6 +158,80 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
     return shared.where(F.col("both") >= F.col("either") * similarity).select("a", "b")
 
 
+def across(placed: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Links (a, b) between different components of one bucket, enough of them to join what is linked.
+
+    placed: (rep, key, component). A bucket's members meet in one task, or, in chunks of bounded size, in one task for
+    each two chunks. A pair is compared in the first bucket that it shares and only while its components are apart, so
+    a task returns fewer links than it has members.
+    """
+    needed = cut(placed.select(F.col("rep").alias("_need")).distinct())
+    bag = bags(docs.join(bounded_broadcast(needed), docs[id_col] == needed["_need"], "left_semi"), id_col, text_col).dropDuplicates(["_id"])
+    facts = texts.drop("k1", "k2")
+    sized = placed.join(facts.select("rep", "weight"), "rep")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("weight") / CHUNK_SHINGLES)).cast("int")
+    counts = cut(sized.groupBy("key").agg(chunks.alias("chunks")))
+    tasks = max(1, needed.count() // 500)
+    dealt = placed.join(counts, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    meets = F.concat(F.transform(F.sequence(F.lit(0), F.col("chunk")), lambda h: F.struct(h.alias("h"), F.col("chunk").alias("c"))), F.when(F.col("chunk") + 1 < F.col("chunks"), F.transform(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1), lambda c: F.struct(F.col("chunk").alias("h"), c.alias("c")))).otherwise(F.array().cast("array<struct<h:int,c:int>>")))
+    dealt = dealt.select("rep", "key", "component", "chunk", F.when(F.col("chunks") == 1, F.pmod("key", F.lit(tasks))).otherwise(F.lit(-1)).alias("shared"), F.explode(meets).alias("m"))
+    dealt = dealt.select("rep", "key", "component", "chunk", "m.h", "m.c", F.when(F.col("shared") >= 0, F.col("shared")).otherwise(F.xxhash64("key", "m.h", "m.c")).alias("task"))
+    bits = [c for c in facts.columns if c[0] == "b" and c != "bands"]
+    rows = dealt.join(facts, "rep").join(bag.withColumnRenamed("_id", "rep"), "rep")
+
+    def compared(table: pa.Table) -> pa.Table:
+        number = lambda name: table.column(name).to_numpy()
+        rep, key, component, chunk, h, c, weight = (number(n) for n in ("rep", "key", "component", "chunk", "h", "c", "weight"))
+        packed = np.stack([number(b) for b in bits], 1).view(np.uint64)
+        band = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        lists = table.column("bag").combine_chunks()
+        bag_of = [np.sort(lists[i].values.to_numpy()) for i in range(len(lists))]
+        order = np.lexsort((c, h, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+        cuts = np.append(np.flatnonzero(new), len(order))
+        a, b = [], []
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            group = order[s:e]
+            k, same = key[group[0]], h[group[0]] == c[group[0]]
+            left, right = group[chunk[group] == h[group[0]]], group[chunk[group] == c[group[0]]]
+            label = dict(zip(group.tolist(), np.unique(component[group], return_inverse=True)[1].tolist(), strict=True))
+            left_label, right_label = (np.array([label[i] for i in x.tolist()], np.int64) for x in (left, right))
+            for n, i in enumerate(left):
+                apart = right_label != left_label[n]
+                if same:
+                    apart[: n + 1] = False
+                j = np.flatnonzero(apart)
+                if not len(j):
+                    continue
+                other = right[j]
+                ok = np.minimum(weight[i], weight[other]) >= similarity * np.maximum(weight[i], weight[other])
+                ok &= np.bitwise_count(packed[other] ^ packed[i]).sum(1) <= MOST_BITS
+                j, other = j[ok], other[ok]
+                if not len(j):
+                    continue
+                agree = band[other] == band[i]
+                ok = band[i][agree.argmax(1)] == k
+                j, other = j[ok], other[ok]
+                if not len(j):
+                    continue
+                mine, theirs = bag_of[i], [bag_of[o] for o in other]
+                flat = np.concatenate(theirs)
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                sizes = np.array([len(x) for x in theirs])
+                both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                for t in j[both >= (len(mine) + sizes - both) * similarity]:
+                    if right_label[t] != left_label[n]:
+                        a.append(rep[i])
+                        b.append(rep[right[t]])
+                        old, to = right_label[t], left_label[n]
+                        right_label[right_label == old] = to
+                        left_label[left_label == old] = to
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return cut(rows.groupBy("task").applyInArrow(compared, "a long, b long"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id_col, class_id, copies, kept) of every row: class_id is the smallest id reachable over links.
 
@@ -165,37 +241,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same words. Null texts count as empty. Rows without an id stand alone (class_id null, kept); rows repeated with
     one id share its class. Other columns are not read. An empty table gives an empty result.
 
-    Pairs are never listed within a bucket. Distinct texts are first held against their bucket's smallest id only, so
-    that a large group of near copies becomes one component at one pair a member and band. Then only pairs of one bucket
-    that lie in different components are left to try; no link between components is lost but for the banding's miss.
+    Pairs are never listed within a bucket. Distinct texts are first held against their bucket's most central member
+    only, which makes few components of a large group of near copies at one pair a member and band. Then the members of
+    one bucket that lie in different components are compared in blocks, until they are joined or all pairs are tried; no
+    link between components is lost but for the banding's miss.
     """
     signed = cut(sign(docs, id_col, text_col))
     known = signed.where("_id is not null")
     facts = ["weight", *[c for c in signed.columns if c[0] == "b"]]
     texts = cut(known.groupBy("k1", "k2").agg(F.min("_id").alias("rep"), *[F.first(c).alias(c) for c in facts]))
     spread = texts.select("rep", F.explode("bands").alias("key"))
-    leaders = spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = cut(spread.join(leaders, "key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(spread.join(shared, "key"))
+    central = members.groupBy("rep").agg(F.sum("n").alias("met"))  # who meets most others is likeliest near them all
+    ranked = members.join(central, "rep")
+    leaders = ranked.groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("leader"))
     brief = texts.drop("bands", "k1", "k2")
     bits = [c for c in brief.columns if c[0] == "b"]
     side = lambda name: brief.select(F.col("rep").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ["weight", *bits]])
     differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits), F.lit(0))
-    near_size = F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * similarity
-    likely = near_size & (differ <= MOST_BITS)
-    to_leader = members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    likely = (F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * similarity) & (differ <= MOST_BITS)
+    to_leader = members.join(leaders, "key").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     first = cut(to_leader.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
     links = cut(verified(first, docs, id_col, text_col, similarity))
     vertices = cut(members.select(F.col("rep").alias("id")).distinct())
     joined = cut(components(vertices, links))
     placed = members.select("rep", "key").join(joined.withColumnRenamed("id", "rep"), "rep")
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = cut(placed.join(split, "key", "left_semi").join(brief, "rep"))
-    rename = lambda name: open_.select("key", F.col("rep").alias(name), F.col("component").alias(f"{name}_component"), *[F.col(c).alias(f"{name}_{c}") for c in ["weight", *bits]])
-    across = rename("a").join(rename("b"), "key").where((F.col("a") > F.col("b")) & (F.col("a_component") != F.col("b_component")) & likely)
-    second = cut(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        links = cut(links.unionByName(verified(second, docs, id_col, text_col, similarity)))
-        joined = cut(components(vertices, links))
+    open_ = cut(placed.join(split, "key", "left_semi"))
+    more = across(open_, texts, docs, id_col, text_col, similarity) if open_.limit(1).count() else None
+    if more is not None and more.limit(1).count():
+        joined = cut(components(vertices, links.unionByName(more)))
     groups = known.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
     classes = texts.select("k1", "k2", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(groups, ["k1", "k2"])
     classes = cut(classes.select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), "copies"))
