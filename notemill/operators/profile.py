@@ -37,11 +37,11 @@ def extremes(df: DataFrame, size: str, tiebreak: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
-    """Pearson correlation of each two flags, in one pass."""
+    """Pearson correlation of each two flags, in one pass; null where a flag has one value only."""
     names = list(flags)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     numbers = df.select(*[c.cast("int").alias(k) for k, c in flags.items()])
-    wide = numbers.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = numbers.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"{a}|{b}") for a, b in pairs])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("x")).select("x.*")
 
 

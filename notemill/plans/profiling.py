@@ -144,7 +144,7 @@ ORACLE_SQL = {
         SELECT doc_id, found, negated, found AND NOT negated AS affirmed FROM n""",
     "word_freq": rf"""WITH w AS (SELECT unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\s]', '', 'g'), '\s+')) AS word FROM documents)
         SELECT word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{s}'" for s in STOP)}) GROUP BY word ORDER BY n DESC, word LIMIT 15""",
-    "flag_correlation": f"WITH {_F} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}::INT, {b}::INT), 9) AS r FROM f" for i, a in enumerate(FLAGS) for b in list(FLAGS)[i + 1 :]),
+    "flag_correlation": f"WITH {_F} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}::INT, {b}::INT) / nullif(stddev_pop({a}::INT) * stddev_pop({b}::INT), 0), 9) AS r FROM f" for i, a in enumerate(FLAGS) for b in list(FLAGS)[i + 1 :]),
     "sentences": r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g') AS t FROM documents),
         s AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(t, '\n+')), '^\s+|\s+$', '', 'g') AS sentence FROM m)
         SELECT doc_id, count(*) AS n_sentences, max(length(sentence))::INTEGER AS longest, sum(length(sentence))::BIGINT AS chars FROM s WHERE length(sentence) > 10 GROUP BY doc_id""",
