@@ -75,10 +75,11 @@ def top_per_stratum(df: DataFrame, strata: Mapping[str, Column], order: Sequence
     """
     named = F.filter(F.array(*[F.when(c, F.lit(s)) for s, c in strata.items()]), lambda x: x.isNotNull())
     rows = df.withColumn("stratum", F.explode(named)).withColumn("_preferred", F.lit(0) if prefer is None else F.when(prefer, 0).otherwise(1))
-    return _first(rows, ["stratum"], [F.col("_preferred"), *order], F.lit(n)).drop("_preferred")
+    return first_rows(rows, ["stratum"], [F.col("_preferred"), *order], F.lit(n)).drop("_preferred")
 
 
-def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most: Column, parts: int = 64, rank: str = "rank") -> DataFrame:
+def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most: Column, parts: int = 64, rank: str = "rank") -> DataFrame:
+    """The first `most` rows of each key: first within hash parts of it, so that no key is ordered whole in one task."""
     part = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if not c.startswith("_")]), F.lit(parts))
     local = rows.withColumn("_part", part).withColumn("_most", most)
     local = local.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where("_n <= _most")
@@ -87,7 +88,7 @@ def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most:
 
 def stratified(df: DataFrame, keys: Sequence[str], quota: DataFrame, order: Sequence[Column]) -> DataFrame:
     """quota rows (keys, quota; a small table) of each stratum, in an order that should be a hash of the row's id."""
-    return _first(df.join(F.broadcast(quota), list(keys)), keys, order, F.col("quota"))
+    return first_rows(df.join(F.broadcast(quota), list(keys)), keys, order, F.col("quota"))
 
 
 def filled_from_neighbours(df: DataFrame, class_col: str, bin_col: str, quota: Mapping[str, int], neighbours: Mapping[str, Sequence[str]], order: Sequence[Column]) -> DataFrame:
@@ -102,7 +103,7 @@ def filled_from_neighbours(df: DataFrame, class_col: str, bin_col: str, quota: M
         for i, other in enumerate(neighbours.get(target, ()), 1):
             preference = preference.when(F.col(bin_col) == other, i)
         rows = left.withColumn("_preferred", preference).where("_preferred is not null")
-        got = _first(rows, [class_col], [F.col("_preferred"), *order], F.lit(n)).drop("_preferred").withColumn("picked_for", F.lit(target))
+        got = first_rows(rows, [class_col], [F.col("_preferred"), *order], F.lit(n)).drop("_preferred").withColumn("picked_for", F.lit(target))
         picked = got if picked is None else picked.unionByName(got)
     return picked
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import lexicons, text
+from notemill.operators.cohort import first_rows
 
 LONG = ("record_id", "category", "pos", "entity")
 
@@ -129,7 +130,6 @@ def layer_counts(entities: DataFrame, examples: int = 5) -> DataFrame:
     vital = (F.col("category") == "laboratory_or_test_result") & F.col("key").rlike(f"(?iU){lexicons.VITALS}")
     layer = F.when(imaging, "imaging").when(vital, "vitals")
     touched = marked.withColumn("layer", layer).where("layer is not null")
-    order = Window.partitionBy("layer").orderBy("record_id", "pos", "entity")
     counts = touched.groupBy("layer").agg(F.count("*").alias("n"))
-    shown = touched.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= examples)
+    shown = first_rows(touched, ["layer"], [F.col("record_id"), F.col("pos"), F.col("entity")], F.lit(examples))
     return counts.join(shown.groupBy("layer").agg(F.sort_array(F.collect_list("entity")).alias("examples")), "layer", "left")

@@ -68,6 +68,6 @@ def agreement(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     cols = cells.groupBy(*by, F.col(b).alias("v")).agg(F.sum("n").alias("y"))
     total = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"))
     chance = rows.join(cols, [*by, "v"]).groupBy(*by).agg(F.sum(F.col("x") * F.col("y")).alias("expected"))
-    joined = total.join(chance, list(by)) if by else total.crossJoin(chance)
+    joined = total.join(chance, list(by)) if by else total.join(chance, F.lit(True))  # one row each
     observed, expected = F.col("same") / F.col("n"), F.col("expected") / (F.col("n") * F.col("n"))
     return joined.select(*by, "n", F.round(observed, 4).alias("agreement"), F.round(F.try_divide(observed - expected, 1 - expected), 4).alias("kappa"))

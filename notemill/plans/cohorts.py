@@ -66,9 +66,8 @@ def topn_per_stratum(spark, d):
 
 def strat_sample(spark, d):
     binned = documents(spark, d).select("doc_id", "lang", cohort.size_bin(F.length("text")).alias("bin"))
-    quota = spark.createDataFrame([("short", 6), ("medium", 3), ("long", 1)], "bin string, quota int")
-    langs = spark.createDataFrame([(x,) for x in ("en", "fr", "de", "es")], "lang string")
-    return cohort.stratified(binned, ["lang", "bin"], langs.join(quota, how="cross"), [_order(), F.col("doc_id")]).select("lang", "bin", "doc_id", "rank")
+    quota = spark.createDataFrame([(x, b, n) for x in ("en", "fr", "de", "es") for b, n in (("short", 6), ("medium", 3), ("long", 1))], "lang string, bin string, quota int")
+    return cohort.stratified(binned, ["lang", "bin"], quota, [_order(), F.col("doc_id")]).select("lang", "bin", "doc_id", "rank")
 
 
 def sample_shortage(spark, d):
