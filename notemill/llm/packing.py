@@ -21,7 +21,7 @@ from notemill.llm.common import cut, spread_rank
 
 CAPACITY = 2048
 #: Words whose ids a Python worker keeps; beyond them a word is encoded again. About 170 bytes each.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 120_000
 #: The printable stand-ins that byte-level vocabularies use for bytes: printable Latin-1 as it is, others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
