@@ -164,7 +164,7 @@ def cotrain(features: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndar
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int = 4000, rounds: int = 3, passes: int = 3, exchange: float = 0.5, keep: float = 0.999, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, pool_rows: int = 3000, rounds: int = 3, passes: int = 3, exchange: float = 0.5, keep: float = 0.999, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Model:
     """A model from bounded samples, the rows whose ids have the smallest hashes. Without labelled rows it keeps all.
 
     keep: share of the labelled good documents, of those set apart, that the threshold must keep.
