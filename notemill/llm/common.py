@@ -5,7 +5,11 @@ Nothing here collects rows of documents to the driver; what reaches it is bounde
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +27,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: What this Python worker keeps from task to task: workers outlive a stage, and the next one needs their memory.
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """make()'s value, kept in this Python worker until a task wants another or none."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Returns the memory of what earlier tasks kept or freed."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
     context = spark.sparkContext

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import wordhash
-from notemill.llm.common import bounded_broadcast, components, cut
+from notemill.llm.common import bounded_broadcast, components, cut, let_go
 
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 6) ** 32, less than 1 in 10,000.
@@ -112,6 +112,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bits = [f"b{i}" for i in range(-(-SIZE // 64))]
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for first, count, data, offsets in _texts(batch):
                 h, r, k1, k2 = shingles(data, offsets)

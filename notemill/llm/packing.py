@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import cut, spread_rank
+from notemill.llm.common import cut, held, spread_rank
 
 CAPACITY = 2048
 #: Words whose ids a Python worker keeps; beyond them a word is encoded again. About 170 bytes each.
@@ -67,9 +67,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
-_word_ids: dict[str, WordIds] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids]) of every document's ids and end_id, cut only beyond capacity.
 
@@ -83,8 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids.setdefault(path, None) or _word_ids.setdefault(path + "#", WordIds(path))
-        _word_ids[path] = words
+        words = held(path, lambda: WordIds(path))
         for batch in batches:
             at, number, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

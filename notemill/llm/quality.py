@@ -3,8 +3,8 @@
 The text view sees words and word shapes; the metadata view sees source, language, length and layout. Over rounds each
 adds its most confident guesses on unlabelled documents to the other's training set. Both are then calibrated on
 labelled documents that neither learnt from, and a small logistic regression over the two calibrated scores is the
-result. Fitting reads bounded samples (fit_rows labelled, pool_rows unlabelled rows) in one task; scoring is one
-narrow pass over all rows.
+result. Every round scores all unlabelled documents in one narrow pass; only what is learnt from is bounded (fit_rows
+labelled rows and, by pool_rows, the pseudo-labels that are retained) and is learnt in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import ftrl, wordhash
+from notemill.llm.common import cut, let_go
 from notemill.llm.toxicity import _WORD
 
 _NOT_SPACE = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
@@ -26,6 +27,8 @@ _LINE = np.array([i != 10 for i in range(256)])
 #: Upper case A, lower case and other scripts a, digits 0, white space as it is, each sign itself.
 _CLASS = np.array([65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i > 127 else 48 if 48 <= i <= 57 else i for i in range(256)], np.uint8)
 _SHIFT = np.uint64(64 - ftrl.BITS)
+#: A guess on an unlabelled document is confident from this logit on (a probability of 0.95), or from its negative down.
+SURE = float(np.log(0.95 / 0.05))
 
 
 def _feature(name: str, bins: np.ndarray) -> np.ndarray:
@@ -125,34 +128,24 @@ def _logit_fit(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
     return w
 
 
-def cotrain(features: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray, rounds: int, passes: int, exchange: float, keep: float) -> Model:
-    """labels: 1, 0, or -1 if unknown. A fifth of the labelled rows is only for calibration."""
+def learn(features: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray, given: tuple[np.ndarray, np.ndarray], passes: int, keep: float) -> Model:
+    """One round. labels: 1, 0, or -1 if unknown; given: each view's pseudo-labels likewise.
+
+    A fifth of the labelled rows is only for calibration.
+    """
     known = np.flatnonzero(labels >= 0)
     check, taught = known[::5], np.setdiff1d(known, known[::5])
-    pool = np.flatnonzero(labels < 0)
-    given = [dict(zip(taught.tolist(), labels[taught].tolist(), strict=True)) for _ in range(2)]
     models: list[ftrl.Sparse] = []
+    for view in range(2):
+        rows = np.union1d(taught, np.flatnonzero((labels < 0) & (given[view] >= 0)))
+        y = np.where(labels >= 0, labels, given[view])[rows].astype(float)
+        trust = np.where(labels[rows] >= 0, 1.0, 0.5)
+        models.append(ftrl.Ftrl(l1=0.5).fit([features[view][i] for i in rows], y, passes, importance=trust).sparse())
 
     def logits(view: int, rows: np.ndarray) -> np.ndarray:
         table, bias = models[view].table(), models[view].bias
         return np.array([table[features[view][i]].sum() + bias for i in rows])
 
-    for turn in range(rounds + 1):
-        models = []
-        for view in range(2):
-            rows = sorted(given[view])
-            trust = np.array([1.0 if labels[i] >= 0 else 0.5 for i in rows])
-            learner = ftrl.Ftrl(l1=0.5).fit([features[view][i] for i in rows], np.array([given[view][i] for i in rows], float), passes, importance=trust)
-            models.append(learner.sparse())
-        if turn == rounds or not len(pool):
-            break
-        for view in range(2):
-            p = ftrl.logistic(logits(view, pool))
-            many = max(1, int(exchange * len(pool) / rounds))
-            sure = [(1, pool[np.argsort(-p, kind="stable")[:many]][np.sort(-p, kind="stable")[:many] <= -0.95]), (0, pool[np.argsort(p, kind="stable")[:many]][np.sort(p, kind="stable")[:many] <= 0.05])]
-            for label, rows in sure:
-                for i in rows.tolist():
-                    given[1 - view].setdefault(i, label)
     y = labels[check].astype(float)
     both = np.stack([logits(v, check) for v in range(2)], 1) if len(check) else np.zeros((0, 2))
     one = np.ones((len(check), 1))
@@ -164,42 +157,114 @@ def cotrain(features: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndar
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, pool_rows: int = 3000, rounds: int = 3, passes: int = 3, exchange: float = 0.5, keep: float = 0.999, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Model:
-    """A model from bounded samples, the rows whose ids have the smallest hashes. Without labelled rows it keeps all.
-
-    keep: share of the labelled good documents, of those set apart, that the threshold must keep.
-    """
-    known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").cast("int").alias("_label"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    smallest = lambda df, n: df.orderBy(F.xxhash64("_id", F.lit(13)), "_id").limit(n)
-    unknown = ids.join(known, "_id", "left_anti").withColumn("_label", F.lit(-1))
-    chosen = F.broadcast(smallest(known.join(ids, "_id", "left_semi"), fit_rows).unionByName(smallest(unknown, pool_rows)))  # at most fit_rows + pool_rows narrow rows
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """What the views read, with a key that equal rows share: they have equal features."""
     columns = [F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(source_col).cast("string").alias("_source"), F.col(lang_col).cast("string").alias("_lang")]
-    sample = docs.select(*columns).join(chosen, "_id")
+    return docs.select(*columns).withColumn("_key", F.xxhash64("_id", F.coalesce("_text", F.lit("\0")), F.coalesce("_source", F.lit("\0")), F.coalesce("_lang", F.lit("\0"))))
 
-    def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, text, meta, y = [], [], [], []
+
+def _features(rows: DataFrame) -> DataFrame:
+    """(_key, _label, _features: of the text view, of the metadata view) of keyed rows with _label, made where the rows are."""
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        kind = pa.list_(pa.list_(pa.int32()))
         for batch in batches:
+            both = []
             for _, count, a, b in views(batch):
-                text += ftrl.per_row(*a, count)
-                meta += ftrl.per_row(*b, count)
-            ids += batch.column("_id").cast(pa.string()).to_pylist()
+                both += [[x, y] for x, y in zip(ftrl.per_row(*a, count), ftrl.per_row(*b, count), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_label"), pa.array(both, kind)], ["_key", "_label", "_features"])
+
+    return rows.mapInArrow(made, "_key long, _label int, _features array<array<int>>")
+
+
+def _learnt(rows: DataFrame, given: list[dict[int, int]], passes: int, keep: float) -> Model | None:
+    """A model of the rows that _features() made, in one task. given: by key, each view's pseudo-labels. None without rows."""
+
+    def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        keys, y, both = [], [], ([], [])
+        for batch in batches:
+            keys += batch.column("_key").to_pylist()
             y += batch.column("_label").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (hash_bytes(ids[i].encode()), len(text[i])))
-        m = cotrain(([text[i] for i in order], [meta[i] for i in order]), np.array([y[i] for i in order], int), rounds, passes, exchange, keep)
+            lists = batch.column("_features").flatten()  # two a row
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            for i in range(len(lists)):
+                both[i % 2].append(flat[ends[i] : ends[i + 1]].copy())
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], len(both[0][i])))
+        theirs = tuple(np.array([g.get(keys[i], -1) for i in order], int) for g in given)
+        m = learn(([both[0][i] for i in order], [both[1][i] for i in order]), np.array([y[i] for i in order], int), theirs, passes, keep)
         row = [[float(v.bias) for v in m.views], [v.index.tolist() for v in m.views], [v.weight.tolist() for v in m.views], [*m.scale.ravel().tolist(), *m.mix.tolist(), m.threshold]]
         kinds = [pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.float32())), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["bias", "index", "weight", "rest"])
 
-    got = sample.repartition(1).mapInArrow(train, "bias array<double>, index array<array<int>>, weight array<array<float>>, rest array<double>").first()
-    if got is None:  # no rows to learn from
-        none = ftrl.Sparse(0.0, np.empty(0, np.int32), np.empty(0, np.float32))
-        return Model((none, none), np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5, 0.0]), 0.0)
+    got = rows.repartition(1).mapInArrow(train, "bias array<double>, index array<array<int>>, weight array<array<float>>, rest array<double>").first()
+    if got is None:
+        return None
     rest = np.array(got["rest"])
     sparse = [ftrl.Sparse(b, np.array(i, np.int32), np.array(w, np.float32)) for b, i, w in zip(got["bias"], got["index"], got["weight"], strict=True)]
     return Model((sparse[0], sparse[1]), rest[:4].reshape(2, 2), rest[4:7], float(rest[7]))
 
 
+def _logits(batch: pa.RecordBatch, model: Model, tables: list[np.ndarray]) -> np.ndarray:
+    logits = np.zeros((batch.num_rows, 2))
+    for first, count, a, b in views(batch):
+        for v, (rows, index) in enumerate((a, b)):
+            logits[first : first + count, v] = ftrl.summed(rows, index, tables[v], count) + model.views[v].bias
+    return logits
+
+
+def _guesses(keyed: DataFrame, model: Model, known: DataFrame) -> DataFrame:
+    """(_key, _view0, _view1): each view's logit for every keyed row whose id is not among the known ones."""
+
+    def guessed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        tables = [v.table() for v in model.views]
+        for batch in batches:
+            logits = _logits(batch, model, tables)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(logits[:, 0]), pa.array(logits[:, 1])], ["_id", "_key", "_view0", "_view1"])
+
+    all_rows = keyed.mapInArrow(guessed, f"_id {keyed.schema['_id'].dataType.simpleString()}, _key long, _view0 double, _view1 double")
+    return all_rows.join(known, "_id", "left_anti").drop("_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int = 4000, rounds: int = 3, passes: int = 3, exchange: float = 0.5, keep: float = 0.999, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Model:
+    """A model from the labelled rows whose ids have the smallest hashes and from all unlabelled rows' best guesses.
+
+    Each round all unlabelled rows are scored, rows without an id among them, and each view gives the other its most
+    confident new guesses of either label: exchange x pool_rows / rounds of each at most, and no larger a share of
+    fewer unlabelled rows than pool_rows. Without labelled rows the model keeps all.
+    keep: share of the labelled good documents, of those set apart, that the threshold must keep.
+    """
+    known = cut(labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").cast("int").alias("_label")))
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    chosen = known.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(13)), "_id").limit(fit_rows)  # narrow rows
+    keyed = _keyed(docs, id_col, text_col, source_col, lang_col)
+    rows = cut(_features(keyed.join(F.broadcast(chosen), "_id")))
+    given: list[dict[int, int]] = [{}, {}]
+    model = _learnt(rows, given, passes, keep)
+    if model is None:  # no rows to learn from
+        none = ftrl.Sparse(0.0, np.empty(0, np.int32), np.empty(0, np.float32))
+        return Model((none, none), np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5, 0.0]), 0.0)
+    for _ in range(rounds):
+        guesses = cut(_guesses(keyed, model, known.select("_id")))
+        many = max(1, int(exchange * min(pool_rows, guesses.limit(pool_rows).count()) / rounds))
+        before = given[0].keys() | given[1].keys()
+        for view in range(2):
+            taken, logit = given[1 - view], F.col(f"_view{view}")
+            picked: list[tuple[int, int]] = []
+            for label, sure in ((1, logit), (0, -logit)):
+                best = guesses.where(sure >= SURE).groupBy("_key").agg(F.max(sure).alias("_sure")).orderBy(F.desc("_sure"), "_key").limit(many + len(taken)).collect()  # bounded by pool_rows
+                picked += [(r["_key"], label) for r in best if r["_key"] not in taken][:many]
+            taken.update(picked)
+        new = sorted((given[0].keys() | given[1].keys()) - before)
+        if new:
+            theirs = docs.sparkSession.createDataFrame([(k, -1) for k in new], "_key long, _label int")
+            rows = rows.unionByName(cut(_features(keyed.join(F.broadcast(theirs), "_key").dropDuplicates(["_key"]))))
+        model = _learnt(rows, given, passes, keep)
+    return model
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", only: list[str] | None = None) -> DataFrame:
     """docs (or its columns `only`) with _quality, the probability that the page is good.
 
@@ -209,13 +274,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", source_col: str
     taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("_text"), F.col(source_col).cast("string").alias("_source"), F.col(lang_col).cast("string").alias("_lang"))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         tables = [v.table() for v in model.views]
         for batch in batches:
-            logits = np.zeros((batch.num_rows, 2))
-            for first, count, a, b in views(batch):
-                for v, (rows, index) in enumerate((a, b)):
-                    logits[first : first + count, v] = ftrl.summed(rows, index, tables[v], count) + model.views[v].bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(model.scores(logits))], [*kept, "_quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(model.scores(_logits(batch, model, tables)))], [*kept, "_quality"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[: len(kept)])
     return taken.mapInArrow(scored, f"{schema}, _quality double")

@@ -230,6 +230,24 @@ def test_quality_keeps_good_pages(labelled, empty):
     assert quality.quality(empty, labels).count() == 0
 
 
+def test_quality_learns_from_unlabelled_rows_outside_any_sample(spark, labelled):
+    docs, labels, rows = labelled
+    poor = [r[1].replace("\n", " ") for i, r in rows.items() if i is not None and i < 600 and "!!" in (r[1] or "")]
+    last = [r["id"] for r in spark.range(20_000, 21_000).orderBy(F.xxhash64("id", F.lit(13)).desc()).limit(60).collect()]
+    rare = spark.createDataFrame([(i, poor[k], "en", "rare", 0) for k, i in enumerate(last)], docs.schema)
+    model = quality.fit(docs.unionByName(rare), labels.where("doc_id < 600"), pool_rows=240)
+    source = quality._feature("source", np.array([quality.hash_bytes(b"rare")]))[0]
+    assert model.views[1].table()[source] < 0
+
+
+def test_worker_keeps_one_cache(spark):
+    assert common.held("a", dict) is common.held("a", dict)
+    common.held("b", list)
+    assert list(common._held) == ["b"]
+    common.let_go()
+    assert not common._held
+
+
 # chat
 
 
