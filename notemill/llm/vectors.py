@@ -118,10 +118,10 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, sample_rows: int = 2048, cell_rows: int = 8192, most_pivots: int = 256, chunk_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors of another
-    length than most have; rows without an id have component_id null and are kept. Repeated rows are vectors of their
-    own and link with each other, but share their id's component and its count. Other columns are not read. An empty
-    table gives an empty result.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing, others with those of their own
+    length, each length in a join of its own; rows without an id have component_id null and are kept. Repeated rows are
+    vectors of their own and link with each other, but share their id's component and its count. Other columns are not
+    read. An empty table gives an empty result.
 
     What the blocks must compare depends on the data: for vectors without any structure a block's radius is near its
     spread and most cells border on each other, so work is a shrinking share of all pairs but grows with their number.
@@ -130,18 +130,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, sampl
     plain = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = vectors.where(F.col(id_col).isNotNull() & value.isNotNull() & plain & F.exists(value, lambda x: x != 0))
     taken = cut(usable.select(F.col(id_col).cast("long").alias("_id"), value.cast("array<double>").alias("_v"), F.monotonically_increasing_id().alias("_row")))
-    sizes = taken.groupBy(F.size("_v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    sizes = taken.groupBy(F.size("_v").alias("dim")).count().where("count > 1").orderBy("dim").collect()  # one row a length
     all_ids = vectors.select(F.col(id_col), F.col(id_col).cast("long").alias("_id"))
-    if sizes is None:
-        linked = taken.sparkSession.createDataFrame([], "id long, n_links long, component long")
-    else:
-        linked = _linked(taken.where(F.size("_v") == sizes["dim"]), sizes["dim"], sizes["count"], cosine, blocks, sample_rows, cell_rows, most_pivots, chunk_rows)
+    pairs = taken.sparkSession.createDataFrame([], "_id long, links long, root long")
+    for r in sizes:
+        pairs = pairs.unionByName(_pairs(taken.where(F.size("_v") == r["dim"]), r["dim"], r["count"], cosine, min(blocks, r["dim"]), sample_rows, cell_rows, most_pivots, chunk_rows))
+    links = cut(pairs.groupBy(F.col("_id").alias("id")).agg(F.sum("links").alias("n_links")))
+    joined = components(links, pairs.select(F.col("_id").alias("a"), F.col("root").alias("b")))
+    linked = links.join(joined, "id").select("id", "n_links", "component")
     found = all_ids.join(linked.withColumnRenamed("id", "_id"), "_id", "left")
     component = F.coalesce("component", "_id")
     return found.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
 
 
-def _linked(taken: DataFrame, dim: int, count: int, cosine: float, blocks: int, sample_rows: int, cell_rows: int, most_pivots: int, chunk_rows: int) -> DataFrame:
+def _pairs(taken: DataFrame, dim: int, count: int, cosine: float, blocks: int, sample_rows: int, cell_rows: int, most_pivots: int, chunk_rows: int) -> DataFrame:
+    """(_id, links, root) by task: how many links it found for an id, and an id that these links lead to."""
     sample = taken.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_v").collect()  # sample_rows vectors at most
     sample = np.array([r["_v"] for r in sample], np.float64)
     plan = Plan(sample / np.sqrt((sample * sample).sum(1, keepdims=True)), cosine, blocks, max(1, min(most_pivots, -(-count // cell_rows))))
@@ -187,10 +190,7 @@ def _linked(taken: DataFrame, dim: int, count: int, cosine: float, blocks: int,
         some = np.flatnonzero(many)
         return pa.table({"_id": ids[some], "links": many[some], "root": ids[forest(a, b, len(ids))][some]}, schema=pa.schema([("_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
-    found = cut(rows.groupBy("block", "cell", "h", "c").applyInArrow(compared, "_id long, links long, root long"))
-    links = cut(found.groupBy(F.col("_id").alias("id")).agg(F.sum("links").alias("n_links")))
-    joined = components(links, found.select(F.col("_id").alias("a"), F.col("root").alias("b")))
-    return links.join(joined, "id").select("id", "n_links", "component")
+    return cut(rows.groupBy("block", "cell", "h", "c").applyInArrow(compared, "_id long, links long, root long"))
 
 
 def _single(taken: DataFrame) -> bool:

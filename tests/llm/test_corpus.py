@@ -382,6 +382,26 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_each_length_link(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, many in ((1, 6), (2, 20), (3, 20), (12, 30), (16, 60)):
+        base = rng.normal(size=(many // 2, dim))
+        rows += [[float(x) for x in v] for v in np.vstack([base, base + rng.normal(size=base.shape) * 0.1])]
+    rows = list(enumerate(rows))
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame([*rows, (0, rows[-1][1])], "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in [*rows, rows[-1]]]
+    ids = [*range(len(rows)), 0]
+    many, label = dict.fromkeys(ids, 0), {i: i for i in ids}
+    edges = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(len(ids)) if i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
+    for a, _ in edges:
+        many[a] += 1
+    for _ in range(len(rows)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (many[i], label[i]) for i in many}
+
+
 # personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
