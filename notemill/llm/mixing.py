@@ -2,8 +2,9 @@
 
 Every shuffled document, once for each pass over its source that the mix may make, gets a virtual finish time: the words
 of its source up to and including it, divided by the source's target. The stream is all sources merged by that time
-(one global range sort) and truncated at the total budget. At the cut every source is served for the same virtual
-time, so the one document of a source that is in service is taken up to the word its share reaches.
+and truncated at the total budget. At the cut every source is served for the same virtual time, so the cut is computed
+per source: the one document of a source that is in service is taken up to the word its share reaches. mix_stream's
+global range sort only orders its rows; mix_documents does not keep that order.
 """
 
 from __future__ import annotations
