@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notemill.session import ship
 
@@ -29,6 +31,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 #: What this Python worker keeps from task to task: workers outlive a stage, and the next one needs their memory.
 _held: dict[str, Any] = {}
+#: Rows and bytes of an Arrow batch of texts, where the session has Spark's own defaults (10,000 rows of any length).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
 
 
 def held(name: str, make: Callable[[], Any]) -> Any:
@@ -44,18 +48,44 @@ def let_go() -> None:
     if _held:
         _held.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the system: the JVM beside this worker has use for it."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+def map_texts(df: DataFrame, run: Callable[[Iterable], Iterator], schema: str, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema) in small batches, from a worker without what earlier tasks left, unless run keeps it."""
+    conf = df.sparkSession.conf
+    for key, (default, ours) in BATCH.items():
+        if conf.get(key, default) == default:
+            conf.set(key, ours)
+
+    def tidy(batches: Iterable) -> Iterator:
+        if not keeps:
+            let_go()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and all runs on this machine, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not given and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="notemill-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -76,47 +106,95 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return size
 
 
-def spread_rank(df: DataFrame, keys: list[str], order: list[Column], rows: int, name: str = "_rank", weight: str | None = None, bucket: Column | None = None, per_bucket: int = 8192) -> DataFrame:
-    """Adds the running rank (from 0) of each row within keys, or with weight the sum of weight before it.
+def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "_rank", weight: str | None = None, bucket: Column | None = None, per_bucket: int = 1024, most_buckets: int = 65536) -> DataFrame:
+    """Adds the running rank (from 0) of each row of df (a cut table) within keys, or with weight the sum of weight before it.
 
-    Two levels, so that a key with any share of the rows is spread over tasks: rows are dealt into buckets within
-    the key, buckets are summed and prefix-summed (one row a bucket), and only a bucket is ordered in a window.
-    bucket: a value in [0, 65536) that is monotone in order; without it any hash of the order columns, which ranks
-    rows within a key in an arbitrary but repeatable order. Keys must not be null.
+    Two levels, so that a key with any share of the rows is spread over tasks: a key's rows are dealt into as many
+    buckets as their number asks for, buckets are summed and prefix-summed (one row a bucket), and only a bucket is
+    ordered in a window. bucket: a value in [0, 65536) that is monotone in order; without it any hash of the order
+    columns, which ranks rows within a key in an arbitrary but repeatable order. Keys must not be null.
     """
-    buckets = power_of_two(rows / per_bucket, 1, 65536)
-    at = F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else F.floor(bucket * buckets / 65536)
-    dealt = df.withColumn("_bucket", at.cast("int"))
+    if keys:
+        wanted = F.least(F.lit(most_buckets), F.ceil(F.count("*") / per_bucket)).cast("int").alias("_rank_buckets")
+        sized = df.join(bounded_broadcast(cut(df.groupBy(*keys).agg(wanted))), keys)
+    else:
+        sized = df.withColumn("_rank_buckets", F.lit(max(1, min(most_buckets, -(-df.count() // per_bucket)))))
+    at = F.pmod(F.xxhash64(*order), F.col("_rank_buckets")) if bucket is None else F.floor(bucket * F.col("_rank_buckets") / 65536)
+    dealt = sized.withColumn("_rank_bucket", at.cast("int")).drop("_rank_buckets")
     value = F.lit(1).cast("long") if weight is None else F.col(weight)
-    sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long"))).drop("_sum"))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0).cast("long")))
-    return inside.join(bounded_broadcast(sums), [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
+    sums = dealt.groupBy(*keys, "_rank_bucket").agg(F.sum(value).alias("_rank_sum"))
+    before = Window.partitionBy(*keys).orderBy("_rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(sums.withColumn("_rank_before", F.coalesce(F.sum("_rank_sum").over(before), F.lit(0).cast("long"))).drop("_rank_sum"))
+    inner = Window.partitionBy(*keys, "_rank_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("_rank_inside", F.coalesce(F.sum(value).over(inner), F.lit(0).cast("long")))
+    return inside.join(bounded_broadcast(sums), [*keys, "_rank_bucket"]).withColumn(name, F.col("_rank_before") + F.col("_rank_inside")).drop("_rank_bucket", "_rank_before", "_rank_inside")
+
+
+def hot_keys(df: DataFrame, key: str, per_salt: int = 512) -> DataFrame:
+    """(key, _salts) of the keys with more than per_salt rows in df (a cut table): at most BROADCAST_ROWS rows."""
+    each = max(per_salt, -(-df.count() // BROADCAST_ROWS))
+    salts = F.ceil(F.count("*") / each).cast("int")
+    return F.broadcast(cut(df.groupBy(key).agg(salts.alias("_salts")).where("_salts > 1")))
+
+
+def salted(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """df with _salt, by which a hot key's rows are dealt out."""
+    return df.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+
+
+def copied(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """df, which has one row a key, with a row for each _salt of the key."""
+    return df.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left (a cut table) joined with right, which has one row a key, however many rows of left share one."""
+    hot = hot_keys(left.select(key), key)
+    return salted(left, key, hot).join(copied(right, key, hot), [key, "_salt"], how).drop("_salt")
 
 
 def components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for each of vertices (id): component is the smallest id reachable over edges (a, b).
 
     Smallest-label spreading with pointer jumping: each round a vertex takes the least label among its neighbours'
-    and then its label's label, so paths halve. Minima are combined before the shuffle, so a vertex with very many
-    links does not land in one task. Every round is checkpointed.
+    and then its label's label, so paths halve. Minima are combined before the shuffle, and where a label is read by
+    very many (the edges of a hub, the members of a large component) the key is salted, so none lands in one task whole.
+    Every round is checkpointed.
     """
     edges = edges.where("a <> b").select("a", "b")
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    linked = both.select(F.col("a").alias("id")).distinct()
+    hubs = hot_keys(both, "b")
+    both = cut(salted(both, "b", hubs))
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     for _ in range(most_rounds):
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
+        told = copied(labels.withColumnRenamed("id", "b"), "b", hubs)
+        heard = both.join(told, ["b", "_salt"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
         least = cut(labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("next")))
         # what a label's own vertex has heard: jumps over a path's middle
         jump = least.select(F.col("id").alias("next"), F.col("next").alias("jumped"))
-        after = cut(least.join(jump, "next", "left").select("id", F.least("next", F.coalesce("jumped", "next")).alias("new"), F.col("label").alias("old")))
+        after = cut(salted_join(least, jump, "next", "left").select("id", F.least("next", F.coalesce("jumped", "next")).alias("new"), F.col("label").alias("old")))
         labels = after.select("id", F.col("new").alias("label"))
         if after.where("new <> old").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("link components did not settle")
-    del linked
     return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+
+
+def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """df with _id, a long that orders as id_col does and is null where it is; and the (_id, id_col) table of other than integral ids.
+
+    Integral ids are their own numbers. Others are sorted over ranges and numbered by range and place.
+    """
+    if isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn("_id", F.col(id_col).cast("long")), None
+    names = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_name")).distinct()
+    names = cut(names.repartitionByRange("_name").sortWithinPartitions("_name").withColumn("_id", F.monotonically_increasing_id()))
+    return df.join(names, df[id_col] == names["_name"], "left").drop("_name"), names
+
+
+def named(df: DataFrame, columns: list[str], names: DataFrame | None) -> DataFrame:
+    """df with numbers in columns turned back into the ids that numbered() found."""
+    for c in columns if names is not None else []:
+        df = df.join(names.select(F.col("_id").alias(c), F.col("_name").alias(f"_{c}_name")), c, "left").withColumn(c, F.col(f"_{c}_name")).drop(f"_{c}_name")
+    return df
