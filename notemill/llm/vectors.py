@@ -7,8 +7,10 @@ every link; candidates are then verified on the whole vectors in double precisio
 
 A block's range join is by cells: every vector lives in the cell of its nearest pivot and is a guest in the cells whose
 border is within the block's radius. Two vectors within the radius meet in the cell of the one with the lower cell number,
-and only there. Large cells are cut into chunks, so a task's size does not depend on how many copies a vector has. A
-task returns a count for each vector and a spanning forest of its links, never the pairs.
+and only there. How many pivots a block gets follows from what they save on a sample: where vectors have no structure
+that cells could use, a block is one cell. Large cells are cut into chunks of bounded size, so a task's size depends on
+no group's. Equal vectors are one vector with a weight. A task looks at its pairs tile by tile and returns a count for
+each vector and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,90 +22,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import components, cut
+from notemill.llm.common import components, cut, let_go, named, numbered
 
-SLACK = 1e-5  # above the rounding of single-precision products of unit vectors
+#: What double precision may add to a block's squared distance, and single precision (per dimension) to a candidate's.
+TIGHT, SINGLE = 1e-9, 2.5e-7
+#: Of a chunk: rows, and bytes in single precision.
+CHUNK_ROWS, CHUNK_BYTES = 65536, 16 << 20
+#: A comparison of two vectors in a block costs about this share of sending one to a task.
+COMPARED = 1e-3
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors at length 1. Their largest component comes to 1 first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+
+
+def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x to all of p, in slices."""
+    out = np.empty((len(x), len(p)))
+    step = max(1, (1 << 22) // max(1, p.size))
+    for s in range(0, len(x), step):
+        out[s : s + step] = ((x[s : s + step, None] - p[None]) ** 2).sum(2)
+    return out
 
 
 class Plan:
     """Rotation, blocks, budgets and pivots, fitted to a bounded sample. Any sample gives the same links."""
 
-    def __init__(self, sample: np.ndarray, cosine: float, blocks: int, pivots: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, cosine: float, blocks: int, most_pivots: int, rows: int, seed: int = 5):
         dim = sample.shape[1]
         blocks = max(1, min(blocks, dim))
-        if len(sample):
-            values, axes = np.linalg.eigh(np.cov(sample.T, bias=True).reshape(dim, dim) + 1e-12 * np.eye(dim))
-            values, axes = values[::-1], axes[:, ::-1]
-        else:
-            values, axes = np.ones(dim), np.eye(dim)
+        values, axes = np.linalg.eigh(np.cov(sample.T, bias=True).reshape(dim, dim) + 1e-12 * np.eye(dim))
+        values, axes = np.maximum(values[::-1], 1e-12), axes[:, ::-1]
         turn = np.arange(dim) % (2 * blocks)
         block = np.where(turn < blocks, turn, 2 * blocks - 1 - turn)  # there and back, for blocks of like variance
         self.axes = [np.ascontiguousarray(axes[:, block == b]) for b in range(blocks)]
         energy = np.array([values[block == b].sum() for b in range(blocks)])
         self.budget = (2 - 2 * cosine) * energy / energy.sum()
         self.cosine = cosine
+        self.radius = np.sqrt(self.budget + TIGHT) + TIGHT
         rng = np.random.default_rng(seed)
         self.pivots = []
         for b in range(blocks):
             y = sample @ self.axes[b]
-            p = y[rng.permutation(len(y))[:pivots]] if len(y) else np.zeros((1, self.axes[b].shape[1]))
-            for _ in range(4):
-                near = ((y[:, None] - p[None]) ** 2).sum(2).argmin(1) if len(y) else np.empty(0, int)
-                p = np.array([y[near == k].mean(0) if (near == k).any() else p[k] for k in range(len(p))])
-            self.pivots.append(np.unique(p, axis=0))
-
-    def cells(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each block: home cell of each vector, and whether it is a guest in each cell of a lower number."""
-        out = []
-        for axes, p, budget in zip(self.axes, self.pivots, self.budget, strict=True):
-            d = ((unit @ axes)[:, None] - p[None]) ** 2
-            d = d.sum(2)
-            home = d.argmin(1)
-            apart = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))[home]
-            border = (d - d[np.arange(len(d)), home][:, None]) / np.maximum(2 * apart, 1e-12)
-            out.append((home, (border <= np.sqrt(budget) + SLACK) & (np.arange(len(p))[None] < home[:, None])))
-        return out
-
-    def links(self, block: int, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of linked pairs of whole vectors that no block before this one has found."""
-        axes, budget = self.axes[block], self.budget[block]
-        norm = [np.sqrt((v * v).sum(1)) for v in (left, right)]
-        unit = [v / n[:, None] for v, n in zip((left, right), norm, strict=True)]
-        x, y = (u @ axes for u in unit)
-        x, y = (v.astype(np.float32) for v in (x, y))
+            tried, many = [], 1
+            while many <= min(most_pivots, max(1, len(y) // 8)):
+                p = self._centres(y, many, rng)
+                home, guest = self._cells(y, p, self.radius[b])
+                homes, guests = np.bincount(home, minlength=len(p)) / len(y), guest.sum(0) / len(y)
+                pairs = rows * float((homes * (homes / 2 + guests)).sum())  # of a row, on average
+                tried.append((COMPARED * pairs + 1 + float(guests.sum()), many, p))
+                many *= 2
+            self.pivots.append(min(tried, key=lambda t: t[:2])[2])
+
+    @staticmethod
+    def _centres(y: np.ndarray, many: int, rng: np.random.Generator) -> np.ndarray:
+        p = y[rng.permutation(len(y))[:many]]
+        for _ in range(3):
+            near = distances(y, p).argmin(1)
+            p = np.array([y[near == k].mean(0) if (near == k).any() else p[k] for k in range(len(p))])
+        return np.unique(p.round(3), axis=0)  # no two so near each other that their border is uncertain
+
+    @staticmethod
+    def _cells(y: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Home cell of each row, and whether it is a guest in each cell of a lower number."""
+        d = distances(y, p)
+        home = d.argmin(1)
+        apart = np.sqrt(distances(p, p))[home]
+        border = (d - d[np.arange(len(d)), home][:, None]) / np.maximum(2 * apart, 1e-12)
+        return home, (border <= radius) & (np.arange(len(p))[None] < home[:, None])
+
+    def cells(self, units: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self._cells(units @ axes, p, r) for axes, p, r in zip(self.axes, self.pivots, self.radius, strict=True)]
+
+    def links(self, block: int, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of linked pairs of unit vectors that no block before this one has found, tile by tile."""
+        axes = self.axes[block]
+        x, y = ((u @ axes).astype(np.float32) for u in (left, right))
         one = lambda v: np.ones((len(v), 1), np.float32)
         half = lambda v: -(v * v).sum(1, keepdims=True) / 2
+        least = -(self.budget[block] + 1e-5 + SINGLE * axes.shape[1]) / 2
         x, y = np.hstack([x, half(x), one(x)]), np.hstack([y, one(y), half(y)])
-        a, b = [], []
         for i in range(0, len(x), 512):
-            for j in range(i if same else 0, len(y), 2048):
-                p, q = np.nonzero(x[i : i + 512] @ y[j : j + 2048].T >= -(budget + SLACK) / 2)
-                a.append(p + i)
-                b.append(q + j)
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-        if same:
-            a, b = a[a < b], b[a < b]
-        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for s in range(0, len(a), 65536):
-            p, q = a[s : s + 65536], b[s : s + 65536]
-            ok = (left[p] * right[q]).sum(1) / (norm[0][p] * norm[1][q]) >= self.cosine
-            p, q = p[ok], q[ok]
-            gap = unit[0][p] - unit[1][q]
-            near = [((gap @ self.axes[k]) ** 2).sum(1) <= self.budget[k] + SLACK / 2 for k in range(block + 1)]
-            first = near[block] & ~np.any(near[:block], axis=0) if block else near[0]
-            found_a.append(p[first])
-            found_b.append(q[first])
-        return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The lowest position linked with each of n positions, over links (a, b)."""
-    label = np.arange(n)
+            for j in range(i // 2048 * 2048 if same else 0, len(y), 2048):
+                a, b = np.nonzero(x[i : i + 512] @ y[j : j + 2048].T >= least)
+                a, b = a + i, b + j
+                if same:
+                    a, b = a[a < b], b[a < b]
+                for s in range(0, len(a), 65536):
+                    p, q = a[s : s + 65536], b[s : s + 65536]
+                    ok = (left[p] * right[q]).sum(1) >= self.cosine
+                    p, q = p[ok], q[ok]
+                    if not len(p):
+                        continue
+                    gap = left[p] - right[q]
+                    near = [((gap @ self.axes[k]) ** 2).sum(1) <= self.budget[k] + TIGHT for k in range(block + 1)]
+                    first = near[block] & ~np.any(near[:block], axis=0) if block else near[0]
+                    yield p[first], q[first]
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (of each position, the lowest one linked with it) after more links (a, b)."""
     while True:
         least = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
+        for side in (a, b):
+            np.minimum.at(new, label[side], least)
+            np.minimum.at(new, side, least)
         new = new[new]
         if (new == label).all():
             return label
@@ -115,47 +141,53 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, sample_rows: int = 2048, cell_rows: int = 8192, most_pivots: int = 256, chunk_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, sample_rows: int = 4096, most_pivots: int = 512, chunk_rows: int = CHUNK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, others with those of their own
-    length, each length in a join of its own; rows without an id have component_id null and are kept. Repeated rows are
-    vectors of their own and link with each other, but share their id's component and its count. Other columns are not
-    read. An empty table gives an empty result.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, others with those of their
+    own length, each length in a join of its own; components may be of any finite size. Rows without an id have
+    component_id null and are kept. Repeated rows are vectors of their own and link with each other, but share their id's
+    component and its count. Ids are of any type with an order. Other columns are not read. An empty table gives an
+    empty result.
 
     What the blocks must compare depends on the data: for vectors without any structure a block's radius is near its
-    spread and most cells border on each other, so work is a shrinking share of all pairs but grows with their number.
+    spread, all cells border on each other, and the work is all pairs, in chunks.
     """
-    value = F.col(vector_col)
+    found, names = numbered(vectors.select(F.col(id_col), F.col(vector_col).alias("_value")), id_col)
+    value = F.col("_value")
     plain = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    usable = vectors.where(F.col(id_col).isNotNull() & value.isNotNull() & plain & F.exists(value, lambda x: x != 0))
-    taken = cut(usable.select(F.col(id_col).cast("long").alias("_id"), value.cast("array<double>").alias("_v"), F.monotonically_increasing_id().alias("_row")))
-    sizes = taken.groupBy(F.size("_v").alias("dim")).count().where("count > 1").orderBy("dim").collect()  # one row a length
-    all_ids = vectors.select(F.col(id_col), F.col(id_col).cast("long").alias("_id"))
-    pairs = taken.sparkSession.createDataFrame([], "_id long, links long, root long")
+    usable = found.where(F.col("_id").isNotNull() & value.isNotNull() & plain & F.exists(value, lambda x: x != 0))
+    taken = cut(usable.select("_id", value.cast("array<double>").alias("_v")))
+    equal = cut(taken.groupBy("_v").agg(F.min("_id").alias("_rep"), F.count("*").alias("_many")).withColumn("_row", F.monotonically_increasing_id()))
+    sizes = equal.groupBy(F.size("_v").alias("dim")).count().orderBy("dim").collect()  # one row a length
+    links = taken.sparkSession.createDataFrame([], "_row long, links long, a long, b long")
     for r in sizes:
-        pairs = pairs.unionByName(_pairs(taken.where(F.size("_v") == r["dim"]), r["dim"], r["count"], cosine, min(blocks, r["dim"]), sample_rows, cell_rows, most_pivots, chunk_rows))
-    links = cut(pairs.groupBy(F.col("_id").alias("id")).agg(F.sum("links").alias("n_links")))
-    joined = components(links, pairs.select(F.col("_id").alias("a"), F.col("root").alias("b")))
-    linked = links.join(joined, "id").select("id", "n_links", "component")
-    found = all_ids.join(linked.withColumnRenamed("id", "_id"), "_id", "left")
-    component = F.coalesce("component", "_id")
-    return found.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
-
-
-def _pairs(taken: DataFrame, dim: int, count: int, cosine: float, blocks: int, sample_rows: int, cell_rows: int, most_pivots: int, chunk_rows: int) -> DataFrame:
-    """(_id, links, root) by task: how many links it found for an id, and an id that these links lead to."""
-    sample = taken.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_v").collect()  # sample_rows vectors at most
-    sample = np.array([r["_v"] for r in sample], np.float64)
-    plan = Plan(sample / np.sqrt((sample * sample).sum(1, keepdims=True)), cosine, blocks, max(1, min(most_pivots, -(-count // cell_rows))))
+        if r["count"] > 1:
+            links = links.unionByName(_links(equal.where(F.size("_v") == r["dim"]), r["dim"], r["count"], cosine, blocks, sample_rows, most_pivots, chunk_rows))
+    sums = links.groupBy("_row").agg(F.sum("links").alias("others"))
+    rows = taken.join(equal.join(sums, "_row", "left"), "_v")
+    each = cut(rows.select("_id", "_rep", (F.coalesce("others", F.lit(0).cast("long")) + F.col("_many") - 1).alias("n")))
+    linked = cut(each.where("n > 0").groupBy(F.col("_id").alias("id")).agg(F.sum("n").alias("n_links")))
+    edges = links.select("a", "b").unionByName(each.select(F.col("_id").alias("a"), F.col("_rep").alias("b")))
+    joined = linked.join(components(linked, edges), "id").select(F.col("id").alias("_id"), "n_links", F.col("component").alias("component_id"))
+    out = found.select(id_col, "_id").join(joined, "_id", "left")
+    component = F.coalesce("component_id", "_id")
+    out = out.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
+    return named(out, ["component_id"], names).select(id_col, "n_links", "component_id", "kept")
+
+
+def _links(equal: DataFrame, dim: int, count: int, cosine: float, blocks: int, sample_rows: int, most_pivots: int, chunk_rows: int) -> DataFrame:
+    """(_row, links, a, b) by task: how many rows it found linked with a distinct vector, its first id and that of one these links lead to."""
+    sample = equal.orderBy(F.xxhash64("_rep", "_row"), "_row").limit(sample_rows).select("_v").collect()  # sample_rows vectors at most
+    plan = Plan(unit(np.array([r["_v"] for r in sample], np.float64)), cosine, min(blocks, dim), most_pivots, count)
+    chunk_rows = max(2, min(chunk_rows, CHUNK_BYTES // (4 * dim)))
 
     def celled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 2048):
                 batch = whole.slice(s, 2048)
-                v = _matrix(batch.column("_v"), dim)
                 at, block, cell, guest = [], [], [], []
-                for b, (home, guests) in enumerate(plan.cells(v / np.sqrt((v * v).sum(1, keepdims=True)))):
+                for b, (home, guests) in enumerate(plan.cells(unit(_matrix(batch.column("_v"), dim)))):
                     rows, cells = np.nonzero(guests)
                     at += [np.arange(len(home)), rows]
                     block += [np.full(len(home) + len(rows), b)]
@@ -164,9 +196,9 @@ def _pairs(taken: DataFrame, dim: int, count: int, cosine: float, blocks: int, s
                 at = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").take(at), pa.array(np.concatenate(block), pa.int32()), pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(guest))], ["_row", "block", "cell", "guest"])
 
-    cells = cut(taken.select("_row", "_v").mapInArrow(celled, "_row long, block int, cell int, guest boolean"))
-    chunks = lambda flag: F.greatest(F.lit(1), F.ceil(F.count_if(flag) / chunk_rows)).cast("int")
-    counts = cut(cells.groupBy("block", "cell").agg(chunks(~F.col("guest")).alias("homes"), (F.ceil(F.count_if("guest") / chunk_rows)).cast("int").alias("others")))
+    cells = cut(equal.select("_row", "_v").mapInArrow(celled, "_row long, block int, cell int, guest boolean"))
+    chunks = lambda flag: F.ceil(F.count_if(flag) / chunk_rows).cast("int")
+    counts = cut(cells.groupBy("block", "cell").agg(chunks(~F.col("guest")).alias("homes"), chunks(F.col("guest")).alias("others")).where("homes > 0"))
     dealt = cells.join(F.broadcast(counts), ["block", "cell"])  # blocks x most_pivots rows at most
     chunk = F.when(F.col("guest"), F.col("homes") + F.pmod(F.xxhash64("_row"), F.greatest(F.col("others"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("_row"), F.col("homes"))).cast("int")
     dealt = dealt.withColumn("chunk", chunk)
@@ -178,21 +210,26 @@ def _pairs(taken: DataFrame, dim: int, count: int, cosine: float, blocks: int, s
         )
     )
     tasks = dealt.select("_row", "block", "cell", "chunk", F.explode(meets).alias("m")).select("_row", "block", "cell", "chunk", "m.h", "m.c")
-    rows = tasks.join(taken.select("_row", "_id", F.col("_v").cast("array<float>").alias("_v") if _single(taken) else "_v"), "_row")
+    rows = tasks.join(equal.select("_row", "_rep", "_many", F.col("_v").cast("array<float>").alias("_v") if _single(equal) else "_v"), "_row")
 
     def compared(table: pa.Table) -> pa.Table:
+        let_go()
         block, h, c = (table.column(n)[0].as_py() for n in ("block", "h", "c"))
-        chunk, ids, v = table.column("chunk").to_numpy(), table.column("_id").to_numpy(), _matrix(table.column("_v"), dim)
+        table = table.sort_by("_row")  # whatever order the rows came in
+        chunk, reps, weight, row = (table.column(n).to_numpy() for n in ("chunk", "_rep", "_many", "_row"))
+        units = unit(_matrix(table.column("_v"), dim))
         left, right = np.flatnonzero(chunk == h), np.flatnonzero(chunk == c)
-        a, b = plan.links(block, v[left], v[right], h == c)
-        a, b = left[a], right[b]
-        many = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        many, label = np.zeros(len(row), np.int64), np.arange(len(row))
+        for a, b in plan.links(block, units[left], units[right], h == c):
+            a, b = left[a], right[b]
+            many += (np.bincount(a, weights=weight[b], minlength=len(row)) + np.bincount(b, weights=weight[a], minlength=len(row))).astype(np.int64)
+            label = merged(label, a, b)
         some = np.flatnonzero(many)
-        return pa.table({"_id": ids[some], "links": many[some], "root": ids[forest(a, b, len(ids))][some]}, schema=pa.schema([("_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
+        return pa.table({"_row": row[some], "links": many[some], "a": reps[some], "b": reps[label][some]}, schema=pa.schema([(n, pa.int64()) for n in ("_row", "links", "a", "b")]))
 
-    return cut(rows.groupBy("block", "cell", "h", "c").applyInArrow(compared, "_id long, links long, root long"))
+    return cut(rows.groupBy("block", "cell", "h", "c").applyInArrow(compared, "_row long, links long, a long, b long"))
 
 
-def _single(taken: DataFrame) -> bool:
+def _single(equal: DataFrame) -> bool:
     """Whether every component is a single-precision number, so that half the bytes carry it."""
-    return taken.where(F.exists("_v", lambda x: x.cast("float").cast("double") != x)).limit(1).count() == 0
+    return equal.where(F.exists("_v", lambda x: x.cast("float").cast("double") != x)).limit(1).count() == 0
