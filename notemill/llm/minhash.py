@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import wordhash
-from notemill.llm.common import bounded_broadcast, components, cut, let_go
+from notemill.llm.common import bounded_broadcast, components, copied, cut, hot_keys, map_texts, named, numbered, salted, salted_join
 
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 6) ** 32, less than 1 in 10,000.
@@ -106,13 +106,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
     yield from wordhash.slices(batch.column("_text"))
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, k1, k2, weight, b0.., bands) of every row: checksums of its words, number of shingles, one-bit values, bands."""
-    taken = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def sign(found: DataFrame) -> DataFrame:
+    """(_id, k1, k2, weight, b0.., bands) of every row of (_id, _text): checksums of its words, number of shingles, one-bit values, bands."""
     bits = [f"b{i}" for i in range(-(-SIZE // 64))]
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for batch in batches:
             for first, count, data, offsets in _texts(batch):
                 h, r, k1, k2 = shingles(data, offsets)
@@ -128,61 +126,71 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 cols = [batch.column("_id").slice(first, count), *[pa.array(k.view(np.int64)) for k in (k1, k2)], pa.array(weight, pa.int64()), *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(bits))], bands]
                 yield pa.RecordBatch.from_arrays(cols, ["_id", "k1", "k2", "weight", *bits, "bands"])
 
-    return taken.mapInArrow(signed, f"_id long, k1 long, k2 long, weight long, {', '.join(f'{b} long' for b in bits)}, bands array<long>")
+    return map_texts(found.select("_id", "_text"), signed, f"_id long, k1 long, k2 long, weight long, {', '.join(f'{b} long' for b in bits)}, bands array<long>")
 
 
-def bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, bag): each row's shingles as distinct numbers, the j-th occurrence of a shingle being its own number."""
-    taken = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def bags(found: DataFrame, texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(t, bag) of the needed texts (t): a text's shingles as distinct numbers, the j-th occurrence of a shingle being its own.
+
+    A text is read from a row with its first id; k1 and k2 tell it from others with that id.
+    """
+    wanted = cut(needed.join(texts.select("t", "rep", "k1", "k2"), "t"))
+    rows = found.select("_id", "_text").join(bounded_broadcast(wanted.select(F.col("rep").alias("_id")).distinct()), "_id", "left_semi")
 
     def bagged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, count, data, offsets in _texts(batch):
-                h, r, n = counted(*shingles(data, offsets)[:2])
+                h, r, k1, k2 = shingles(data, offsets)
+                h, r, n = counted(h, r)
                 item = np.repeat(np.arange(len(h)), n)
                 turn = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
                 number = np.where(turn == 0, h[item], wordhash.mix(h[item] + turn.astype(np.uint64) * _GOLD)).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r[item], minlength=count))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, count), pa.ListArray.from_arrays(pa.array(ends), pa.array(number))], ["_id", "bag"])
+                keys = [pa.array(k.view(np.int64)) for k in (k1, k2)]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, count), *keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(number))], ["rep", "k1", "k2", "bag"])
 
-    return taken.mapInArrow(bagged, "_id long, bag array<long>")
+    made = map_texts(rows, bagged, "rep long, k1 long, k2 long, bag array<long>")
+    return made.join(bounded_broadcast(wanted), ["rep", "k1", "k2"]).select("t", "bag").dropDuplicates(["t"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """Those of pairs (a, b: ids) whose multisets of shingles have at least the similarity, exactly."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct())
-    wanted = docs.join(bounded_broadcast(needed), docs[id_col] == needed["_need"], "left_semi")
-    bag = bags(wanted, id_col, text_col).dropDuplicates(["_id"])
-    left, right = (bag.select(F.col("_id").alias(side), F.col("bag").alias(f"bag_{side}")) for side in ("a", "b"))
+def verified(pairs: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b: texts; a cut table) whose multisets of shingles have at least the similarity, exactly.
+
+    A text that is b of very many pairs is copied to as many tasks as they need.
+    """
+    bag = bags(found, texts, pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+    left, right = (bag.select(F.col("t").alias(side), F.col("bag").alias(f"bag_{side}")) for side in ("a", "b"))
+    hot = hot_keys(pairs, "b")
     both = F.size(F.array_intersect("bag_a", "bag_b"))
-    shared = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("bag_a") + F.size("bag_b") - both).alias("either"))
+    met = salted(pairs.select("a", "b"), "b", hot).join(left, "a").join(copied(right, "b", hot), ["b", "_salt"])
+    shared = met.select("a", "b", both.alias("both"), (F.size("bag_a") + F.size("bag_b") - both).alias("either"))
     return shared.where(F.col("both") >= F.col("either") * similarity).select("a", "b")
 
 
-def across(placed: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+def across(placed: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between different components of one bucket, enough of them to join what is linked.
 
-    placed: (rep, key, component). A bucket's members meet in one task, or, in chunks of bounded size, in one task for
+    placed: (t, key, component). A bucket's members meet in one task, or, in chunks of bounded size, in one task for
     each two chunks. A pair is compared in the first bucket that it shares and only while its components are apart, so
     a task returns fewer links than it has members.
     """
-    needed = cut(placed.select(F.col("rep").alias("_need")).distinct())
-    bag = bags(docs.join(bounded_broadcast(needed), docs[id_col] == needed["_need"], "left_semi"), id_col, text_col).dropDuplicates(["_id"])
-    facts = texts.drop("k1", "k2")
-    sized = placed.join(facts.select("rep", "weight"), "rep")
+    needed = cut(placed.select("t").distinct())
+    bag = bags(found, texts, needed)
+    facts = texts.drop("k1", "k2", "rep", "copies")
+    sized = placed.join(facts.select("t", "weight"), "t")
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("weight") / CHUNK_SHINGLES)).cast("int")
     counts = cut(sized.groupBy("key").agg(chunks.alias("chunks")))
     tasks = max(1, needed.count() // 500)
-    dealt = placed.join(counts, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = placed.join(bounded_broadcast(counts), "key").withColumn("chunk", F.pmod(F.xxhash64("t"), F.col("chunks")).cast("int"))
     meets = F.concat(F.transform(F.sequence(F.lit(0), F.col("chunk")), lambda h: F.struct(h.alias("h"), F.col("chunk").alias("c"))), F.when(F.col("chunk") + 1 < F.col("chunks"), F.transform(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1), lambda c: F.struct(F.col("chunk").alias("h"), c.alias("c")))).otherwise(F.array().cast("array<struct<h:int,c:int>>")))
-    dealt = dealt.select("rep", "key", "component", "chunk", F.when(F.col("chunks") == 1, F.pmod("key", F.lit(tasks))).otherwise(F.lit(-1)).alias("shared"), F.explode(meets).alias("m"))
-    dealt = dealt.select("rep", "key", "component", "chunk", "m.h", "m.c", F.when(F.col("shared") >= 0, F.col("shared")).otherwise(F.xxhash64("key", "m.h", "m.c")).alias("task"))
+    dealt = dealt.select("t", "key", "component", "chunk", F.when(F.col("chunks") == 1, F.pmod("key", F.lit(tasks))).otherwise(F.lit(-1)).alias("shared"), F.explode(meets).alias("m"))
+    dealt = dealt.select("t", "key", "component", "chunk", "m.h", "m.c", F.when(F.col("shared") >= 0, F.col("shared")).otherwise(F.xxhash64("key", "m.h", "m.c")).alias("task"))
     bits = [c for c in facts.columns if c[0] == "b" and c != "bands"]
-    rows = dealt.join(facts, "rep").join(bag.withColumnRenamed("_id", "rep"), "rep")
+    rows = dealt.join(facts, "t").join(bag, "t")
 
     def compared(table: pa.Table) -> pa.Table:
         number = lambda name: table.column(name).to_numpy()
-        rep, key, component, chunk, h, c, weight = (number(n) for n in ("rep", "key", "component", "chunk", "h", "c", "weight"))
+        rep, key, component, chunk, h, c, weight = (number(n) for n in ("t", "key", "component", "chunk", "h", "c", "weight"))
         packed = np.stack([number(b) for b in bits], 1).view(np.uint64)
         band = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         lists = table.column("bag").combine_chunks()
@@ -239,47 +247,57 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of characters outside [\\x20\\x09-\\x0D], as they are; two texts link when the multisets of their
     shingles have weighted Jaccard similarity `similarity` or more. Texts of the same words always share a class, also
     those without words, which link with nothing else; texts of one to four words have one shingle. copies: rows with the
-    same words. Null texts count as empty. Rows without an id stand alone (class_id null, kept); rows repeated with
-    one id share its class. Other columns are not read. An empty table gives an empty result.
+    same words. Null texts count as empty. Ids are of any type with an order. Rows without an id stand alone (class_id
+    null, kept); rows repeated with one id share its class, whatever their texts. Other columns are not read. An empty table gives an empty result.
 
     Pairs are never listed within a bucket. Distinct texts are first held against their bucket's most central member
     only, which makes few components of a large group of near copies at one pair a member and band. Then the members of
     one bucket that lie in different components are compared in blocks, until they are joined or all pairs are tried; no
     link between components is lost but for the banding's miss.
     """
-    signed = cut(sign(docs, id_col, text_col))
+    found, names = numbered(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")), id_col)
+    signed = cut(sign(found))
     known = signed.where("_id is not null")
     facts = ["weight", *[c for c in signed.columns if c[0] == "b"]]
-    texts = cut(known.groupBy("k1", "k2").agg(F.min("_id").alias("rep"), *[F.first(c).alias(c) for c in facts]))
-    spread = texts.select("rep", F.explode("bands").alias("key"))
+    texts = known.groupBy("k1", "k2").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in facts])
+    texts = cut(texts.withColumn("t", F.monotonically_increasing_id()))
+    spread = texts.select("t", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(spread.join(shared, "key"))
-    central = members.groupBy("rep").agg(F.sum("n").alias("met"))  # who meets most others is likeliest near them all
-    ranked = members.join(central, "rep")
-    leaders = ranked.groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("leader"))
-    brief = texts.drop("bands", "k1", "k2")
-    bits = [c for c in brief.columns if c[0] == "b"]
-    side = lambda name: brief.select(F.col("rep").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ["weight", *bits]])
+    central = members.groupBy("t").agg(F.sum("n").alias("met"))  # who meets most others is likeliest near them all
+    ranked = members.join(central, "t")
+    leaders = cut(ranked.groupBy("key").agg(F.max_by("t", F.struct("met", -F.col("t"))).alias("leader")))
+    bits = [c for c in facts if c[0] == "b" and c != "bands"]
+    side = lambda name: texts.select(F.col("t").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ["weight", *bits]])
     differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits), F.lit(0))
     likely = (F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * similarity) & (differ <= MOST_BITS)
-    to_leader = members.join(leaders, "key").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    first = cut(to_leader.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
-    links = cut(verified(first, docs, id_col, text_col, similarity))
-    vertices = cut(members.select(F.col("rep").alias("id")).distinct())
+    met = salted_join(members.select("t", "key"), leaders, "key").where("t <> leader")
+    to_leader = cut(met.select(F.col("t").alias("a"), F.col("leader").alias("b")).distinct())
+    hot = hot_keys(to_leader, "b")
+    first = cut(salted(to_leader, "b", hot).join(side("a"), "a").join(copied(side("b"), "b", hot), ["b", "_salt"]).where(likely).select("a", "b"))
+    # rows repeated with one id and different texts share a class
+    owners = known.select("_id", "k1", "k2").join(texts.select("k1", "k2", "t"), ["k1", "k2"]).select("_id", "t")
+    several = cut(owners.groupBy("_id").agg(F.min("t").alias("b"), F.max("t").alias("z")).where("b <> z").select("_id", "b"))
+    again = salted_join(cut(owners.join(bounded_broadcast(several.select("_id")), "_id", "left_semi")), several, "_id").select(F.col("t").alias("a"), "b").where("a <> b").distinct()
+    links = cut(verified(first, texts, found, similarity).unionByName(again))
+    vertices = cut(members.select("t").unionByName(links.select(F.explode(F.array("a", "b")).alias("t"))).distinct().withColumnRenamed("t", "id"))
     joined = cut(components(vertices, links))
-    placed = members.select("rep", "key").join(joined.withColumnRenamed("id", "rep"), "rep")
+    placed = cut(members.select("t", "key").join(joined.withColumnRenamed("id", "t"), "t"))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = cut(placed.join(split, "key", "left_semi"))
-    more = across(open_, texts, docs, id_col, text_col, similarity) if open_.limit(1).count() else None
+    more = across(open_, texts, found, similarity) if open_.limit(1).count() else None
     if more is not None and more.limit(1).count():
         joined = cut(components(vertices, links.unionByName(more)))
-    groups = known.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    classes = texts.select("k1", "k2", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(groups, ["k1", "k2"])
-    classes = cut(classes.select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), "copies"))
-    found = signed.select("_id", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    own = F.col("_id").isNotNull()
+    own = cut(texts.select("t", "k1", "k2", "rep", "copies").join(joined.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t")))
+    least = own.groupBy("component").agg(F.min("rep").alias("class_id"))
+    classes = cut(salted_join(own, least, "component").select("k1", "k2", "class_id", "copies"))
+    found_class = signed.select("_id", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    mine = F.col("_id").isNotNull()
+    out = found_class.select("_id", F.when(mine, F.col("class_id")).alias("class_id"), F.when(mine, F.col("copies")).otherwise(1).alias("copies"), F.coalesce(F.col("_id") == F.col("class_id"), F.lit(True)).alias("kept"))
     id_type = docs.schema[id_col].dataType
-    return found.select(F.col("_id").cast(id_type).alias(id_col), F.when(own, F.col("class_id")).alias("class_id"), F.when(own, F.col("copies")).otherwise(1).alias("copies"), F.coalesce(F.col("_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    if names is not None:
+        return named(out, ["_id", "class_id"], names).withColumnRenamed("_id", id_col)
+    return out.select(F.col("_id").cast(id_type).alias(id_col), F.col("class_id").cast(id_type).alias("class_id"), "copies", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
