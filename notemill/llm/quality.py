@@ -19,13 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import ftrl, wordhash
-from notemill.llm.common import cut, let_go
+from notemill.llm.common import cut, map_texts
 from notemill.llm.toxicity import _WORD
 
 _NOT_SPACE = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
 _LINE = np.array([i != 10 for i in range(256)])
 #: Upper case A, lower case and other scripts a, digits 0, white space as it is, each sign itself.
 _CLASS = np.array([65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i > 127 else 48 if 48 <= i <= 57 else i for i in range(256)], np.uint8)
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+#: Signs, capitals and digits: what the shares of characters are of.
+_SHARES = {"sign": (~np.isin(_CLASS, [65, 97, 48, 32, 10, 13, 9]), 50), "upper": (_CLASS == 65, 20), "digit": (_CLASS == 48, 20)}
 _SHIFT = np.uint64(64 - ftrl.BITS)
 #: A guess on an unlabelled document is confident from this logit on (a probability of 0.95), or from its negative down.
 SURE = float(np.log(0.95 / 0.05))
@@ -43,9 +46,8 @@ def _share(part: np.ndarray, whole: np.ndarray, bins: int = 20) -> np.ndarray:
 def text_view(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and features: words, word shapes (runs of one class of characters as one), shape pairs, shares of classes."""
     count = len(offsets) - 1
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     starts, ends, rows = wordhash.spans(data, offsets, _WORD)
-    words = wordhash.span_hashes(lower, starts, ends)
+    words = wordhash.span_hashes(data, starts, ends, _LOWER)
     classes = _CLASS[data]
     s, e, shape_rows = wordhash.spans(data, offsets, _NOT_SPACE)
     keep = np.ones(len(data), bool)
@@ -54,10 +56,14 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     at = np.concatenate([[0], np.cumsum(keep)])
     shapes = wordhash.span_hashes(classes[keep], at[s], at[e]) ^ np.uint64(0x5A)
     pairs, pair_rows = wordhash.joined(shapes, shape_rows, (0, 1))
-    of_class = lambda mask: np.add.reduceat(np.append(mask, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0)
     size = np.diff(offsets)
-    sign = ~np.isin(classes, [65, 97, 48, 32, 10, 13, 9])
-    shares = [_feature("sign", _share(of_class(sign), size, 50)), _feature("upper", _share(of_class(classes == 65), size)), _feature("digit", _share(of_class(classes == 48), size))]
+
+    def share(name: str) -> np.ndarray:
+        inside, bins = _SHARES[name]
+        at = np.searchsorted(np.flatnonzero(inside[data]), offsets)  # how many stand before each row
+        return _feature(name, _share(np.diff(at), size, bins))
+
+    shares = [share(name) for name in _SHARES]
     each = np.arange(count)
     index = np.concatenate([(words >> _SHIFT).astype(np.int64), (wordhash.mix(shapes) >> _SHIFT).astype(np.int64), (pairs >> _SHIFT).astype(np.int64), *shares])
     return np.concatenate([rows, shape_rows, pair_rows, *[each] * len(shares)]), index
@@ -111,7 +117,6 @@ class Model:
     views: tuple[ftrl.Sparse, ftrl.Sparse]
     scale: np.ndarray  # of each view's logit: slope, offset
     mix: np.ndarray  # weight of each calibrated logit, offset
-    threshold: float
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
         return ftrl.logistic((logits * self.scale[:, 0] + self.scale[:, 1]) @ self.mix[:2] + self.mix[2])
@@ -128,7 +133,7 @@ def _logit_fit(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(features: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray, given: tuple[np.ndarray, np.ndarray], passes: int, keep: float) -> Model:
+def learn(features: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarray, given: tuple[np.ndarray, np.ndarray], passes: int) -> Model:
     """One round. labels: 1, 0, or -1 if unknown; given: each view's pseudo-labels likewise.
 
     A fifth of the labelled rows is only for calibration.
@@ -151,9 +156,7 @@ def learn(features: tuple[list[np.ndarray], list[np.ndarray]], labels: np.ndarra
     one = np.ones((len(check), 1))
     scale = np.stack([_logit_fit(np.hstack([both[:, [v]], one]), y, np.array([1.0, 0.0])) for v in range(2)])
     calibrated = both * scale[:, 0] + scale[:, 1]
-    model = Model((models[0], models[1]), scale, _logit_fit(np.hstack([calibrated, one]), y, np.array([0.5, 0.5, 0.0])), 0.5)
-    good = np.sort(model.scores(both[y == 1]))
-    model.threshold = float(min(0.5, good[int((1 - keep) * len(good))] - 1e-9)) if len(good) else 0.0
+    model = Model((models[0], models[1]), scale, _logit_fit(np.hstack([calibrated, one]), y, np.array([0.5, 0.5, 0.0])))
     return model
 
 
@@ -167,7 +170,6 @@ def _features(rows: DataFrame) -> DataFrame:
     """(_key, _label, _features: of the text view, of the metadata view) of keyed rows with _label, made where the rows are."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         kind = pa.list_(pa.list_(pa.int32()))
         for batch in batches:
             both = []
@@ -175,14 +177,13 @@ def _features(rows: DataFrame) -> DataFrame:
                 both += [[x, y] for x, y in zip(ftrl.per_row(*a, count), ftrl.per_row(*b, count), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_label"), pa.array(both, kind)], ["_key", "_label", "_features"])
 
-    return rows.mapInArrow(made, "_key long, _label int, _features array<array<int>>")
+    return map_texts(rows, made, "_key long, _label int, _features array<array<int>>")
 
 
-def _learnt(rows: DataFrame, given: list[dict[int, int]], passes: int, keep: float) -> Model | None:
+def _learnt(rows: DataFrame, given: list[dict[int, int]], passes: int) -> Model | None:
     """A model of the rows that _features() made, in one task. given: by key, each view's pseudo-labels. None without rows."""
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         keys, y, both = [], [], ([], [])
         for batch in batches:
             keys += batch.column("_key").to_pylist()
@@ -193,17 +194,17 @@ def _learnt(rows: DataFrame, given: list[dict[int, int]], passes: int, keep: flo
                 both[i % 2].append(flat[ends[i] : ends[i + 1]].copy())
         order = sorted(range(len(keys)), key=lambda i: (keys[i], len(both[0][i])))
         theirs = tuple(np.array([g.get(keys[i], -1) for i in order], int) for g in given)
-        m = learn(([both[0][i] for i in order], [both[1][i] for i in order]), np.array([y[i] for i in order], int), theirs, passes, keep)
-        row = [[float(v.bias) for v in m.views], [v.index.tolist() for v in m.views], [v.weight.tolist() for v in m.views], [*m.scale.ravel().tolist(), *m.mix.tolist(), m.threshold]]
+        m = learn(([both[0][i] for i in order], [both[1][i] for i in order]), np.array([y[i] for i in order], int), theirs, passes)
+        row = [[float(v.bias) for v in m.views], [v.index.tolist() for v in m.views], [v.weight.tolist() for v in m.views], [*m.scale.ravel().tolist(), *m.mix.tolist()]]
         kinds = [pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.float32())), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["bias", "index", "weight", "rest"])
 
-    got = rows.repartition(1).mapInArrow(train, "bias array<double>, index array<array<int>>, weight array<array<float>>, rest array<double>").first()
+    got = map_texts(rows.repartition(1), train, "bias array<double>, index array<array<int>>, weight array<array<float>>, rest array<double>").first()
     if got is None:
         return None
     rest = np.array(got["rest"])
     sparse = [ftrl.Sparse(b, np.array(i, np.int32), np.array(w, np.float32)) for b, i, w in zip(got["bias"], got["index"], got["weight"], strict=True)]
-    return Model((sparse[0], sparse[1]), rest[:4].reshape(2, 2), rest[4:7], float(rest[7]))
+    return Model((sparse[0], sparse[1]), rest[:4].reshape(2, 2), rest[4:7])
 
 
 def _logits(batch: pa.RecordBatch, model: Model, tables: list[np.ndarray]) -> np.ndarray:
@@ -218,34 +219,34 @@ def _guesses(keyed: DataFrame, model: Model, known: DataFrame) -> DataFrame:
     """(_key, _view0, _view1): each view's logit for every keyed row whose id is not among the known ones."""
 
     def guessed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         tables = [v.table() for v in model.views]
         for batch in batches:
             logits = _logits(batch, model, tables)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(logits[:, 0]), pa.array(logits[:, 1])], ["_id", "_key", "_view0", "_view1"])
 
-    all_rows = keyed.mapInArrow(guessed, f"_id {keyed.schema['_id'].dataType.simpleString()}, _key long, _view0 double, _view1 double")
+    all_rows = map_texts(keyed, guessed, f"_id {keyed.schema['_id'].dataType.simpleString()}, _key long, _view0 double, _view1 double")
     return all_rows.join(known, "_id", "left_anti").drop("_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int = 4000, rounds: int = 3, passes: int = 3, exchange: float = 0.5, keep: float = 0.999, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Model:
-    """A model from the labelled rows whose ids have the smallest hashes and from all unlabelled rows' best guesses.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int = 4000, rounds: int = 3, passes: int = 3, exchange: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> tuple[Model, DataFrame]:
+    """A model, and the ids of the labelled rows it was fitted on, from the labelled rows whose ids have the smallest hashes and from all unlabelled rows' best guesses.
 
     Each round all unlabelled rows are scored, rows without an id among them, and each view gives the other its most
     confident new guesses of either label: exchange x pool_rows / rounds of each at most, and no larger a share of
-    fewer unlabelled rows than pool_rows. Without labelled rows the model keeps all.
-    keep: share of the labelled good documents, of those set apart, that the threshold must keep.
+    fewer unlabelled rows than pool_rows. Without labelled rows the model says one half.
     """
     known = cut(labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").cast("int").alias("_label")))
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     chosen = known.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(13)), "_id").limit(fit_rows)  # narrow rows
+    chosen = cut(chosen)
     keyed = _keyed(docs, id_col, text_col, source_col, lang_col)
-    rows = cut(_features(keyed.join(F.broadcast(chosen), "_id")))
+    one = F.min(F.struct("_key", "_text", "_source", "_lang", "_label")).alias("one")  # of documents repeated with one id
+    rows = cut(_features(keyed.join(F.broadcast(chosen), "_id").groupBy("_id").agg(one).select("_id", "one.*")))
     given: list[dict[int, int]] = [{}, {}]
-    model = _learnt(rows, given, passes, keep)
+    model = _learnt(rows, given, passes)
     if model is None:  # no rows to learn from
         none = ftrl.Sparse(0.0, np.empty(0, np.int32), np.empty(0, np.float32))
-        return Model((none, none), np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5, 0.0]), 0.0)
+        return Model((none, none), np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5, 0.0])), chosen
     for _ in range(rounds):
         guesses = cut(_guesses(keyed, model, known.select("_id")))
         many = max(1, int(exchange * min(pool_rows, guesses.limit(pool_rows).count()) / rounds))
@@ -261,8 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int
         if new:
             theirs = docs.sparkSession.createDataFrame([(k, -1) for k in new], "_key long, _label int")
             rows = rows.unionByName(cut(_features(keyed.join(F.broadcast(theirs), "_key").dropDuplicates(["_key"]))))
-        model = _learnt(rows, given, passes, keep)
-    return model
+        model = _learnt(rows, given, passes)
+    return model, chosen
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", only: list[str] | None = None) -> DataFrame:
@@ -274,26 +275,43 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", source_col: str
     taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("_text"), F.col(source_col).cast("string").alias("_source"), F.col(lang_col).cast("string").alias("_lang"))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         tables = [v.table() for v in model.views]
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(model.scores(_logits(batch, model, tables)))], [*kept, "_quality"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[: len(kept)])
-    return taken.mapInArrow(scored, f"{schema}, _quality double")
+    return map_texts(taken, scored, f"{schema}, _quality double")
+
+
+def rejects(scored: DataFrame, labels: DataFrame, fitted: DataFrame, keep: float = 0.999, accuracy: int = 10_000, id_col: str = "doc_id") -> float:
+    """The score below which a page is rejected, from (id_col, _quality) of all rows.
+
+    It lets at least the share keep of the pages that are labelled good and were not fitted on pass, at one half at most:
+    a quantile over all such rows, to 1 / accuracy of them. Where nearly none are left to take it from (fewer than
+    1 / (1 - keep)), the fitted ones count too. Without labels nothing is rejected.
+    """
+    good = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    known = scored.join(good, scored[id_col] == good["_id"]).join(F.broadcast(fitted.select("_id", F.lit(True).alias("_seen"))), "_id", "left")  # fit_rows rows
+    at = lambda some: F.expr(f"percentile_approx(_quality, {1 - keep}, {accuracy}) {'' if some else 'FILTER (WHERE _seen IS NULL)'}")
+    r = known.agg(F.count_if(F.col("_seen").isNull()).alias("n"), at(False).alias("unseen"), at(True).alias("any")).first()
+    least = r["unseen"] if r["n"] * (1 - keep) >= 1 else r["any"]
+    return 0.0 if least is None else min(0.5, least)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """id_col, quality_score, keep of every row; keep: the score is at or above the model's threshold.
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: float = 0.999, **options) -> DataFrame:
+    """id_col, quality_score, keep of every row; keep: the score is not below the one that rejects() finds.
 
     Null texts count as empty; repeated rows are scored each; no labels: everything is kept. An empty table gives an
     empty result.
     """
-    model = fit(docs, labels, id_col=id_col, **options)
-    return score(docs, model, only=[id_col]).select(id_col, F.col("_quality").alias("quality_score"), (F.col("_quality") >= model.threshold).alias("keep"))
+    model, fitted = fit(docs, labels, id_col=id_col, **options)
+    scored = cut(score(docs, model, only=[id_col]))
+    least = rejects(scored, labels, fitted, keep, id_col=id_col)
+    return scored.select(id_col, F.col("_quality").alias("quality_score"), (F.col("_quality") >= least).alias("keep"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that quality() rejects; all columns stay as they are."""
-    model = fit(docs, labels, **options)
-    return score(docs, model).where(F.col("_quality") >= model.threshold).drop("_quality")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: float = 0.999, **options) -> DataFrame:
+    """docs without the rows that quality() rejects; all columns stay as they are. The scored table is written once."""
+    model, fitted = fit(docs, labels, id_col=id_col, **options)
+    scored = cut(score(docs, model))
+    return scored.where(F.col("_quality") >= rejects(scored.select(id_col, "_quality"), labels, fitted, keep, id_col=id_col)).drop("_quality")
