@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.common import map_texts
+
 BEGIN, END = "<s>", "</s>"
 OPEN = {"user": "[INST] ", "assistant": "[ANS] ", "system": "[SYS] "}
 CLOSE = {"user": " [/INST]", "assistant": " [/ANS]", "system": " [/SYS]"}
@@ -113,7 +115,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             attached = pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("uri", pa.string()), ("tokens", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(segments, pa.string()), pa.array(losses, span), pa.array(attachments, attached), pa.array(expanded, pa.int64())], ["conv_id", "turn", "segment", "loss", "attachments", "expanded_tokens"])
 
-    return taken.mapInArrow(formatted, f"{', '.join(ids)}, segment string, loss {T.ArrayType(SPAN).simpleString()}, attachments {T.ArrayType(ATTACHMENT).simpleString()}, expanded_tokens long")
+    return map_texts(taken, formatted, f"{', '.join(ids)}, segment string, loss {T.ArrayType(SPAN).simpleString()}, attachments {T.ArrayType(ATTACHMENT).simpleString()}, expanded_tokens long")
 
 
 _TURN = re.compile(r"(?:<s>)?(?:\[(INST|ANS|SYS)\] |\[ROLE:([^\] ]*)\] )(.*) \[/(?:INST|ANS|SYS|ROLE)\](?:</s>)?", re.S)
@@ -170,7 +172,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(closed(), kinds, strict=True)], names)
 
-    return ordered.mapInArrow(digests, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_texts(ordered, digests, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def with_forged(turns: DataFrame) -> DataFrame:

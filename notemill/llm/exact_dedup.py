@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import SPACE, bounded_broadcast, cut, power_of_two
+from notemill.llm.common import BROADCAST_ROWS, SPACE, bounded_broadcast, cut, power_of_two, salted_join
 
 BLOCK = 32768  # bits in a bitmap that bitmap_construct_agg builds
 
@@ -61,7 +61,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone, maybe = tested.where(~F.col("maybe")), tested.where("maybe")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = cut(maybe.groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size")))
-    found = maybe.join(bounded_broadcast(groups), "text_sha256")
+    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = maybe.join(F.broadcast(groups), "text_sha256") if few else salted_join(maybe, groups, "text_sha256")
     out = [F.col("_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256"]
     shuffled = found.withColumns({"keep_id": F.col("first.id"), "kept": F.col("first.row") == F.col("_row")}).select(*out)
     return alone.withColumns({"keep_id": F.col("_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).select(*out).unionByName(shuffled)

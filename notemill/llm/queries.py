@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.llm import chat, exact_dedup, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors
-from notemill.llm.common import read
+from notemill.llm.common import ensure_checkpoint_dir, read
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, both passes over a source together."""
-    stream = mixing.mix_stream(read(spark, sf_dir, "documents"), share=1.5, weights=(5, 2, 1), passes=2, queue=True)
-    return stream.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
+    """Words that the mix takes of each document, all passes over its source together."""
+    queue = mixing.mix_queue(read(spark, sf_dir, "documents"), share=1.5, weights=(5, 2, 1), passes=2)
+    return queue.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +51,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards with near equal bytes; virtual_slot is the slot that the map assigns, slot the place in the shard."""
-    placed, _ = sharding.shard_documents(read(spark, sf_dir, "documents"), count=40)
+    """Shards with near equal bytes; virtual_slot is the slot that the stored map assigns, slot the place in the shard."""
+    folder = f"{ensure_checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    placed, _ = sharding.shard_documents(read(spark, sf_dir, "documents"), count=40, folder=folder)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
@@ -86,13 +89,26 @@ ORACLE_SQL = {
             FROM weighed),
         chosen AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
         goal AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT level FROM chosen)), cap) AS target FROM levels),
+        ticks AS (SELECT greatest(16, least(4096, (SELECT count(*) FROM sized) // (SELECT count(*) FROM per_source))) AS k),
         queued AS (
-            SELECT s.doc_id, s.size, g.source_size, g.target,
-                   coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-            FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken
-        FROM queued""",
+            SELECT s.doc_id, s.size, s.key, g.source_size, g.target, p.pass,
+                   coalesce(sum(s.size) OVER (PARTITION BY s.source, p.pass ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                   + (p.pass - 1) * g.source_size AS start
+            FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source, (VALUES (1), (2)) p(pass)),
+        spanned AS (
+            SELECT *, k, CASE WHEN size > 0 AND target > 0 THEN unnest(range(greatest(0, least(k, CAST(floor(start * k / target) AS BIGINT)) - 1),
+                                                                              least(k, least(k, CAST(floor((start + size) * k / target) AS BIGINT)) + 1) + 1)) END AS j
+            FROM queued, ticks WHERE size > 0 AND target > 0),
+        bordered AS (SELECT *, CAST(floor(target * j / k) AS BIGINT) AS low, CASE WHEN j = k THEN start + size ELSE CAST(floor(target * (j + 1) / k) AS BIGINT) END AS high FROM spanned),
+        fragments AS (
+            SELECT doc_id, size, key, pass, least(start + size, high) - greatest(start, low) AS words,
+                   CASE WHEN high >= start + size THEN (start + size) / target ELSE (j + 1) / k END AS finish
+            FROM bordered WHERE least(start + size, high) > greatest(start, low)),
+        ordered AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, pass, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fragments),
+        cut AS (
+            SELECT doc_id, sum(greatest(0, least(words, (SELECT sum(floor(target)) FROM goal) - before))) AS taken FROM ordered GROUP BY doc_id)
+        SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(c.taken, 0) AS BIGINT) AS taken
+        FROM queued q LEFT JOIN cut c USING (doc_id) WHERE q.pass = 1""",
     "op6_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations

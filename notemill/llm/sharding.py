@@ -11,10 +11,10 @@ import heapq
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm.common import cut
+from notemill.llm.common import cut, spread_rank
 
 SLOTS = 16384
 
@@ -122,22 +122,60 @@ def sized_records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", t
     return docs.select(F.col(id_col), (F.octet_length(text) + overhead).cast("long").alias("size"), crc.alias("text_crc32"), slot_of(key, slots).alias("virtual_slot"))
 
 
-def shard_documents(docs: DataFrame, count: int = 40, slot_map: SlotMap | None = None, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
+def save_map(spark: SparkSession, folder: str, slot_map: SlotMap) -> None:
+    """Adds a version to the stored map; versions are never written twice."""
+    if slot_map.version in versions(spark, folder):
+        raise ValueError(f"{folder} has version {slot_map.version} already")
+    rows = [(slot_map.version, slot_map.count, slot, shard) for slot, shard in enumerate(slot_map.shards)]
+    spark.createDataFrame(rows, "version int, count int, slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(folder)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions stored in folder, in order; none if there is no map yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return sorted(r["version"] for r in spark.read.parquet(folder).select("version").distinct().collect())  # one row a version
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap:
+    """A stored version, the latest if none is given."""
+    chosen = versions(spark, folder)[-1] if version is None else version
+    rows = sorted((r["slot"], r["shard"], r["count"]) for r in spark.read.parquet(folder).where(F.col("version") == chosen).collect())  # one row a slot
+    return SlotMap(chosen, rows[0][2], tuple(shard for _, shard, _ in rows))
+
+
+def shard_documents(docs: DataFrame, count: int = 40, slot_map: SlotMap | None = None, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, SlotMap]:
     """One row per row of docs: id_col, size, text_crc32, virtual_slot, shard, slot (its place in its shard); and the map.
 
-    Without a map, one is packed from the bytes of each virtual slot and rebalanced, so that shards' bytes are near
-    equal; with one, it is used as it stands. Places are gapless from 0 in each shard: a slot's first place follows from
-    the rows of the slots before it in its shard, so a shard is never ordered in one task. An empty table gives an
-    empty result and a map of empty slots.
+    With slot_map, or where folder holds a map, that one is used; a stored one is edited, and stored as the next version,
+    where shards are over 1 % from equal bytes. Else a map is packed from the bytes of each virtual slot and rebalanced,
+    and both versions are stored in folder, if there is one. Places are gapless from 0 in each shard: a slot's first place
+    follows from the rows of the slots before it in its shard, so a shard is never ordered in one task. An empty table
+    gives an empty result and a map of empty slots.
     """
+    spark = docs.sparkSession
     sized = cut(sized_records(docs, slots, id_col, text_col))
     weights, rows = slot_weights(sized, slots)
-    chosen = slot_map or SlotMap.packed(weights, count).rebalanced(weights, 0.0001)
-    first, filled = [], [0] * chosen.count
-    for slot, shard in enumerate(chosen.shards):
+    if slot_map is None and folder is not None and versions(spark, folder):
+        slot_map = load_map(spark, folder)
+        edited = slot_map.rebalanced(weights)
+        if edited.moved:
+            save_map(spark, folder, edited)
+            slot_map = load_map(spark, folder)
+    elif slot_map is None:
+        slot_map = SlotMap.packed(weights, count)
+        edited = slot_map.rebalanced(weights, 0.0001)
+        for m in (slot_map, edited) if folder is not None else ():
+            save_map(spark, folder, m)
+        slot_map = edited if folder is None else load_map(spark, folder)
+    if len(slot_map.shards) != slots:
+        raise ValueError(f"the map has {len(slot_map.shards)} slots, not {slots}")
+    first, filled = [], [0] * slot_map.count
+    for slot, shard in enumerate(slot_map.shards):
         first.append((slot, shard, filled[shard]))
         filled[shard] += rows[slot]
-    layout = F.broadcast(docs.sparkSession.createDataFrame(first, "virtual_slot int, shard int, _first long"))  # one row a slot
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size")) - 1
-    placed = sized.withColumn("_inside", inside).join(layout, "virtual_slot")
-    return placed.select(id_col, "size", "text_crc32", "virtual_slot", "shard", (F.col("_first") + F.col("_inside")).cast("long").alias("slot")), chosen
+    layout = F.broadcast(spark.createDataFrame(first, "virtual_slot int, shard int, _first long"))  # one row a slot
+    ranked = spread_rank(sized, ["virtual_slot"], [F.col(id_col), F.col("text_crc32"), F.col("size")], "_inside")
+    placed = ranked.join(layout, "virtual_slot")
+    return placed.select(id_col, "size", "text_crc32", "virtual_slot", "shard", (F.col("_first") + F.col("_inside")).cast("long").alias("slot")), slot_map

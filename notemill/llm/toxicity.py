@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import ftrl, wordhash
+from notemill.llm.common import map_texts
 
 #: Letters and digits of ASCII in lower case, and all bytes of other characters, make words.
 _WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
@@ -33,10 +34,13 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most so many labelled rows: those whose ids have the smallest hashes. Null labels are left out."""
+    """(_id, _text, _label) of at most so many labelled rows: those whose ids have the smallest hashes. Null labels are left out.
+
+    Of documents repeated with one id, the first by text.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(rows))  # at most rows narrow rows
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id").select("_id", "_text", "_label")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 12000, passes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> ftrl.Sparse:
@@ -53,7 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         model = ftrl.Ftrl(alpha=1.0, l1=3.0, l2=0.1).fit([seen[i] for i in order], np.array([y[i] for i in order], float), passes).sparse()
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.index.tolist()], pa.list_(pa.int32())), pa.array([model.weight.tolist()], pa.list_(pa.float32()))], ["bias", "index", "weight"])
 
-    got = sample(docs, labels, label, fit_rows, id_col, text_col).repartition(1).mapInArrow(train, "bias double, index array<int>, weight array<float>").first()
+    got = map_texts(sample(docs, labels, label, fit_rows, id_col, text_col).repartition(1), train, "bias double, index array<int>, weight array<float>").first()
     if got is None:  # no labelled rows at all
         return ftrl.Sparse(0.0, np.empty(0, np.int32), np.empty(0, np.float32))
     return ftrl.Sparse(got["bias"], np.array(got["index"], np.int32), np.array(got["weight"], np.float32))
@@ -73,7 +77,7 @@ def score(docs: DataFrame, model: ftrl.Sparse, keep: list[Column], text_col: str
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(ftrl.logistic(total + model.bias))], [*[f.name for f in fields], "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return taken.mapInArrow(scored, f"{schema}, score double")
+    return map_texts(taken, scored, f"{schema}, score double")
 
 
 def held_out(id_col: Column) -> Column:
