@@ -11,6 +11,8 @@ SECTIONS = {
     "diagnosis": ("Discharge Diagnosis:", ("Discharge Condition:", "Discharge Instructions:", "Medications", "Followup")),
     "exam": ("Physical Exam:", ("Pertinent Results:", "Brief Hospital Course:", "Discharge:")),
     "admission_meds": ("Medications on Admission:", ("Discharge Medications:", "Discharge Disposition:")),
+    "exam_context": ("Physical Exam:", ("Brief Hospital Course:", "Pertinent Results:", "Medications")),
+    "admission_context": ("Medications on Admission:", ("Discharge Medications:", "Discharge Diagnosis:", "Physical Exam:")),
     "past_history": ("Past Medical History:", ("Social History:", "Family History:", "Physical Exam:")),
 }
 
@@ -96,63 +98,122 @@ TRANSLATIONS = {
     "fatigue": "fadiga", "weakness": "fraqueza", "weight loss": "perda de peso", "night sweats": "sudorese noturna", "chills": "calafrios", "abdominal pain": "dor abdominal",
     "back pain": "dor lombar", "joint pain": "dor articular", "muscle pain": "mialgia", "sore throat": "dor de garganta", "runny nose": "rinorreia",
 }
-#: Canonical names and the folded spellings that stand for them.
+#: Folded spellings and the canonical names that they stand for.
 CANONICAL = {
-    "Hipertensão arterial sistêmica": ("hipertensao", "hipertensao arterial", "hipertensao arterial sistemica", "has", "htn", "hypertension"),
-    "Diabetes Mellitus": ("diabetes", "diabetes mellitus", "dm"),
-    "Diabetes Mellitus tipo 2": ("diabetes mellitus tipo 2", "dm2", "diabetes tipo 2"),
-    "Diabetes Mellitus tipo 1": ("diabetes mellitus tipo 1", "dm1"),
-    "Dislipidemia": ("hiperlipidemia", "dislipidemia", "hyperlipidemia"),
-    "Doença do Refluxo Gastroesofágico (DRGE)": ("drge", "doenca do refluxo gastroesofagico", "refluxo gastroesofagico", "gerd"),
-    "AIDS (Síndrome da Imunodeficiência Adquirida)": ("aids", "sindrome da imunodeficiencia adquirida"),
-    "HIV/AIDS": ("hiv/aids", "hiv"),
-    "Tuberculose": ("tuberculose", "tb"),
-    "Tuberculose pulmonar": ("tuberculose pulmonar",),
-    "Sífilis": ("sifilis", "syphilis"),
-    "Neurossífilis": ("neurossifilis", "neurosyphilis"),
-    "Doença renal crônica": ("insuficiencia renal cronica", "irc", "doenca renal cronica", "drc", "ckd"),
-    "Lesão renal aguda": ("insuficiencia renal aguda", "ira", "lesao renal aguda"),
-    "Insuficiência cardíaca": ("insuficiencia cardiaca",),
-    "Insuficiência cardíaca congestiva": ("insuficiencia cardiaca congestiva", "icc", "chf"),
-    "Fibrilação atrial": ("fibrilacao atrial", "fa", "afib"),
-    "Doença Pulmonar Obstrutiva Crônica (DPOC)": ("dpoc", "doenca pulmonar obstrutiva cronica", "copd"),
-    "Fenômeno de Raynaud": ("sindrome de raynaud", "fenomeno de raynaud", "doenca de raynaud"),
-    "Anemia": ("anemia",),
-    "Anemia ferropriva": ("anemia ferropriva",),
-    "Anemia de doença crônica": ("anemia de doenca cronica", "anemia de inflamacao cronica"),
-    "Hepatite B": ("hepatite b",),
-    "Hepatite C": ("hepatite c",),
-    "Hepatite A": ("hepatite a",),
-    "Embolia pulmonar": ("embolia pulmonar", "ep", "tromboembolismo pulmonar", "tep", "pe"),
-    "Obesidade": ("obesidade",),
-    "Obesidade mórbida": ("obesidade morbida",),
-    "Hipotireoidismo": ("hipotireoidismo",),
-    "Asma": ("asma",),
-    "Osteoporose": ("osteoporose",),
-    "Osteopenia": ("osteopenia",),
-    "Gota": ("gota",),
-    "Depressão": ("depressao",),
-    "Transtorno de ansiedade": ("ansiedade",),
-    "Sulfametoxazol-Trimetoprima": ("bactrim", "tmp-smx", "sulfametoxazol-trimetoprima", "cotrimoxazol"),
-    "Paracetamol": ("tylenol", "acetaminofeno", "paracetamol"),
-    "Ibuprofeno": ("advil", "ibuprofeno"),
-    "Furosemida": ("lasix", "furosemida"),
-    "Ondansetrona": ("zofran", "ondansetrona"),
-    "Heparina": ("heparina",),
-    "Enoxaparina": ("enoxaparina", "lovenox"),
-    "Insulina": ("insulina",),
-    "Insulina regular": ("insulina regular",),
-    "Insulina NPH": ("insulina nph",),
-    "Insulina glargina": ("insulina glargina", "lantus"),
-    "Mycobacterium tuberculosis": ("mycobacterium tuberculosis", "m. tuberculosis", "mtb"),
-    "Pneumocystis jirovecii": ("pneumocystis jirovecii", "pneumocystis carinii", "pcp"),
-    "Treponema pallidum": ("treponema pallidum",),
-    "Vírus da Hepatite B (HBV)": ("virus da hepatite b", "hbv", "virus da hepatite b (hbv)"),
-    "Vírus da Hepatite C (HCV)": ("virus da hepatite c", "hcv"),
-    "Staphylococcus aureus": ("staphylococcus aureus", "s. aureus"),
-    "Staphylococcus aureus resistente à meticilina (MRSA)": ("mrsa",),
-    "Escherichia coli": ("escherichia coli", "e. coli"),
-    "Candida albicans": ("candida albicans", "c. albicans"),
+    "hipertensao": "Hipertensão arterial sistêmica",
+    "hipertensao arterial": "Hipertensão arterial sistêmica",
+    "hipertensao arterial sistemica": "Hipertensão arterial sistêmica",
+    "has": "Hipertensão arterial sistêmica",
+    "htn": "Hipertensão arterial sistêmica",
+    "hypertension": "Hipertensão arterial sistêmica",
+    "diabetes": "Diabetes Mellitus",
+    "diabetes mellitus": "Diabetes Mellitus",
+    "dm": "Diabetes Mellitus",
+    "diabetes mellitus tipo 2": "Diabetes Mellitus tipo 2",
+    "dm2": "Diabetes Mellitus tipo 2",
+    "diabetes tipo 2": "Diabetes Mellitus tipo 2",
+    "diabetes mellitus tipo 1": "Diabetes Mellitus tipo 1",
+    "dm1": "Diabetes Mellitus tipo 1",
+    "hiperlipidemia": "Dislipidemia",
+    "dislipidemia": "Dislipidemia",
+    "hyperlipidemia": "Dislipidemia",
+    "drge": "Doença do Refluxo Gastroesofágico (DRGE)",
+    "doenca do refluxo gastroesofagico": "Doença do Refluxo Gastroesofágico (DRGE)",
+    "refluxo gastroesofagico": "Doença do Refluxo Gastroesofágico (DRGE)",
+    "gerd": "Doença do Refluxo Gastroesofágico (DRGE)",
+    "aids": "AIDS (Síndrome da Imunodeficiência Adquirida)",
+    "sindrome da imunodeficiencia adquirida": "AIDS (Síndrome da Imunodeficiência Adquirida)",
+    "hiv/aids": "HIV/AIDS",
+    "hiv": "HIV/AIDS",
+    "tuberculose": "Tuberculose",
+    "tb": "Tuberculose",
+    "tuberculose pulmonar": "Tuberculose pulmonar",
+    "sifilis": "Sífilis",
+    "syphilis": "Sífilis",
+    "neurossifilis": "Neurossífilis",
+    "neurosyphilis": "Neurossífilis",
+    "insuficiencia renal cronica": "Doença renal crônica",
+    "irc": "Doença renal crônica",
+    "doenca renal cronica": "Doença renal crônica",
+    "drc": "Doença renal crônica",
+    "ckd": "Doença renal crônica",
+    "insuficiencia renal aguda": "Lesão renal aguda",
+    "ira": "Lesão renal aguda",
+    "lesao renal aguda": "Lesão renal aguda",
+    "insuficiencia cardiaca": "Insuficiência cardíaca",
+    "insuficiencia cardiaca congestiva": "Insuficiência cardíaca congestiva",
+    "icc": "Insuficiência cardíaca congestiva",
+    "chf": "Insuficiência cardíaca congestiva",
+    "fibrilacao atrial": "Fibrilação atrial",
+    "fa": "Fibrilação atrial",
+    "afib": "Fibrilação atrial",
+    "dpoc": "Doença Pulmonar Obstrutiva Crônica (DPOC)",
+    "doenca pulmonar obstrutiva cronica": "Doença Pulmonar Obstrutiva Crônica (DPOC)",
+    "copd": "Doença Pulmonar Obstrutiva Crônica (DPOC)",
+    "sindrome de raynaud": "Fenômeno de Raynaud",
+    "fenomeno de raynaud": "Fenômeno de Raynaud",
+    "doenca de raynaud": "Fenômeno de Raynaud",
+    "anemia": "Anemia",
+    "anemia ferropriva": "Anemia ferropriva",
+    "anemia de doenca cronica": "Anemia de doença crônica",
+    "anemia de inflamacao cronica": "Anemia de doença crônica",
+    "hepatite b": "Hepatite B",
+    "hepatite c": "Hepatite C",
+    "hepatite a": "Hepatite A",
+    "embolia pulmonar": "Embolia pulmonar",
+    "ep": "Embolia pulmonar",
+    "tromboembolismo pulmonar": "Embolia pulmonar",
+    "tep": "Embolia pulmonar",
+    "pe": "Embolia pulmonar",
+    "obesidade": "Obesidade",
+    "obesidade morbida": "Obesidade mórbida",
+    "hipotireoidismo": "Hipotireoidismo",
+    "asma": "Asma",
+    "osteoporose": "Osteoporose",
+    "osteopenia": "Osteopenia",
+    "gota": "Gota",
+    "depressao": "Depressão",
+    "ansiedade": "Transtorno de ansiedade",
+    "bactrim": "Sulfametoxazol-Trimetoprima",
+    "tmp-smx": "Sulfametoxazol-Trimetoprima",
+    "sulfametoxazol-trimetoprima": "Sulfametoxazol-Trimetoprima",
+    "cotrimoxazol": "Sulfametoxazol-Trimetoprima",
+    "tylenol": "Paracetamol",
+    "acetaminofeno": "Paracetamol",
+    "paracetamol": "Paracetamol",
+    "advil": "Ibuprofeno",
+    "ibuprofeno": "Ibuprofeno",
+    "lasix": "Furosemida",
+    "furosemida": "Furosemida",
+    "zofran": "Ondansetrona",
+    "ondansetrona": "Ondansetrona",
+    "heparina": "Heparina",
+    "enoxaparina": "Enoxaparina",
+    "lovenox": "Enoxaparina",
+    "insulina": "Insulina",
+    "insulina regular": "Insulina regular",
+    "insulina nph": "Insulina NPH",
+    "insulina glargina": "Insulina glargina",
+    "lantus": "Insulina glargina",
+    "mycobacterium tuberculosis": "Mycobacterium tuberculosis",
+    "m. tuberculosis": "Mycobacterium tuberculosis",
+    "mtb": "Mycobacterium tuberculosis",
+    "pneumocystis jirovecii": "Pneumocystis jirovecii",
+    "pneumocystis carinii": "Pneumocystis jirovecii",
+    "pcp": "Pneumocystis jirovecii",
+    "treponema pallidum": "Treponema pallidum",
+    "virus da hepatite b": "Vírus da Hepatite B (HBV)",
+    "hbv": "Vírus da Hepatite B (HBV)",
+    "virus da hepatite b (hbv)": "Vírus da Hepatite B (HBV)",
+    "virus da hepatite c": "Vírus da Hepatite C (HCV)",
+    "hcv": "Vírus da Hepatite C (HCV)",
+    "staphylococcus aureus": "Staphylococcus aureus",
+    "s. aureus": "Staphylococcus aureus",
+    "mrsa": "Staphylococcus aureus resistente à meticilina (MRSA)",
+    "escherichia coli": "Escherichia coli",
+    "e. coli": "Escherichia coli",
+    "candida albicans": "Candida albicans",
+    "c. albicans": "Candida albicans",
 }
 
 # --- fixed values: quality checks ---

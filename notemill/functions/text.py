@@ -135,6 +135,11 @@ def filled(text: Column) -> Column:
     return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the text is one JSON value and nothing else: the built-in parsers would take one with anything behind it."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
 def json_length(value: Column) -> Column:
     """Length of compact JSON with a blank after each comma and colon between items, outside strings."""
     bare = F.regexp_replace(value, r'"(?:[^"\\]|\\.)*+"', "s")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import lexicons, text
-from notemill.operators.entities import with_key
+from notemill.operators.entities import by_record, with_key
 
 ISSUE = ("record_id", "check", "category", "entity", "detail")
 
@@ -77,6 +77,30 @@ def all_checks(entities: DataFrame, contexts: DataFrame | None = None) -> DataFr
     return out
 
 
+def summed(entities: DataFrame, terms: Sequence[str], term_check: str, category: str, groups: Sequence[Sequence[str]]) -> DataFrame:
+    """summary() of repeated_keys(), listed() and synonyms(), in one pass: rows are dealt out by record once and marked there."""
+    table = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for k in g for x in (k, i)])
+    keyed = by_record(entities).withColumn("_g", F.try_element_at(table, F.col("key")))
+    key, group = Window.partitionBy("record_id", "key"), Window.partitionBy("record_id", "category", "_g")
+    numbered = keyed.withColumns({"_kn": F.row_number().over(key.orderBy("category", "pos")), "_gk": F.dense_rank().over(group.orderBy("key")), "_gn": F.row_number().over(group.orderBy("key"))})
+    repeated, many = F.col("_kn") == 2, F.col("_g").isNotNull() & (F.col("_gk") == 2)
+    first_many = many & (F.row_number().over(Window.partitionBy("record_id", "category", "_g", "_gk").orderBy("_gn")) == 1)
+    marks = {"repeated_key": repeated, term_check: (F.col("category") == category) & F.col("key").isin(list(terms)), "synonyms": first_many}
+    marked = numbered.withColumns({f"_is_{i}": m.cast("long") for i, m in enumerate(marks.values())})
+    by = marked.groupBy("record_id").agg(*[F.sum(f"_is_{i}").alias(f"_is_{i}") for i in range(len(marks))])
+    each = by.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"_is_{i}").alias("n")) for i, k in enumerate(marks)])).alias("x")).select("x.*").where("n > 0")
+    return each.groupBy("check").agg(F.sum("n").alias("n_issues"), F.count("*").alias("n_records"))
+
+
+def before_and_after(marked: DataFrame, terms: Sequence[str], term_check: str, category: str) -> DataFrame:
+    """compared() of repeated_keys() and listed() on all rows and on those with `after` (entities.after_steps()), in one pass."""
+    hit = (F.col("category") == category) & F.col("key").isin(list(terms))
+    keys = marked.groupBy("record_id", "key").agg(F.count("*").alias("n"), F.count_if("after").alias("m"), F.count_if(hit).alias("h"), F.count_if(hit & F.col("after")).alias("g"))
+    sums = keys.agg(F.count_if(F.col("n") > 1).alias("rb"), F.count_if(F.col("m") > 1).alias("ra"), F.coalesce(F.sum("h"), F.lit(0)).cast("long").alias("lb"), F.coalesce(F.sum("g"), F.lit(0)).cast("long").alias("la"))
+    row = lambda check, b, a: F.struct(F.lit(check).alias("check"), F.col(b).alias("n_before"), F.col(a).alias("n_after"), (F.col(a) - F.col(b)).alias("delta"))
+    return sums.select(F.inline(F.array(row("repeated_key", "rb", "ra"), row(term_check, "lb", "la")))).where("n_before + n_after > 0")
+
+
 def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("check").agg(F.count("*").alias("n_issues"), F.countDistinct("record_id").alias("n_records"))
 

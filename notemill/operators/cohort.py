@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from notemill.functions import lexicons, text
 
 
+#: A side of a join is broadcast only if it has no more rows than this.
+BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def keep_in(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids.select(on), on, "left_semi")
 
@@ -87,8 +96,25 @@ def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], mo
 
 
 def stratified(df: DataFrame, keys: Sequence[str], quota: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """quota rows (keys, quota; a small table) of each stratum, in an order that should be a hash of the row's id."""
-    return first_rows(df.join(F.broadcast(quota), list(keys)), keys, order, F.col("quota"))
+    """quota rows (keys, quota) of each stratum, in an order that should be a hash of the row's id."""
+    return first_rows(df.join(bounded_broadcast(quota), list(keys)), keys, order, F.col("quota"))
+
+
+def anchored(df: DataFrame, anchors: DataFrame, on: str, keys: Sequence[str], quota: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The anchors (rows of df whose `on` is in anchors; all of them), and quota rows of each stratum from the others; with `anchor`."""
+    fixed = keep_in(df, anchors, on).withColumns({"anchor": F.lit(True), "rank": F.lit(0)})
+    others = stratified(df.join(anchors.select(on), on, "left_anti"), keys, quota, order)
+    return fixed.unionByName(others.withColumn("anchor", F.lit(False)).select(*df.columns, "anchor", "rank"))
+
+
+def smoke(df: DataFrame, order: Sequence[Column], n: int = 3) -> DataFrame:
+    """A few rows to try things on: the first n in an order that should be a hash of the row's id."""
+    return df.orderBy(*order).limit(n)
+
+
+def with_flag(df: DataFrame, term: str, flag: str, value: int = 1) -> DataFrame:
+    """The distinct terms that are marked with the value."""
+    return df.where((F.col(flag) == value) & F.col(term).isNotNull()).select(term).distinct()
 
 
 def filled_from_neighbours(df: DataFrame, class_col: str, bin_col: str, quota: Mapping[str, int], neighbours: Mapping[str, Sequence[str]], order: Sequence[Column]) -> DataFrame:
@@ -115,10 +141,22 @@ def shortages(df: DataFrame, keys: Sequence[str], quota: DataFrame) -> DataFrame
 
 
 def split(df: DataFrame, class_col: str, order: Sequence[Column], share: float = 0.1) -> DataFrame:
-    """'validation' for the first max(1, floor(n x share)) rows of each class in the order, 'train' for the others."""
-    many = df.groupBy(class_col).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).cast("int").alias("_many"))
-    rank = F.row_number().over(Window.partitionBy(class_col).orderBy(*order))
-    return df.join(many, class_col).withColumn("split", F.when(rank <= F.col("_many"), "validation").otherwise("train")).drop("_many")
+    """'validation' for the first max(1, floor(n x share)) rows of each class in the order, 'train' for the others.
+
+    order: text columns, the first of them a hash in hexadecimal. Rows are counted by class and the hash's first four digits;
+    running counts over those (65,536 a class at most) say which digits lie before the border, and only the rows of the
+    border's own digits are ordered in a window.
+    """
+    part = F.substring(order[0], 1, 4)
+    dealt = df.withColumn("_part", part)
+    counts = dealt.groupBy(class_col, "_part").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(class_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    all_of = Window.partitionBy(class_col)
+    many = F.greatest(F.lit(1).cast("long"), F.floor(F.sum("_n").over(all_of) * share))
+    borders = counts.withColumns({"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0).cast("long")), "_many": many})
+    placed = dealt.join(borders, [class_col, "_part"])
+    rank = F.row_number().over(Window.partitionBy(class_col, "_part").orderBy(*order))
+    return placed.withColumn("split", F.when(F.col("_ahead") + rank <= F.col("_many"), "validation").otherwise("train")).drop("_part", "_n", "_ahead", "_many")
 
 
 def overlaps(parts: Mapping[str, DataFrame], key: str) -> DataFrame:

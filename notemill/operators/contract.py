@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.lexicons import CATEGORIES, OVERFLOW
+from notemill.functions.text import is_json
 from notemill.schemas import RECORD, SOAP
 
 FAILED = "ERRO"
@@ -57,6 +58,20 @@ def extract(notes: DataFrame, entities: Callable[[str], dict], sections: Callabl
     return taken.mapInPandas(run, RECORD)
 
 
+def nested(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row, `value`: JSON objects within objects by keys, the innermost holding value; df has a row for each combination.
+
+    Meant for dictionaries: a level's entries are gathered in one row.
+    """
+    inner = F.col(value)
+    for i in range(len(keys) - 1, -1, -1):
+        outer = keys[:i]
+        entry = F.array_sort(F.collect_list(F.struct(F.col(keys[i]).cast("string").alias("k"), inner.alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+        df = df.groupBy(*outer).agg(F.map_from_entries(entry).alias("_inner")) if outer else df.agg(F.map_from_entries(entry).alias("_inner"))
+        inner = F.col("_inner")
+    return df.select(F.to_json(inner).alias("value"))
+
+
 def lexicon_extractor(table: dict[str, list[str]]) -> Callable[[str], dict]:
     """A deterministic stand-in: each category's terms that occur in the text."""
     return lambda text: {c: [t for t in terms if t in text.lower()] for c, terms in table.items()}
@@ -103,9 +118,9 @@ def parse_lists(df: DataFrame, raw: str) -> DataFrame:
     What the built-in parser reads never reaches Python; only the others are repaired, in Arrow batches.
     """
     strict = F.from_json(F.col(raw), _MAP, {"mode": "PERMISSIVE"})
-    valid = F.coalesce(F.is_valid_utf8(F.col(raw)), F.lit(False)) & F.try_parse_json(F.col(raw)).isNotNull() & strict.isNotNull()
+    valid = F.coalesce(F.is_valid_utf8(F.col(raw)), F.lit(False)) & is_json(F.col(raw)) & strict.isNotNull()
     good = df.where(valid).withColumns({"parsed": strict, "how": F.lit("strict")})
-    rest = df.where(~F.coalesce(valid, F.lit(False)))
+    rest = df.where(~valid)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def repair(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

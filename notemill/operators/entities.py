@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import lexicons, text
-from notemill.operators.cohort import first_rows
+from notemill.operators.cohort import bounded_broadcast, first_rows
 
 LONG = ("record_id", "category", "pos", "entity")
+DISEASE, SYMPTOM, _, LAB, _, _ = lexicons.CATEGORIES
 
 
 def long_form(records: DataFrame, id_col: str, lists: Mapping[str, Column]) -> DataFrame:
@@ -37,51 +38,88 @@ def _rank(order: Sequence[str]) -> Column:
 
 
 def with_key(entities: DataFrame) -> DataFrame:
-    return entities.withColumn("key", text.key(F.col("entity")))
+    return entities if "key" in entities.columns else entities.withColumn("key", text.key(F.col("entity")))
+
+
+def by_record(entities: DataFrame) -> DataFrame:
+    """Keyed rows dealt out by record: all windows and groups of the steps hold the record, so this shuffle serves them all."""
+    return with_key(entities).repartition("record_id")
+
+
+def _within(keyed: DataFrame) -> DataFrame:
+    first = F.min(F.struct("pos", "entity")).alias("first")  # combined before a shuffle, where there is one
+    return keyed.groupBy("record_id", "category", "key").agg(first).select("record_id", "category", "first.pos", "first.entity", "key")
+
+
+def _best(keyed: DataFrame, order: Sequence[str]) -> DataFrame:
+    best = F.min("_rank").over(Window.partitionBy("record_id", "key"))
+    return keyed.withColumn("_rank", _rank(order)).withColumn("_best", best).where("_rank = _best").drop("_rank", "_best")
+
+
+def _placed(keyed: DataFrame, order: Sequence[str], stop: Sequence[str]) -> DataFrame:
+    """With gone: another place of the key comes first, by precedence and position, and it is no stop term."""
+    place = F.row_number().over(Window.partitionBy("record_id", "key").orderBy("_rank", "pos"))
+    return keyed.withColumn("_rank", _rank(order)).withColumn("_n", place).withColumn("gone", (F.col("_n") > 1) & ~F.col("key").isin(list(stop))).drop("_rank", "_n")
+
+
+def _named(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    named = keyed.join(bounded_broadcast(table.select("key", "name")), "key", "left")
+    return named.select("record_id", "category", "pos", F.coalesce("name", "entity").alias("entity"), F.when(F.col("name").isNull(), F.col("key")).otherwise(text.key(F.col("name"))).alias("key"))
+
+
+def _moved(keyed: DataFrame, pattern: str, source: str, target: str) -> DataFrame:
+    moving = (F.col("category") == source) & F.col("key").rlike(pattern)
+    marked = keyed.withColumn("_moves", moving).withColumn("category", F.when(F.col("_moves"), target).otherwise(F.col("category")))
+    keys = Window.partitionBy("record_id", "category", "key")
+    seen = marked.withColumn("_n", F.row_number().over(keys.orderBy("_moves", "pos"))).where(~F.col("_moves") | (F.col("_n") == 1))
+    order = Window.partitionBy("record_id", "category").orderBy("_moves", "pos")
+    return seen.withColumn("pos", F.when(F.col("category") == target, F.row_number().over(order) - 1).otherwise(F.col("pos"))).select(*LONG, "key")
+
+
+def _matching(pattern: str, category: str) -> Column:
+    return (F.col("category") == category) & F.col("key").rlike(f"(?iU){pattern}")
 
 
 def dedup_within(entities: DataFrame) -> DataFrame:
     """Of one key in one category of a record the first stays."""
-    first = F.row_number().over(Window.partitionBy("record_id", "category", "key").orderBy("pos"))
-    return with_key(entities).withColumn("_n", first).where("_n = 1").select(*LONG)
+    return _within(with_key(entities)).select(*LONG)
 
 
 def exclusive(entities: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A) -> DataFrame:
     """A key stays only in the first of its categories by precedence; repeats inside it stay too."""
-    best = F.min("_rank").over(Window.partitionBy("record_id", "key"))
-    return with_key(entities).withColumn("_rank", _rank(order)).withColumn("_best", best).where("_rank = _best").select(*LONG)
+    return _best(with_key(entities), order).select(*LONG)
 
 
 def dedup_across(entities: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_B, stop: Sequence[str] = lexicons.STOP_TERMS) -> DataFrame:
     """One place for a key over all categories, the first by precedence and position; stop terms are exempt."""
-    place = F.row_number().over(Window.partitionBy("record_id", "key").orderBy("_rank", "pos"))
-    ranked = with_key(entities).withColumn("_rank", _rank(order)).withColumn("_n", place)
-    return ranked.where((F.col("_n") == 1) | F.col("key").isin(list(stop))).select(*LONG)
+    return _placed(with_key(entities), order, stop).where("not gone").select(*LONG)
 
 
 def canonical(entities: DataFrame, table: DataFrame) -> DataFrame:
-    """Entities under their canonical names (table: key, name; a lexicon, so its size is fixed), then without repeats."""
-    named = with_key(entities).join(F.broadcast(table.select("key", "name")), "key", "left")
-    return dedup_within(named.select("record_id", "category", "pos", F.coalesce("name", "entity").alias("entity")))
+    """Entities under their canonical names (table: key, name; broadcast while it is small), then without repeats."""
+    return _within(_named(with_key(entities), table)).select(*LONG)
 
 
-def canonical_table(spark, names: Mapping[str, Sequence[str]] = lexicons.CANONICAL) -> DataFrame:
-    return spark.createDataFrame([(k, name) for name, keys in names.items() for k in keys], "key string, name string")
+def canonical_table(spark, names: Mapping[str, str] = lexicons.CANONICAL) -> DataFrame:
+    return spark.createDataFrame(list(names.items()), "key string, name string")
 
 
 def clean(entities: DataFrame, table: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A) -> DataFrame:
-    """Repeats, precedence, canonical names: stable from its second application on."""
-    return canonical(exclusive(dedup_within(entities), order), table)
+    """Repeats, precedence, canonical names, on one shuffle: stable from its second application on."""
+    return _within(_named(_best(_within(by_record(entities)), order), table)).select(*LONG)
+
+
+def after_steps(entities: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A) -> DataFrame:
+    """Keyed rows, dealt out by record, with after: whether the first two steps of clean() keep the row."""
+    first = F.row_number().over(Window.partitionBy("record_id", "category", "key").orderBy("pos")) == 1
+    marked = by_record(entities).withColumn("_first", first).withColumn("_rank", F.when(F.col("_first"), _rank(order)))
+    best = F.min("_rank").over(Window.partitionBy("record_id", "key"))
+    return marked.withColumn("after", F.col("_first") & (F.col("_rank") == best)).drop("_first", "_rank")
 
 
 def recategorise(entities: DataFrame, pattern: str, source: str, target: str) -> DataFrame:
     """Entities of source whose key matches move to the end of target, unless target has the key already."""
-    moving = (F.col("category") == source) & F.col("key").rlike(pattern)
-    marked = with_key(entities).withColumn("_moves", moving).withColumn("category", F.when(F.col("_moves"), target).otherwise(F.col("category")))
-    keys = Window.partitionBy("record_id", "category", "key")
-    seen = marked.withColumn("_n", F.row_number().over(keys.orderBy("_moves", "pos"))).where(~F.col("_moves") | (F.col("_n") == 1))
-    order = Window.partitionBy("record_id", "category").orderBy("_moves", "pos")
-    return seen.withColumn("pos", F.when(F.col("category") == target, F.row_number().over(order) - 1).otherwise(F.col("pos"))).select(*LONG)
+    return _moved(with_key(entities), pattern, source, target).select(*LONG)
 
 
 def imaging_pattern(terms: Sequence[str] = lexicons.IMAGING) -> str:
@@ -93,18 +131,22 @@ def imaging_pattern(terms: Sequence[str] = lexicons.IMAGING) -> str:
 
 def dropped(entities: DataFrame, pattern: str, category: str) -> DataFrame:
     """Without the entities of a category whose key matches."""
-    gone = (F.col("category") == category) & F.col("key").rlike(f"(?iU){pattern}")
-    return with_key(entities).where(~gone).select(*LONG)
+    return with_key(entities).where(~_matching(pattern, category)).select(*LONG)
 
 
 def substituted(entities: DataFrame, table: Mapping[str, str] = lexicons.TRANSLATIONS) -> DataFrame:
-    return entities.withColumn("entity", text.phrases(F.col("entity"), table))
+    """Entities with phrases replaced; a key is made anew."""
+    return entities.drop("key").withColumn("entity", text.phrases(F.col("entity"), table))
+
 
+def layered(entities: DataFrame, moves: tuple[str, str, str] | None = None, drops: tuple[str, str] | None = None, table: Mapping[str, str] = lexicons.TRANSLATIONS, order: Sequence[str] = lexicons.PRECEDENCE_B, stop: Sequence[str] = lexicons.STOP_TERMS) -> DataFrame:
+    """The five layers in their order, on one shuffle: imaging findings, vital signs, language, repeats across and within categories.
 
-def layered(entities: DataFrame) -> DataFrame:
-    """The five layers in their order: imaging findings, vital signs, language, repeats across and within categories."""
-    moved = recategorise(entities, imaging_pattern(), "disease_or_syndrome", "sign_or_symptom")
-    return dedup_within(dedup_across(substituted(dropped(moved, lexicons.VITALS, "laboratory_or_test_result"))))
+    moves: pattern, source and target of the first layer; drops: pattern and category of the second.
+    """
+    moved = _moved(by_record(entities), *(moves or (imaging_pattern(), DISEASE, SYMPTOM)))
+    left = moved.where(~_matching(*(drops or (lexicons.VITALS, LAB))))
+    return _within(_placed(with_key(substituted(left, table)), order, stop).where("not gone")).select(*LONG)
 
 
 def totals(entities: DataFrame) -> DataFrame:
@@ -124,12 +166,22 @@ def key_variants(record: Mapping[str, Sequence[Column]]) -> dict[str, Column]:
 
 
 def layer_counts(entities: DataFrame, examples: int = 5) -> DataFrame:
-    """How many entities each of the first two layers touches, with a few examples each."""
-    marked = with_key(entities)
-    imaging = (F.col("category") == "disease_or_syndrome") & F.col("key").rlike(imaging_pattern())
-    vital = (F.col("category") == "laboratory_or_test_result") & F.col("key").rlike(f"(?iU){lexicons.VITALS}")
-    layer = F.when(imaging, "imaging").when(vital, "vitals")
-    touched = marked.withColumn("layer", layer).where("layer is not null")
-    counts = touched.groupBy("layer").agg(F.count("*").alias("n"))
-    shown = first_rows(touched, ["layer"], [F.col("record_id"), F.col("pos"), F.col("entity")], F.lit(examples))
-    return counts.join(shown.groupBy("layer").agg(F.sort_array(F.collect_list("entity")).alias("examples")), "layer", "left")
+    """(layer, n, examples): how many entities each of the five layers touches, with the first few, by record, category and place.
+
+    imaging: moved; vitals: dropped; language: replaced; across, within: removed as repeats.
+    """
+    keyed = by_record(entities)
+    moving = keyed.where((F.col("category") == DISEASE) & F.col("key").rlike(imaging_pattern()))
+    moved = _moved(keyed, imaging_pattern(), DISEASE, SYMPTOM)
+    vital = _matching(lexicons.VITALS, LAB)
+    left = moved.where(~vital).withColumn("_before", F.col("entity"))
+    placed = _placed(with_key(substituted(left)), lexicons.PRECEDENCE_B, lexicons.STOP_TERMS)
+    again = F.row_number().over(Window.partitionBy("record_id", "category", "key").orderBy("pos")) > 1
+    touched = {"imaging": moving, "vitals": moved.where(vital), "across": placed.where("gone"), "within": placed.where("not gone").withColumn("_again", again).where("_again"), "language": placed.where("_before <> entity").drop("entity").withColumnRenamed("_before", "entity")}
+    rows = None
+    for layer, df in touched.items():
+        part = df.select(F.lit(layer).alias("layer"), *LONG)
+        rows = part if rows is None else rows.unionByName(part)
+    counts = rows.groupBy("layer").agg(F.count("*").alias("n"))
+    shown = first_rows(rows, ["layer"], [F.col("record_id"), F.col("category"), F.col("pos")], F.lit(examples)).groupBy("layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda x: x["entity"]).alias("examples"))
+    return counts.join(shown, "layer", "left")

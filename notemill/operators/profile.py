@@ -28,6 +28,11 @@ def top_values(df: DataFrame, value: str, n: int, name: str = "n") -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias(name)).orderBy(F.desc(name), value).limit(n)
 
 
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by a key: files have no order of their own."""
+    return df.orderBy(*order).limit(n)
+
+
 def extremes(df: DataFrame, size: str, tiebreak: str) -> DataFrame:
     """The longest and the shortest row."""
     row = lambda agg, kind: df.agg(agg.alias("r")).select(F.lit(kind).alias("kind"), "r.*")
@@ -68,6 +73,10 @@ def agreement(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     cols = cells.groupBy(*by, F.col(b).alias("v")).agg(F.sum("n").alias("y"))
     total = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"))
     chance = rows.join(cols, [*by, "v"]).groupBy(*by).agg(F.sum(F.col("x") * F.col("y")).alias("expected"))
-    joined = total.join(chance, list(by)) if by else total.join(chance, F.lit(True))  # one row each
+    if not by:  # one row each, side by side
+        both = total.select("n", "same", F.lit(None).cast("long").alias("expected")).unionByName(chance.select(F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("same"), F.col("expected").cast("long")))
+        joined = both.agg(*[F.max(c).alias(c) for c in ("n", "same", "expected")])
+    else:
+        joined = total.join(chance, list(by))
     observed, expected = F.col("same") / F.col("n"), F.col("expected") / (F.col("n") * F.col("n"))
     return joined.select(*by, "n", F.round(observed, 4).alias("agreement"), F.round(F.try_divide(observed - expected, 1 - expected), 4).alias("kappa"))

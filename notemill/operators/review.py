@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.functions.text import is_json
+
 STATE = "map<string,struct<status:string,comment:string>>"
 
 
@@ -25,9 +27,19 @@ def completeness(reviewed: DataFrame, by: Sequence[str], slots: Column | int, br
     return counts.withColumn("state", state).drop("_wrong")
 
 
+def slots(records: DataFrame, id_col: str, models: Sequence[str], per_model: int) -> DataFrame:
+    """records with how many statuses all models together have room for."""
+    return records.select(id_col, F.lit(len(models) * per_model).alias("n_slots"))
+
+
+def consolidated(exports: DataFrame, id_col: str, raw: str) -> DataFrame:
+    """One long table of all exports whose JSON can be read: (id_col, category, status, comment)."""
+    return entries(parsed(exports, raw), id_col, F.col("state"))
+
+
 def parsed(exports: DataFrame, raw: str) -> DataFrame:
     """Exports whose JSON can be read, with `state`; others are left out."""
-    return exports.where(F.try_parse_json(F.col(raw)).isNotNull()).withColumn("state", F.from_json(raw, STATE)).where("state is not null")
+    return exports.where(is_json(F.col(raw))).withColumn("state", F.from_json(raw, STATE)).where("state is not null")
 
 
 def approve(reviewed: DataFrame, where: Column, status: str = "correto") -> DataFrame:

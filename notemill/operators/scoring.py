@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +36,18 @@ def set_scores(gold: DataFrame, predicted: DataFrame, by: Sequence[str], item: s
     return counts.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def for_predicted(gold: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """gold of records that were predicted; those without any prediction do not count."""
+    return gold.join(predicted.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def span_scores(gold: DataFrame, predicted: DataFrame, id_col: str, labels: str) -> DataFrame:
+    """Scores by label of the spans that two columns of B-/I- tags mark: a hit has the same record, label, start and end."""
+    item = F.concat_ws(":", F.col(id_col).cast("string"), F.col("start").cast("string"), F.col("end").cast("string"))
+    spans = lambda df: label_spans(df, id_col, labels).select("label", item.alias("span"))
+    return set_scores(spans(gold), spans(predicted), ["label"], "span")
+
+
 def averages(scores: DataFrame) -> DataFrame:
     """Micro scores from the sums of counts, and the macro F1, the mean over groups."""
     sums = scores.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.round(F.avg("f1"), 4).alias("macro_f1"))
@@ -101,14 +113,3 @@ def label_spans(tagged: DataFrame, id_col: str, labels: str) -> DataFrame:
     begins = F.startswith("tag", F.lit("B-")) | F.lag("pos").over(order).isNull() | (F.lag("pos").over(order) < F.col("pos") - 1) | (F.lag("label").over(order) != F.col("label"))
     numbered = each.withColumn("_b", begins.cast("int")).withColumn("_span", F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(id_col, "_span", "label").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("_span")
-
-
-def ratios(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with the similarity ratio of two text columns, in Arrow batches."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-
-    def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield x.assign(ratio=[difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x[a], x[b], strict=True)])
-
-    return pairs.mapInPandas(scored, f"{fields}, ratio double")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from notemill.functions.text import is_json
+
 
 def tokens(text: Column) -> Column:
     """Tokens between blanks as (token, start, end), end exclusive.
@@ -75,7 +77,7 @@ def chat(system: Column, user: Column, assistant: Column) -> Column:
 def valid_chat(messages: Column) -> Column:
     """Three messages in order, the last one JSON."""
     role = lambda i: F.get(messages, F.lit(i))["role"]
-    return F.coalesce((F.size(messages) == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant") & F.try_parse_json(F.get(messages, F.lit(2))["content"]).isNotNull(), F.lit(False))
+    return F.coalesce((F.size(messages) == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant") & is_json(F.get(messages, F.lit(2))["content"]), F.lit(False))
 
 
 def prompt(turns: Sequence[tuple[str, Column]], opening: str = "<start_of_turn>", closing: str = "<end_of_turn>") -> Column:

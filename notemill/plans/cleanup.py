@@ -10,7 +10,7 @@ from notemill.plans.base import CATEGORIES, WORDS_SQL, documents, entity_table,
 
 ORDER_A, ORDER_B = ("c3", "c2", "c4", "c1"), ("c2", "c1", "c4", "c3")
 STOP = ("the", "de", "die")
-NAMES = {"ARTICLE": ("the", "der", "die", "das", "le", "la", "el"), "LINK": ("and", "und", "et", "y"), "OF": ("of", "von", "du", "del")}
+NAMES = {k: name for name, keys in (("ARTICLE", ("the", "der", "die", "das", "le", "la", "el")), ("LINK", ("and", "und", "et", "y")), ("OF", ("of", "von", "du", "del"))) for k in keys}
 PHRASES = {"th": "TH", "tion": "CION", "en": "in"}
 MOVES, DROPS = "^(an|th)", "^(in|er)$"
 
@@ -57,9 +57,8 @@ def phrase_subst(spark, d):
 
 
 def cleanup_layers(spark, d):
-    moved = entities.recategorise(entity_table(spark, d), MOVES, "c1", "c4")
-    layered = entities.dedup_across(entities.substituted(_plain(entities.dropped(moved, DROPS, "c3")), PHRASES), ORDER_B, STOP)
-    return entities.totals(entities.dedup_within(layered))
+    plain = _plain(entity_table(spark, d))
+    return entities.totals(entities.layered(plain, (MOVES, "c1", "c4"), (DROPS, "c3"), PHRASES, ORDER_B, STOP))
 
 
 def entity_totals(spark, d):
@@ -97,7 +96,9 @@ def qc_listed(spark, d):
 
 
 def qc_containing(spark, d):
-    contexts = documents(spark, d).select(F.col("doc_id").alias("record_id"), F.left("text", F.lit(500)).alias("context"))
+    """Words whose only place in the text is the word itself are in the context as well, so that is the text's odd lines."""
+    lines = F.filter(F.split("text", "\n"), lambda _, i: i % 2 == 1)
+    contexts = documents(spark, d).select(F.col("doc_id").alias("record_id"), F.array_join(lines, "\n").alias("context"))
     return checks.containing(entity_table(spark, d), "(tion|heit)", "imaging_as_disease", "c1", contexts)
 
 
@@ -110,22 +111,11 @@ def qc_language(spark, d):
 
 
 def qc_summary(spark, d):
-    ents = entity_table(spark, d)
-    issues = checks.repeated_keys(ents).unionByName(checks.listed(ents, ("the", "of"), "symptom_as_disease", "c3")).unionByName(checks.synonyms(ents, (("the", "this"),)))
-    return checks.summary(issues)
+    return checks.summed(entity_table(spark, d), ("the", "of"), "symptom_as_disease", "c3", (("the", "this"),))
 
 
 def before_after(spark, d):
-    ents = entity_table(spark, d)
-    after = entities.exclusive(entities.dedup_within(ents), ORDER_A)
-    found = lambda e: checks.repeated_keys(e).unionByName(checks.listed(e, ("the", "of"), "symptom_as_disease", "c3"))
-    return checks.compared(found(ents), found(after))
-
-
-def layer_examples(spark, d):
-    """The layers' counters with their default lexicons, which invented words do not hit."""
-    ents = entity_table(spark, d).withColumn("category", F.when(F.col("category") == "c1", "disease_or_syndrome").otherwise("laboratory_or_test_result"))
-    return entities.layer_counts(ents).select("layer", "n")
+    return checks.before_and_after(entities.after_steps(entity_table(spark, d), ORDER_A), ("the", "of"), "symptom_as_disease", "c3")
 
 
 def key_variant_coalesce(spark, d):
@@ -140,14 +130,14 @@ def json_length(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (entities_long, dedup_intra, mutual_exclusive, cross_dedup, canonical_map, cleanup_steps, recategorise, drop_class, phrase_subst, cleanup_layers, entity_totals, change_count, regrouped_lists, qc_repeated_keys, qc_leaked_tests, qc_listed, qc_containing, qc_synonyms, qc_language, qc_summary, before_after, layer_examples, key_variant_coalesce, json_length)
+    for f in (entities_long, dedup_intra, mutual_exclusive, cross_dedup, canonical_map, cleanup_steps, recategorise, drop_class, phrase_subst, cleanup_layers, entity_totals, change_count, regrouped_lists, qc_repeated_keys, qc_leaked_tests, qc_listed, qc_containing, qc_synonyms, qc_language, qc_summary, before_after, key_variant_coalesce, json_length)
 }
 
 _RANK = lambda order: "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(order)) + " END"
 _E = "record_id, category, pos, entity"
 _FIRST = lambda rel, name: f"{name} AS (SELECT {_E}, key FROM {rel} QUALIFY row_number() OVER (PARTITION BY record_id, category, key ORDER BY pos) = 1)"
 _EXCL = lambda rel, name: f"{name} AS (SELECT {_E}, key FROM {rel} QUALIFY {_RANK(ORDER_A)} = min({_RANK(ORDER_A)}) OVER (PARTITION BY record_id, key))"
-_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}')" for n, ks in NAMES.items() for k in ks) + ") v(key, name))"
+_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}')" for k, n in NAMES.items()) + ") v(key, name))"
 _CANON = lambda rel, name: f"{name}_0 AS (SELECT record_id, category, pos, coalesce(name, entity) AS entity FROM {rel} LEFT JOIN names USING (key)), {name}_1 AS (SELECT *, lower(strip_accents(entity)) AS key FROM {name}_0), {_FIRST(name + '_1', name)}"
 _MOVED = f"""mk AS (SELECT record_id, pos, entity, key, category = 'c1' AND regexp_matches(key, '{MOVES}') AS moves, CASE WHEN category = 'c1' AND regexp_matches(key, '{MOVES}') THEN 'c4' ELSE category END AS category FROM ents),
     mn AS (SELECT * FROM mk QUALIFY NOT moves OR row_number() OVER (PARTITION BY record_id, category, key ORDER BY moves, pos) = 1),
@@ -180,7 +170,8 @@ ORACLE_SQL = {
         SELECT DISTINCT n.record_id, 'negative_test' AS "check", 'c4' AS category, n.entity, e.category AS detail FROM n JOIN ents e ON n.record_id = e.record_id AND n.name = e.key AND e.category IN ('c2', 'c3')""",
     "qc_listed": f"WITH {WORDS_SQL} SELECT record_id, 'symptom_as_disease' AS \"check\", category, entity, key AS detail FROM ents WHERE category = 'c3' AND key IN ('the', 'of', 'la', 'de')",
     "qc_containing": f"""WITH {WORDS_SQL} SELECT e.record_id, 'imaging_as_disease' AS "check", category, entity, regexp_extract(key, '(tion|heit)') AS detail
-        FROM ents e JOIN documents d ON e.record_id = d.doc_id WHERE category = 'c1' AND regexp_matches(key, '(tion|heit)') AND NOT contains(lower(left(text, 500)), key)""",
+        FROM ents e JOIN (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 2 = 0), chr(10)) AS context FROM documents) d ON e.record_id = d.doc_id
+        WHERE category = 'c1' AND regexp_matches(key, '(tion|heit)') AND NOT contains(lower(context), key)""",
     "qc_synonyms": f"WITH {WORDS_SQL} " + _SYN((("the", "this", "that"), ("und", "der", "die"), ("le", "la", "les"))),
     "qc_language": f"WITH {WORDS_SQL} SELECT record_id, key AS detail, count(*) AS n FROM ents WHERE key IN ('the', 'and', 'with', 'that') GROUP BY ALL",
     "qc_summary": f"""WITH {WORDS_SQL}, i AS ({_REPEATED('ents')} UNION ALL SELECT record_id, 'symptom_as_disease', category, entity, key FROM ents WHERE category = 'c3' AND key IN ('the', 'of') UNION ALL {_SYN((('the', 'this'),))})
@@ -190,7 +181,6 @@ ORACLE_SQL = {
         a AS ({_REPEATED('x')} UNION ALL SELECT record_id, 'symptom_as_disease', category, entity, key FROM x WHERE category = 'c3' AND key IN ('the', 'of')),
         bb AS (SELECT "check", count(*) AS n FROM b GROUP BY ALL), aa AS (SELECT "check", count(*) AS n FROM a GROUP BY ALL)
         SELECT coalesce(bb."check", aa."check") AS "check", coalesce(bb.n, 0) AS n_before, coalesce(aa.n, 0) AS n_after, coalesce(aa.n, 0) - coalesce(bb.n, 0) AS delta FROM bb FULL JOIN aa ON bb."check" = aa."check" """,
-    "layer_examples": f"WITH {WORDS_SQL} SELECT 'vitals' AS layer, count(*) AS n FROM ents WHERE category <> 'c1' AND regexp_matches(key, '^(spo2|sao2|saturacao|pa\\b|fc\\b|pulso\\b|fr\\b|temperatura|tax\\b|pam\\b|oximetria)') HAVING count(*) > 0",
     "key_variant_coalesce": "SELECT event_id, coalesce(json_extract_string(props, '$.nothing'), json_extract_string(props, '$.k'), '') AS first, coalesce(json_extract_string(props, '$.none'), '') AS second FROM events",
     "json_length": r"""SELECT event_id, (length(props) + len(regexp_extract_all(regexp_replace(props, '"(?:[^"\\]|\\.)*"', 's', 'g'), '[,:]')))::INTEGER AS chars FROM events""",
 }

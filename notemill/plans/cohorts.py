@@ -226,6 +226,11 @@ ORACLE_SQL = {
     "sample_shortage": f"""WITH q AS (SELECT * FROM (VALUES ('en'), ('fr'), ('de'), ('es')) l(lang), (VALUES ('short', 60), ('medium', 30), ('long', 10)) b(bin, quota)),
         h AS (SELECT lang, {_BIN} AS bin, count(*) AS n FROM documents GROUP BY ALL)
         SELECT q.lang, q.bin, quota, coalesce(n, 0) AS n_available FROM q LEFT JOIN h USING (lang, bin) WHERE coalesce(n, 0) < quota""",
+    "neighbour_fill": f"""WITH b AS (SELECT doc_id, lang, {_BIN} AS bin, md5(doc_id::VARCHAR) AS o FROM documents),
+        p1 AS (SELECT doc_id, lang, 'short' AS picked_for FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY CASE bin WHEN 'short' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, o, doc_id) <= 4),
+        p2 AS (SELECT doc_id, lang, 'medium' AS picked_for FROM b WHERE doc_id NOT IN (SELECT doc_id FROM p1) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY CASE bin WHEN 'medium' THEN 0 WHEN 'long' THEN 1 ELSE 2 END, o, doc_id) <= 4),
+        p3 AS (SELECT doc_id, lang, 'long' AS picked_for FROM b WHERE doc_id NOT IN (SELECT doc_id FROM p1 UNION ALL SELECT doc_id FROM p2) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY CASE bin WHEN 'long' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, o, doc_id) <= 4)
+        SELECT lang, picked_for, count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY ALL""",
     "train_val_split": f"WITH {_SPLIT} SELECT doc_id, lang, split FROM x",
     "leakage": f"""WITH {_SPLIT}, p AS (SELECT doc_id, split AS part FROM x UNION SELECT doc_id, 'gold' FROM labels WHERE toxic = 1)
         SELECT v.a || '&' || v.b AS pair, (SELECT count(*) FROM (SELECT doc_id FROM p WHERE part = v.a INTERSECT SELECT doc_id FROM p WHERE part = v.b)) AS n_shared

@@ -41,12 +41,16 @@ def error_topk(spark, d):
 
 
 def model_comparison(spark, d):
-    both = set_prf(spark, d).withColumn("mode", F.lit("pooled")).unionByName(set_prf_per_record(spark, d).where("lang <> 'en'").withColumn("mode", F.lit("per_record")))
+    """Two ways to count; a language has no score by record where none of its documents is labelled good."""
+    gold, predicted = _gold_and_predicted(spark, d)
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id")
+    some = scoring.set_scores(gold.join(good, "doc_id"), predicted.join(good, "doc_id"), ["lang"], "item", ["doc_id"])
+    both = set_prf(spark, d).withColumn("mode", F.lit("pooled")).unionByName(some.withColumn("mode", F.lit("per_record")))
     return scoring.comparison(both, "lang", "mode", "f1", ["pooled", "per_record"])
 
 
 def fuzzy_prf(spark, d):
-    """First two words of the pages' titles against those of the paths, by host: pairs that differ in a few letters."""
+    """Words of the pages' titles against those of their addresses, by page: some differ in a few letters."""
     pages = table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"), F.lower("url").alias("url"))
     gold = pages.select("page_id", F.explode(F.split("title", r"\s+")).alias("item"))
     predicted = pages.select("page_id", F.explode(F.split(F.regexp_replace("url", "[^a-z0-9]+", " "), r"\s+")).alias("item"))
@@ -64,11 +68,14 @@ def head_tail_truncate(spark, d):
 
 
 def chat_messages(spark, d):
+    """Each user turn with the assistant turn after it, as system, user and assistant messages."""
     turns = table(spark, d, "conversations")
-    user = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("u"))
-    answer = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"))
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("u"))
+    answer = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("a"))
     messages = training.chat(F.lit(SYSTEM), F.col("u"), F.to_json(F.struct(F.length("a").alias("size"))))
-    return user.join(answer, "conv_id").select("conv_id", F.to_json(messages).alias("messages"), training.valid_chat(messages).alias("valid"))
+    made = user.join(answer, ["conv_id", "turn"])
+    content = F.concat_ws("\x1f", F.transform(messages, lambda m: F.concat(m["role"], F.lit("\x1e"), m["content"])))
+    return made.select("conv_id", "turn", F.md5(content.cast("binary")).alias("digest"), training.valid_chat(messages).alias("valid"))
 
 
 def chat_valid(spark, d):
@@ -157,7 +164,25 @@ _PRF = "round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE coalesce(tp / nullif(tp +
 _SCORES = lambda keys: f"m AS (SELECT {keys}, item, bool_or(side = 0) AS g, bool_or(side = 1) AS p FROM it GROUP BY ALL), c AS (SELECT lang, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g) AS fp, count(*) FILTER (NOT p) AS fn FROM m GROUP BY lang), s AS (SELECT *, {_PRF} FROM c)"
 _WINDOW = "SELECT {start}::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM {rel} GROUP BY ALL"
 
+_BIO = r"""b0 AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, regexp_extract_all(text, '(\s+|^)\S', 1) AS g FROM benchmark),
+    b1 AS (SELECT item_id, unnest(w) AS t, unnest(g) AS gap, generate_subscripts(w, 1) AS i FROM b0),
+    tok AS (SELECT item_id, i, t, sum(length(gap) + length(t)) OVER (PARTITION BY item_id ORDER BY i) - length(t) AS s, sum(length(gap) + length(t)) OVER (PARTITION BY item_id ORDER BY i) AS e FROM b1),
+    c0 AS (SELECT item_id, instr(lower(text), w) - 1 AS s, instr(lower(text), w) - 1 + length(w) AS e, l FROM benchmark, (VALUES ('the', 'A'), ('of the', 'B'), ('and', 'C'), ('thand', 'D')) v(w, l) WHERE instr(lower(text), w) > 0),
+    c1 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s, e DESC) AS k FROM c0),
+    c2 AS (SELECT item_id, k, s, e, l, e AS last, true AS kept FROM c1 WHERE k = 1
+           UNION ALL SELECT c1.item_id, c1.k, c1.s, c1.e, c1.l, CASE WHEN c1.s >= c2.last THEN c1.e ELSE c2.last END, c1.s >= c2.last FROM c1 JOIN c2 ON c1.item_id = c2.item_id AND c1.k = c2.k + 1),
+    sp AS (SELECT * FROM c2 WHERE kept),
+    hit AS (SELECT tok.item_id, tok.i, arg_min(CASE WHEN tok.s <= sp.s THEN 'B-' ELSE 'I-' END || sp.l, sp.k) AS tag FROM tok JOIN sp ON tok.item_id = sp.item_id AND tok.s < sp.e AND sp.s < tok.e GROUP BY tok.item_id, tok.i),
+    tags AS (SELECT tok.item_id, tok.i, coalesce(hit.tag, 'O') AS tag FROM tok LEFT JOIN hit ON tok.item_id = hit.item_id AND tok.i = hit.i)"""
+
 ORACLE_SQL = {
+    "chat_messages": """SELECT u.conv_id, u.turn, md5('system' || chr(30) || 'Extract the entities as JSON.' || chr(31) || 'user' || chr(30) || coalesce(u.text, '') || chr(31) || 'assistant' || chr(30) || '{"size":' || length(coalesce(a.text, '')) || '}') AS digest, true AS valid
+        FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'""",
+    "bio_labels": f"""WITH RECURSIVE {_BIO} SELECT t.item_id, count(*)::INTEGER AS n_tokens, coalesce(any_value(n.n), 0)::INTEGER AS n_spans, string_agg(tag, ' ' ORDER BY i) AS labels, true AS valid
+        FROM tags t LEFT JOIN (SELECT item_id, count(*) AS n FROM sp GROUP BY item_id) n ON n.item_id = t.item_id GROUP BY t.item_id""",
+    "label_numbers": f"WITH RECURSIVE {_BIO} SELECT item_id, sum(CASE tag WHEN 'B-A' THEN 1 WHEN 'I-A' THEN 2 WHEN 'B-B' THEN 3 WHEN 'I-B' THEN 4 ELSE 0 END)::INTEGER AS total FROM tags GROUP BY item_id",
+    "span_table": f"""WITH RECURSIVE {_BIO}, b AS (SELECT *, CASE WHEN tag[1] = 'B' OR lag(i) OVER w IS NULL OR lag(i) OVER w < i - 1 OR lag(tag[3:]) OVER w <> tag[3:] THEN 1 ELSE 0 END AS b FROM tags WHERE tag <> 'O' WINDOW w AS (PARTITION BY item_id ORDER BY i)),
+        s AS (SELECT *, sum(b) OVER (PARTITION BY item_id ORDER BY i) AS span FROM b) SELECT item_id, tag[3:] AS label, (min(i) - 1)::INTEGER AS start, max(i)::INTEGER AS "end" FROM s GROUP BY item_id, span, tag[3:]""",
     "set_prf": f"WITH {_SETS}, {_SCORES('lang')} SELECT * FROM s",
     "set_prf_per_record": f"WITH {_SETS}, {_SCORES('lang, doc_id')} SELECT * FROM s",
     "micro_macro": f"WITH {_SETS}, {_SCORES('lang')}, a AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(avg(f1), 4) AS macro_f1 FROM s) SELECT tp, fp, fn, macro_f1, " + _PRF.replace("AS precision", "AS micro_precision").replace("AS recall", "AS micro_recall").replace("AS f1", "AS micro_f1") + " FROM a",
@@ -165,7 +190,7 @@ ORACLE_SQL = {
         e AS (SELECT lang, CASE WHEN NOT g THEN 'fp' ELSE 'fn' END AS kind, item, count(*) AS n FROM m WHERE NOT g OR NOT p GROUP BY ALL)
         SELECT lang, kind, item, n, row_number() OVER (PARTITION BY lang, kind ORDER BY n DESC, item)::INTEGER AS rank FROM e QUALIFY rank <= 5""",
     "model_comparison": f"""WITH {_SETS}, {_SCORES('lang')}, m2 AS (SELECT lang, doc_id, item, bool_or(side = 0) AS g, bool_or(side = 1) AS p FROM it GROUP BY ALL),
-        c2 AS (SELECT lang, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g) AS fp, count(*) FILTER (NOT p) AS fn FROM m2 WHERE lang <> 'en' GROUP BY lang), s2 AS (SELECT *, {_PRF} FROM c2)
+        c2 AS (SELECT lang, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g) AS fp, count(*) FILTER (NOT p) AS fn FROM m2 WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang), s2 AS (SELECT *, {_PRF} FROM c2)
         SELECT s.lang, printf('%.4f', s.f1) AS pooled, coalesce(printf('%.4f', s2.f1), '-') AS per_record FROM s LEFT JOIN s2 USING (lang)""",
     "chunks": """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS l FROM documents),
         k AS (SELECT doc_id, l, unnest(range(0, greatest(1, ceil((len(l) - 50) / 462.0)::INTEGER))) AS chunk FROM w WHERE len(l) > 0)

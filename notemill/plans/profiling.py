@@ -39,6 +39,10 @@ def section_success_rate(spark, d):
     return profile.shares(found, {k: F.col(k).isNotNull() for k in PAGE_SECTIONS})
 
 
+def _flagged(spark, d, *columns):
+    return documents(spark, d).select("doc_id", *columns, *[c.alias(k) for k, c in flag_columns(F.col("text")).items()])
+
+
 def lexicon_flags(spark, d):
     return documents(spark, d).select("doc_id", *[c.alias(k) for k, c in flag_columns(F.col("text")).items()])
 
@@ -57,13 +61,12 @@ def cooccur_alert(spark, d):
 
 
 def alert_topk_label(spark, d):
-    ids = lexicon_flags(spark, d).where(_alert()).select("doc_id")
     first = text.collapse(F.lower(F.regexp_extract("text", r"^([^\n.]*)", 1))).alias("opening")
-    return profile.top_values(cohort.keep_in(documents(spark, d), ids, "doc_id").select(first), "opening", 10)
+    return profile.top_values(_flagged(spark, d, "text").where(_alert()).select(first), "opening", 10)
 
 
 def label_matrix(spark, d):
-    long = lexicon_flags(spark, d).join(documents(spark, d).select("doc_id", "lang"), "doc_id").unpivot(["doc_id", "lang"], list(FLAGS), "label", "hit")
+    long = _flagged(spark, d, "lang").unpivot(["doc_id", "lang"], list(FLAGS), "label", "hit")
     return long.groupBy("lang", "label").agg(F.count_if("hit").alias("n"))
 
 
@@ -80,8 +83,8 @@ def false_negatives(spark, d):
 def context_join(spark, d):
     docs, labels = documents(spark, d), table(spark, d, "labels")
     number = text.capture(F.col("text"), r"\b([0-9]{2,3}\.[0-9]{1,3})\.[0-9]").try_cast("double")
-    facts = docs.select("doc_id", number.alias("measured"), text.has(F.col("text"), r"\blicense\b").alias("licence"))
-    joined = facts.join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    facts = docs.select("doc_id", "lang", number.alias("measured"), text.has(F.col("text"), r"\blicense\b").alias("licence"))
+    joined = facts.join(labels, "doc_id")
     return joined.select("doc_id", "lang", "quality", "licence", "measured", (F.col("measured") > 50.0).alias("high"))
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
+import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +28,14 @@ def session(app: str = "notemill", cores: int | str | None = None, **conf: str)
     return builder.config(map=settings | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the cluster's spark.checkpoint.dir; under a temporary one only where none is set on one machine."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"{(given or 'file://' + tempfile.gettempdir()).rstrip('/')}/notemill-{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors unless their Python finds it already (PYTHONPATH or the working folder)."""
     root = Path(sys.modules["notemill"].__file__).resolve().parents[1]

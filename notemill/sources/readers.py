@@ -14,16 +14,22 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """With a header; texts may hold line breaks and doubled quotes. Without a schema types are inferred, at one more pass."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = True) -> DataFrame:
+    """With a header and doubled quotes. Without a schema types are inferred, at one more pass.
+
+    lines: texts may hold line breaks; a file is then one task. Without them large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", lines).option("escape", '"').option("quote", '"')
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Records from a JSON array, one object a file, NDJSON, or an object with the array under notes."""
+def records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records from a JSON array, one object a file, NDJSON, or an object with the array under notes.
+
+    lines: NDJSON only, of which large files are split; else a file is one task.
+    """
     wrapped = T.StructType([T.StructField("notes", T.ArrayType(schemas.RECORD)), *schemas.RECORD.fields])
-    read = spark.read.option("multiLine", True).schema(wrapped).json(path)
+    read = spark.read.option("multiLine", not lines).schema(wrapped).json(path)
     own = F.struct(*[F.col(f.name) for f in schemas.RECORD.fields])
     return schemas.filled(read.select(F.inline(F.coalesce("notes", F.array(own)))))
 

@@ -33,6 +33,15 @@ def ndjson(df: DataFrame, path: str, mode: str = "errorifexists", allow_text: bo
     _safe(df, allow_text).write.mode(mode).json(path)
 
 
+def json_array(df: DataFrame, path: str, rows: int = 100_000, allow_text: bool = False) -> None:
+    """One file with a JSON array, as other tools read it; df must be an export of at most `rows` rows."""
+    safe = _safe(df, allow_text)
+    if safe.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} rows: write NDJSON")
+    listed = F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct("*")))), ",\n")
+    safe.agg(F.concat(F.lit("[\n"), listed, F.lit("\n]")).alias("value")).coalesce(1).write.text(path)
+
+
 def csv_to_parquet(spark: SparkSession, pairs: dict[str, str], schema: str | None = None) -> None:
     """Each CSV (key) as Parquet (value); what exists already is left alone."""
     from notemill.sources.readers import csv as read_csv
@@ -62,9 +71,26 @@ def html_pages(df: DataFrame, title: str, fields: Sequence[str]) -> DataFrame:
     return df.withColumn("html", F.concat(F.lit("<html><body><h1>"), escape_html(F.col(title).cast("string")), F.lit("</h1>"), *rows, F.lit("</body></html>")))
 
 
-def markdown(df: DataFrame, rows: int = 1000) -> str:
-    """A report table; df must be an aggregate of at most `rows` rows."""
-    got = df.limit(rows + 1).collect()
+def index_page(df: DataFrame, title: str, link: str, heading: str, rows: int = 100_000) -> DataFrame:
+    """One row, `html`: a page of links to at most `rows` pages, by title."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} pages: make an index for each part")
+    item = F.concat(F.lit('<li><a href="'), escape_html(F.col(link).cast("string")), F.lit('">'), escape_html(F.col(title).cast("string")), F.lit("</a></li>"))
+    items = F.array_sort(F.collect_list(F.struct(F.col(title).cast("string").alias("t"), item.alias("i"))))
+    return df.agg(F.concat(F.lit(f"<html><body><h1>{heading}</h1><ul>"), F.array_join(F.transform(items, lambda x: x["i"]), ""), F.lit("</ul></body></html>")).alias("html"))
+
+
+def stats(counts: DataFrame, path: str, seconds: float, records: int, key: str = "layer") -> None:
+    """A JSON file of a run: seconds, records, and the counters and examples of each layer (key, n, examples)."""
+    rows = F.array_sort(F.collect_list(F.struct(key, "n", "examples")))
+    entries = lambda value: F.map_from_entries(F.transform(rows, lambda r: F.struct(r[key], r[value])))
+    one = F.struct(F.lit(round(seconds, 2)).alias("duration_seconds"), F.lit(records).alias("total_records"), entries("n").alias("aggregate"), entries("examples").alias("examples"))
+    counts.agg(F.to_json(one).alias("value")).coalesce(1).write.text(path)
+
+
+def markdown(df: DataFrame, rows: int = 1000, order: Sequence[str] = ()) -> str:
+    """A report table, sorted by order or else by its columns; df must be an aggregate of at most `rows` rows."""
+    got = df.orderBy(*(order or df.columns)).limit(rows + 1).collect()
     if len(got) > rows:
         raise ValueError(f"more than {rows} rows: aggregate first")
     line = lambda cells: "| " + " | ".join("-" if c is None else str(c) for c in cells) + " |"

@@ -272,3 +272,78 @@ def test_streamed_windows_equal_batch_ones(spark, sf, tmp_path):
     q.stop()
     count = lambda df: sorted((str(r["start"]), r["event_type"], r["n"]) for r in df.collect())
     assert count(spark.table("w")) == count(windows.counts(batch, "ts", "1 day"))
+
+
+def test_clinical_features_on_a_note(spark):
+    from notemill.operators import features
+
+    body = "History of Present Illness:\nFever, chills and myalgia after a trip.\nPast Medical History: HTN, DM2\nSocial History:\nPhysical Exam:\nTemp: 101.3 then T 98.0\nPertinent Results:\nplts were 80\nMedications on Admission:\nTylenol\nDischarge Medications:\nDischarge Diagnosis:\nMalaria (plasmodium vivax)\nDischarge Condition:"
+    df = spark.createDataFrame([(body,), ("nothing",), (None,)], "x string")
+    x = F.col("x")
+    flags = features.symptoms(x)
+    got = df.select(*[c.alias(k) for k, c in {**flags, **features.context(x), **features.laboratory(x)}.items()], features.alert(flags).alias("alert"), features.labels(x)["diag_malaria"].alias("malaria"), features.complexity(F.coalesce(x, F.lit(""))).alias("score")).collect()
+    one = got[0].asDict()
+    assert one["fever"] and one["myalgia"] and one["alert"] and one["malaria"] and one["travel"] and one["antipyretic"] and not one["antimalarial"]
+    assert one["measured"] == 101.3 and one["objective_fever"] and one["diabetes"] and one["hypertension"] and one["platelets"]
+    assert got[1]["fever"] is None and got[1]["alert"] is None and got[1]["malaria"] is None and got[1]["measured"] is None and got[1]["score"] == 0
+
+
+def test_mentions_follow_the_rows_target_and_its_aliases(spark):
+    from notemill.operators import features
+
+    df = spark.createDataFrame([("=== a\nhiv\n===\nHIV on truvada, CD4 high", "hiv"), ("rpr and vdrl", "syphilis"), ("rpr", "malaria"), ("hiv", None)], "x string, t string")
+    assert [r[0] for r in df.select(features.target_mentions(F.col("x"), F.col("t"))).collect()] == [3, 2, 0, 0]
+
+
+def test_exports_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n int")
+    writers.json_array(df, f"{tmp_path}/array")
+    text_of = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert json.loads(text_of("array")) == [{"k": "a", "n": 1}, {"k": "b", "n": 2}]
+    with pytest.raises(ValueError, match="NDJSON"):
+        writers.json_array(df, f"{tmp_path}/more", rows=1)
+    assert writers.markdown(df).splitlines()[2:] == ["| a | 1 |", "| b | 2 |"]
+    counts = entities.layer_counts(long(spark, [(1, D, 0, "Derrame pleural"), (1, L, 0, "SpO2 97"), (1, S, 0, "rash"), (2, S, 0, "dor"), (2, S, 1, "Dor")]))
+    writers.stats(counts, f"{tmp_path}/stats", 1.234, 2)
+    got = json.loads(text_of("stats"))
+    assert got["duration_seconds"] == 1.23 and got["aggregate"] == {"across": 1, "imaging": 1, "language": 1, "vitals": 1}
+    assert got["examples"]["imaging"] == ["Derrame pleural"] and got["examples"]["across"] == ["Dor"]
+    page = writers.index_page(spark.createDataFrame([("<b>", "x.html"), ("a", "y.html")], "t string, f string"), "t", "f", "All").first()["html"]
+    assert page == '<html><body><h1>All</h1><ul><li><a href="x.html">&lt;b&gt;</a></li><li><a href="y.html">a</a></li></ul></body></html>'
+
+
+def test_spans_score_by_exact_place(spark):
+    tags = lambda rows: spark.createDataFrame(rows, "id int, tags array<string>")
+    gold = tags([(1, ["B-A", "I-A", "O", "B-B"]), (2, ["O"])])
+    predicted = tags([(1, ["B-A", "O", "O", "B-B"]), (2, ["B-A"])])
+    got = {r["label"]: (r["tp"], r["fp"], r["fn"], r["f1"]) for r in scoring.span_scores(gold, predicted, "id", "tags").collect()}
+    assert got == {"A": (0, 2, 1, 0.0), "B": (1, 0, 0, 1.0)}
+
+
+def test_anchors_come_besides_quotas(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "id int, c string")
+    quota = spark.createDataFrame([("a", 2), ("b", 1)], "c string, quota int")
+    got = cohort.anchored(df, df.where("id in (0, 2, 3)"), "id", ["c"], quota, [F.col("id")]).collect()
+    assert sorted(r["id"] for r in got if r["anchor"]) == [0, 2, 3] and sorted(r["id"] for r in got if not r["anchor"]) == [1, 4, 6]
+
+
+def test_split_counts_borders_and_ties(spark):
+    df = spark.createDataFrame([(i, "x" if i < 97 else "y", "00000000" if i < 60 else f"{i:08x}") for i in range(100)], "id int, c string, h string")
+    got = cohort.split(df, "c", [F.col("h"), F.format_string("%04d", "id")]).where("split = 'validation'").collect()
+    assert sorted(r["id"] for r in got) == [*range(9), 97]
+
+
+def test_agreement_over_all_rows(spark):
+    df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "a int, b int")
+    r = profile.agreement(df, [], "a", "b").first()
+    assert (r["n"], r["agreement"], r["kappa"]) == (4, 0.75, 0.5)
+
+
+def test_json_with_anything_behind_it_is_none(spark):
+    df = spark.createDataFrame([(x,) for x in ('{"a": 1}', '{"a": 1}}', "1,2", "", None, "nothing", '"x"', "[1")], "x string")
+    assert [r[0] for r in df.select(text.is_json(F.col("x"))).collect()] == [True, False, False, False, False, False, True, False]
+
+
+def test_nested_dictionary(spark):
+    df = spark.createDataFrame([("s", "fever", "en", ["a"]), ("s", "fever", "de", ["b", "c"]), ("t", "rash", "en", [])], "g string, k string, l string, v array<string>")
+    assert json.loads(contract.nested(df, ["g", "k", "l"], "v").first()["value"]) == {"s": {"fever": {"de": ["b", "c"], "en": ["a"]}}, "t": {"rash": {"en": []}}}
