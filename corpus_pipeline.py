@@ -49,16 +49,18 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Classifier and signatures are beyond SQL; the stages are tested against brute force.
+#: Classifier and signatures are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table documents of sf_dir."""
-    ensure_checkpoint_dir(spark)
-    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows for the table documents of sf_dir. What a stage was given goes when its result is written."""
+    shared = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
         docs = spark.read.parquet(f"{shared}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{shared}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
