@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,33 @@ def length_stats(df: DataFrame, size: Column) -> DataFrame:
     return df.agg(F.min(size).alias("least"), F.avg(size).cast("int").alias("mean"), F.median(size).alias("median"), F.max(size).alias("most"))
 
 
+def medians(df: DataFrame, by: str, value: str, slack: float = 0.002) -> DataFrame:
+    """(by, median), exact, of a column of many distinct values: no group's values meet in one buffer.
+
+    A sketch gives two values between which the median lies; rows below are counted, and only the distinct values
+    between, about 2 x slack of the rows, are ranked. A group's two middle rows are averaged. Nulls do not count; a
+    group of nulls only has none. by must not be null.
+    """
+    known = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
+    around = F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], int(4 / slack))
+    borders = known.groupBy(by).agg(around.alias("_b"), F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    few = F.col("_n") * slack < 4  # too few for the sketch's error to fit in
+    borders = borders.select(by, "_n", F.when(few, F.col("_least")).otherwise(F.col("_b")[0]).alias("_low"), F.when(few, F.col("_most")).otherwise(F.col("_b")[1]).alias("_high"))
+    near = known.join(borders, by).where("_v <= _high")
+    counts = near.groupBy(by, "_n", "_low", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto).where("_v is not null")
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    return ranked.groupBy(by).agg(((at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2).alias("median"))
+
+
+def row_dicts(df: DataFrame, rows: int = 100_000) -> Iterator[dict]:
+    """The rows of an export as dictionaries, partition by partition; more than `rows` are refused."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} rows: stay in DataFrames")
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
+
+
 def share(flag: Column) -> Column:
     """Per cent of rows for which flag holds, to one decimal."""
     return F.round(F.count_if(flag) / F.count("*") * 100, 1)

@@ -69,7 +69,8 @@ def similar(a: str, b: str, ratio: float = 0.85) -> bool:
     short, long = sorted((a, b), key=len)
     if short and re.search(rf"\b{re.escape(short)}\b", long):
         return True
-    return difflib.SequenceMatcher(None, a, b).ratio() >= ratio
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio  # bounds by length and letters first
 
 
 def fuzzy_scores(gold: DataFrame, predicted: DataFrame, by: str, item: str, ratio: float = 0.85) -> DataFrame:

@@ -173,7 +173,8 @@ def approval_rate(spark, d):
 
 def log_metrics(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.max("value").alias("most"), F.count_if(F.col("value") > 50).alias("n_large"))
+    rest = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), F.count_if(F.col("value") > 50).alias("n_large"))
+    return rest.join(profile.medians(e, "event_type", "value"), "event_type", "left").withColumn("median", F.round("median", 6))
 
 
 def monthly_counts(spark, d):

@@ -347,3 +347,32 @@ def test_json_with_anything_behind_it_is_none(spark):
 def test_nested_dictionary(spark):
     df = spark.createDataFrame([("s", "fever", "en", ["a"]), ("s", "fever", "de", ["b", "c"]), ("t", "rash", "en", [])], "g string, k string, l string, v array<string>")
     assert json.loads(contract.nested(df, ["g", "k", "l"], "v").first()["value"]) == {"s": {"fever": {"de": ["b", "c"], "en": ["a"]}}, "t": {"rash": {"en": []}}}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 9001, 20000])
+def test_medians_without_gathering_a_group(spark, n):
+    import statistics
+
+    rows = [(k, None if (i * 7) % 11 == 0 and n > 5 else float((i * 7919 + k) % 5003) / 3) for k in range(2) for i in range(n)]
+    got = {r["k"]: r["median"] for r in profile.medians(spark.createDataFrame(rows, "k int, v double"), "k", "v").collect()}
+    assert got == {k: pytest.approx(statistics.median([v for j, v in rows if j == k and v is not None])) for k in range(2)}
+
+
+def test_row_dicts_are_bounded(spark):
+    df = spark.createDataFrame([(1, [2]), (2, None)], "a int, b array<int>")
+    assert sorted(profile.row_dicts(df), key=lambda r: r["a"]) == [{"a": 1, "b": [2]}, {"a": 2, "b": None}]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        profile.row_dicts(df, 1)
+
+
+def test_settings(tmp_path):
+    from notemill import config
+
+    (tmp_path / "a.json").write_text('{"seed": 7, "quotas": {"x": {"short": 2}}}')
+    got = config.load(str(tmp_path / "a.json"))
+    assert got.seed == 7 and got.quotas["x"]["short"] == 2 and got.validation_share == 0.1 and config.of(None) == config.Settings()
+    with pytest.raises(ValueError, match="no such setting: sed"):
+        config.of({"sed": 1})
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("validation_share: 0.2\nanchors: {a1: x}\n")
+    assert config.load(str(tmp_path / "a.yaml")).anchors == {"a1": "x"}
