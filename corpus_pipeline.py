@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from notemill.llm import exact_dedup, minhash, mixing, packing, quality
-from notemill.llm.common import ensure_checkpoint_dir, read, ship
+from notemill.llm.common import ensure_checkpoint_dir, read, remove, ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
         docs = spark.read.parquet(f"{shared}/{k}")
         if k:
-            before = spark._jvm.org.apache.hadoop.fs.Path(f"{shared}/{k - 1}")
-            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
+            remove(spark, f"{shared}/{k - 1}")
     return docs

@@ -9,6 +9,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -130,20 +131,29 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str =
     return inside.join(bounded_broadcast(sums), [*keys, "_rank_bucket"]).withColumn(name, F.col("_rank_before") + F.col("_rank_inside")).drop("_rank_bucket", "_rank_before", "_rank_inside")
 
 
-def hot_keys(df: DataFrame, key: str, per_salt: int = 512) -> DataFrame:
-    """(key, _salts) of the keys with more than per_salt rows in df (a cut table): at most BROADCAST_ROWS rows."""
-    each = max(per_salt, -(-df.count() // BROADCAST_ROWS))
-    salts = F.ceil(F.count("*") / each).cast("int")
+def hot_keys(df: DataFrame, key: str, per_salt: int = 512, small: int = 4096) -> DataFrame | None:
+    """(key, _salts) of the keys with more than per_salt rows in df (a cut table): at most BROADCAST_ROWS rows.
+
+    None where df has few rows in all, and none is worth dealing out.
+    """
+    rows = df.count()
+    if rows <= small:
+        return None
+    salts = F.ceil(F.count("*") / max(per_salt, -(-rows // BROADCAST_ROWS))).cast("int")
     return F.broadcast(cut(df.groupBy(key).agg(salts.alias("_salts")).where("_salts > 1")))
 
 
-def salted(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def salted(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """df with _salt, by which a hot key's rows are dealt out."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
     return df.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
 
 
-def copied(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def copied(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """df, which has one row a key, with a row for each _salt of the key."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
     return df.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
 
 
@@ -159,26 +169,42 @@ def components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 60) ->
     Smallest-label spreading with pointer jumping: each round a vertex takes the least label among its neighbours'
     and then its label's label, so paths halve. Minima are combined before the shuffle, and where a label is read by
     very many (the edges of a hub, the members of a large component) the key is salted, so none lands in one task whole.
-    Every round is checkpointed.
+    Every round is written to
+    the shared checkpoint folder, and all of them are removed at the end.
     """
+    spark = vertices.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/components-{uuid.uuid4().hex}"
     edges = edges.where("a <> b").select("a", "b")
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = _stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/edges")
     hubs = hot_keys(both, "b")
-    both = cut(salted(both, "b", hubs))
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
-    for _ in range(most_rounds):
+    both = _stored(salted(both, "b", hubs), f"{folder}/dealt")
+    labels = _stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), f"{folder}/0")
+    for turn in range(1, most_rounds + 1):
         told = copied(labels.withColumnRenamed("id", "b"), "b", hubs)
         heard = both.join(told, ["b", "_salt"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        least = cut(labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("next")))
+        least = _stored(labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("next")), f"{folder}/{turn}-heard")
         # what a label's own vertex has heard: jumps over a path's middle
         jump = least.select(F.col("id").alias("next"), F.col("next").alias("jumped"))
-        after = cut(salted_join(least, jump, "next", "left").select("id", F.least("next", F.coalesce("jumped", "next")).alias("new"), F.col("label").alias("old")))
+        after = _stored(salted_join(least, jump, "next", "left").select("id", F.least("next", F.coalesce("jumped", "next")).alias("new"), F.col("label").alias("old")), f"{folder}/{turn}")
         labels = after.select("id", F.col("new").alias("label"))
         if after.where("new <> old").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("link components did not settle")
-    return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    found = cut(vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component")))
+    remove(spark, folder)
+    return found
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """df written and read back. A checkpoint keeps the estimated size, which each round's joins would multiply without bound."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
