@@ -131,6 +131,21 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str =
     return inside.join(bounded_broadcast(sums), [*keys, "_rank_bucket"]).withColumn(name, F.col("_rank_before") + F.col("_rank_inside")).drop("_rank_bucket", "_rank_before", "_rank_inside")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each of sums (name, value) the sum of the value over all rows before this one in a global order.
+
+    Rows are dealt out by ranges of the order; sums of whole ranges (one row each) and those inside a range are added.
+    """
+    rows = cut(df.select("*", *[v.alias(f"_run_{k}") for k, v in sums.items()]).repartitionByRange(*order).withColumn("_run_part", F.spark_partition_id()))
+    ahead = Window.orderBy("_run_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    inside = Window.partitionBy("_run_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sofar = lambda value, window: F.coalesce(F.sum(value).over(window), F.lit(0))
+    parts = rows.groupBy("_run_part").agg(*[F.sum(f"_run_{k}").alias(f"_run_{k}") for k in sums])
+    parts = parts.select("_run_part", *[sofar(f"_run_{k}", ahead).alias(f"_run_before_{k}") for k in sums])
+    found = rows.withColumns({f"_run_{k}": sofar(f"_run_{k}", inside) for k in sums}).join(F.broadcast(parts), "_run_part")
+    return found.withColumns({k: F.col(f"_run_{k}") + F.col(f"_run_before_{k}") for k in sums}).drop("_run_part", *[f"_run_{x}{k}" for k in sums for x in ("", "before_")])
+
+
 def hot_keys(df: DataFrame, key: str, per_salt: int = 512, small: int = 4096) -> DataFrame | None:
     """(key, _salts) of the keys with more than per_salt rows in df (a cut table): at most BROADCAST_ROWS rows.
 

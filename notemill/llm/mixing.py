@@ -9,10 +9,10 @@ order, by ranges and within a range, truncates it at the total budget. So no sou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import NOT_SPACE, bounded_broadcast, cut, spread_rank
+from notemill.llm.common import NOT_SPACE, bounded_broadcast, cut, running, spread_rank
 
 WEIGHTS = (5, 2, 1)
 #: Ticks of virtual time up to 1, when all targets are met: at most, and so that fragments stay within a few times the documents.
@@ -30,19 +30,21 @@ def targets(sizes: DataFrame, share: float, weights: tuple[int, ...] = WEIGHTS,
     Sources in order of code point, null last, weigh as weights says, repeating; they share `share` of all sizes in
     proportion, no target above passes x its source's size; what is above goes to the others by weight until none is
     above. That is a water level: target = min(cap, weight x level), and the level follows from running sums of the
-    sources in order of cap / weight. The windows hold one row a source.
+    sources in order of cap / weight. Sources may be many: no task holds them all.
     """
     source = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    capped = source.withColumns({"weight": weight, "cap": F.col("source_size") * float(passes)}).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    filled = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    levels = capped.withColumn("budget", F.sum("source_size").over(everything) * F.lit(share)).withColumn("level", (F.col("budget") - filled) / open_weight)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"]
-    return levels.withColumn("_level", level).select("source", "source_size", F.when(F.col("_level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("_level"))).alias("target"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int"))
+    placed = running(source, by_name, {"_place": F.lit(1).cast("long")})
+    capped = cut(placed.withColumns({"weight": weight, "cap": F.col("source_size") * float(passes)}).withColumn("ratio", F.col("cap") / F.col("weight")))
+    total = capped.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    filling = running(capped, [F.col("ratio"), *by_name], {"_filled": F.col("cap"), "_closed": F.col("weight")})
+    level = (F.lit(total["size"] * share) - F.col("_filled")) / (F.lit(total["weight"]) - F.col("_closed"))
+    # of sources with one ratio the first, which finds them all open, has the highest level
+    first = F.max_by("level", F.struct(-F.col("ratio"), F.col("level"))).alias("level")
+    found = filling.withColumn("level", level).where("level <= ratio").agg(first).first()["level"]
+    target = F.col("cap") if found is None else F.least("cap", F.col("weight") * F.lit(found))
+    return capped.select("source", "source_size", target.alias("target"))
 
 
 def _shuffled(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, row_col: str | None) -> DataFrame:

@@ -87,7 +87,7 @@ ORACLE_SQL = {
                     - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
             FROM weighed),
-        chosen AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
+        chosen AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, level DESC LIMIT 1),
         goal AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT level FROM chosen)), cap) AS target FROM levels),
         ticks AS (SELECT greatest(16, least(4096, (SELECT count(*) FROM sized) // (SELECT count(*) FROM per_source))) AS k),
         queued AS (

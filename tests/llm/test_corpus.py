@@ -145,6 +145,16 @@ def test_mix_is_the_queue_cut_at_the_budget(spark):
     assert got == {i: want[i] for i, _, _ in rows}
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    sizes = {f"h{k:04d}": rng.choice([1, 5, 30, 900]) for k in range(700)} | {None: 50}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    want = water(sizes, weight, 1.5 * sum(sizes.values()), 2)
+    got = {r["source"]: r["target"] for r in mixing.targets(df.repartition(5), 1.5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
 def test_mix_is_in_order_and_whole_documents_keep_columns(odd):
     stream = [(r["before"], r["finish"]) for r in mixing.mix_stream(odd).collect()]
     assert stream == sorted(stream) and [f for _, f in stream] == sorted(f for _, f in stream)
