@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +88,12 @@ def stats(counts: DataFrame, path: str, seconds: float, records: int, key: str =
     counts.agg(F.to_json(one).alias("value")).coalesce(1).write.text(path)
 
 
+def report(title: str, facts: Mapping[str, object], tables: Mapping[str, DataFrame], rows: int = 1000) -> str:
+    """A run's report: facts (timings, counters) as a list, then each table under its heading."""
+    listed = [f"- {name}: {value}" for name, value in facts.items()]
+    return "\n\n".join([f"# {title}", "\n".join(listed), *[f"## {name}\n\n{markdown(df, rows)}" for name, df in tables.items()]])
+
+
 def markdown(df: DataFrame, rows: int = 1000, order: Sequence[str] = ()) -> str:
     """A report table, sorted by order or else by its columns; df must be an aggregate of at most `rows` rows."""
     got = df.orderBy(*(order or df.columns)).limit(rows + 1).collect()

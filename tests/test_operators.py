@@ -303,6 +303,7 @@ def test_exports_and_reports(spark, tmp_path):
     with pytest.raises(ValueError, match="NDJSON"):
         writers.json_array(df, f"{tmp_path}/more", rows=1)
     assert writers.markdown(df).splitlines()[2:] == ["| a | 1 |", "| b | 2 |"]
+    assert writers.report("Run", {"seconds": 2.5, "records": 3}, {"Checks": df}) == "# Run\n\n- seconds: 2.5\n- records: 3\n\n## Checks\n\n" + writers.markdown(df)
     counts = entities.layer_counts(long(spark, [(1, D, 0, "Derrame pleural"), (1, L, 0, "SpO2 97"), (1, S, 0, "rash"), (2, S, 0, "dor"), (2, S, 1, "Dor")]))
     writers.stats(counts, f"{tmp_path}/stats", 1.234, 2)
     got = json.loads(text_of("stats"))
