@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import chat, exact_dedup, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors
-from notemill.llm.common import ensure_checkpoint_dir, read
+from notemill.llm import chat, divergence, exact_dedup, minhash, mixing, packing, pii, quality, repeats, rules, sharding, toxicity, vectors
+from notemill.llm.common import NOT_SPACE, ensure_checkpoint_dir, read
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,46 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, made periodic from some word on for a tenth of the ids, by their checksum."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.regexp_extract_all("text", F.lit(NOT_SPACE), F.lit(0))
+    n = F.size("_w").cast("long")
+    a = F.pmod("_g", n)
+    p = 1 + F.floor((n - a) / (3 + F.col("_g") % 8))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    planted = F.array_join(F.concat(F.slice("_w", F.lit(1), a.cast("int")), tail), " ")
+    rows = docs.select("doc_id", "text", g.alias("_g"), F.when(h % 10 == 0, words).alias("_w"))
+    return rows.select("doc_id", F.when(F.size("_w") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the texts, a tenth of which with_periods() makes periodic; the longest run, and digests of all and of the rest."""
+    found = repeats.tandem_runs(with_periods(read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r.alias("run"))))["run"]
+    line = lambda r: F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{k}").alias(k) for k in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        digest(lines).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pii": op2_pii,
@@ -68,6 +108,9 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_quality": op9_quality,
     "op10_shard": op10_shard,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_tandem_runs": op12_tandem_runs,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL = {
@@ -128,4 +171,56 @@ ORACLE_SQL = {
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM hashed WINDOW w AS (PARTITION BY text_sha256)""",
+    # a run shows as equal windows of six words at a fixed distance; crc32 is spelt out, as DuckDB has none
+    "op12_tandem_runs": r"""
+        WITH hashed AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+                       lambda x, y: list_reduce(list_concat([xor(x, y)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda u, k: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) AS h
+            FROM documents),
+        sized AS (SELECT *, len(w) AS n, h // 10 AS g, row_number() OVER () AS row FROM hashed),
+        placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM sized),
+        spaced AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+        words AS (
+            SELECT row, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+            FROM (SELECT *, unnest(range(n)) AS i FROM spaced)),
+        six AS (
+            SELECT row, i, string_agg(word, ' ') OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s,
+                   count(*) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS k FROM words),
+        equal AS (SELECT x.row, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.row = y.row AND x.s = y.s AND x.i < y.i WHERE x.k = 6 AND y.k = 6),
+        islands AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM equal),
+        stretches AS (SELECT row, q, min(i) AS start, count(*) + 5 + q AS length FROM islands GROUP BY row, q, island),
+        long AS (SELECT * FROM stretches WHERE length >= greatest(12, 2 * q)),
+        runs AS (
+            SELECT * FROM long r WHERE NOT EXISTS (
+                SELECT 1 FROM long s WHERE s.row = r.row AND s.q < r.q AND s.start <= r.start AND s.start + s.length >= r.start + r.length)),
+        gone AS (SELECT DISTINCT row, unnest(range(start + q, start + length)) AS i FROM runs),
+        rest AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (row, i) GROUP BY row),
+        listed AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS t FROM runs GROUP BY row),
+        best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY row ORDER BY length DESC, start, q) = 1)
+        SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.q AS period, 1000 * b.length // b.q AS exponent_milli,
+               sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(r.t, '')) AS collapsed_sha256
+        FROM sized d LEFT JOIN listed l USING (row) LEFT JOIN best b USING (row) LEFT JOIN rest r USING (row)""",
+    "op13_divergence": r"""
+        WITH terms AS (
+            SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+        kept AS (SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        per_lang AS (SELECT lang, sum(total) AS n, count(*) AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        held AS (SELECT lang, source, term, count(*) AS c FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        per_group AS (SELECT g.lang, g.source, coalesce(sum(h.c), 0) AS n FROM groups g LEFT JOIN held h USING (lang, source) GROUP BY g.lang, g.source),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS c,
+                   1 + (1000000000::HUGEINT * (coalesce(h.c, 0) + 5)) // (g.n + 5 * l.v)::HUGEINT AS p,
+                   1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+            FROM per_group g JOIN kept k USING (lang) JOIN per_lang l USING (lang) LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+        far AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        parts AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+            FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN far f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+            UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE c > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM parts QUALIFY part = 'pair' OR rank <= 50""",
 }
