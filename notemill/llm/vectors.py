@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import components, cut, let_go, named, numbered
+from notemill.llm.common import components, copied, cut, let_go, named, numbered, salted, salted_join
 
 #: What double precision may add to a block's squared distance, and single precision (per dimension) to a candidate's.
 TIGHT, SINGLE = 1e-9, 2.5e-7
@@ -30,6 +30,8 @@ TIGHT, SINGLE = 1e-9, 2.5e-7
 CHUNK_ROWS, CHUNK_BYTES = 65536, 16 << 20
 #: A comparison of two vectors in a block costs about this share of sending one to a task.
 COMPARED = 1e-3
+#: Vectors that stand in very many rows are dealt out: at most so many are broadcast for it.
+HOT_VECTORS = 4096
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -144,11 +146,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, sample_rows: int = 4096, most_pivots: int = 512, chunk_rows: int = CHUNK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, others with those of their
-    own length, each length in a join of its own; components may be of any finite size. Rows without an id have
-    component_id null and are kept. Repeated rows are vectors of their own and link with each other, but share their id's
-    component and its count. Ids are of any type with an order. Other columns are not read. An empty table gives an
-    empty result.
+    Every row is a vector of its own: n_links counts the other rows linked with it, equal ones and rows of the same id
+    included, and rows with one id but different vectors are in one component only if links lead from one to the other.
+    Rows without an id link like all others; component_id is the smallest id of the component, null if none of its rows
+    has one, and kept says that the two are the same (null and null as well). Vectors that are null, empty, zero, or hold
+    null or non-finite components link with nothing, others with those of their own length, each length in a join of its
+    own; components may be of any finite size. Ids are of any type with an order. Other columns are not read. An empty
+    table gives an empty result.
 
     What the blocks must compare depends on the data: for vectors without any structure a block's radius is near its
     spread, all cells border on each other, and the work is all pairs, in chunks.
@@ -156,29 +160,31 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, sampl
     found, names = numbered(vectors.select(F.col(id_col), F.col(vector_col).alias("_value")), id_col)
     value = F.col("_value")
     plain = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    usable = found.where(F.col("_id").isNotNull() & value.isNotNull() & plain & F.exists(value, lambda x: x != 0))
-    taken = cut(usable.select("_id", value.cast("array<double>").alias("_v")))
+    usable = F.coalesce(value.isNotNull() & plain & F.exists(value, lambda x: x != 0), F.lit(False))
+    taken = cut(found.where(usable).select(id_col, "_id", value.cast("array<double>").alias("_v")))
     equal = cut(taken.groupBy("_v").agg(F.min("_id").alias("_rep"), F.count("*").alias("_many")).withColumn("_row", F.monotonically_increasing_id()))
-    sizes = equal.groupBy(F.size("_v").alias("dim")).count().orderBy("dim").collect()  # one row a length
+    sizes = equal.groupBy(F.size("_v").alias("dim")).agg(F.count("*").alias("count"), F.sum("_many").alias("rows")).orderBy("dim").collect()  # one row a length
     links = taken.sparkSession.createDataFrame([], "_row long, links long, a long, b long")
     for r in sizes:
         if r["count"] > 1:
             links = links.unionByName(_links(equal.where(F.size("_v") == r["dim"]), r["dim"], r["count"], cosine, blocks, sample_rows, most_pivots, chunk_rows))
-    sums = links.groupBy("_row").agg(F.sum("links").alias("others"))
-    rows = taken.join(equal.join(sums, "_row", "left"), "_v")
-    each = cut(rows.select("_id", "_rep", (F.coalesce("others", F.lit(0).cast("long")) + F.col("_many") - 1).alias("n")))
-    linked = cut(each.where("n > 0").groupBy(F.col("_id").alias("id")).agg(F.sum("n").alias("n_links")))
-    edges = links.select("a", "b").unionByName(each.select(F.col("_id").alias("a"), F.col("_rep").alias("b")))
-    joined = linked.join(components(linked, edges), "id").select(F.col("id").alias("_id"), "n_links", F.col("component").alias("component_id"))
-    out = found.select(id_col, "_id").join(joined, "_id", "left")
-    component = F.coalesce("component_id", "_id")
-    out = out.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
+    others = cut(links.groupBy(F.col("_row").alias("id")).agg(F.sum("links").alias("others")))
+    joined = cut(components(others, links.select("a", "b")).join(equal.select(F.col("_row").alias("id"), "_rep"), "id"))
+    least = joined.groupBy("component").agg(F.min("_rep").alias("component_id"))
+    known = salted_join(joined.drop("_rep"), least, "component").join(others, "id").withColumnRenamed("id", "_row").drop("component")
+    n = (F.coalesce("others", F.lit(0).cast("long")) + F.col("_many") - 1).alias("n_links")
+    each = cut(equal.join(known, "_row", "left").select("_v", n, F.when(F.col("others").isNull(), F.col("_rep")).otherwise(F.col("component_id")).alias("component_id")))
+    per_salt = max(512, -(-sum(r["rows"] for r in sizes) // HOT_VECTORS))
+    hot = F.broadcast(cut(equal.where(F.col("_many") > per_salt).select("_v", F.ceil(F.col("_many") / per_salt).cast("int").alias("_salts"))))
+    linking = salted(taken, "_v", hot).join(copied(each, "_v", hot), ["_v", "_salt"]).select(id_col, "_id", "n_links", "component_id")
+    alone = found.where(~usable).select(id_col, "_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
+    out = linking.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("_id")))
     return named(out, ["component_id"], names).select(id_col, "n_links", "component_id", "kept")
 
 
 def _links(equal: DataFrame, dim: int, count: int, cosine: float, blocks: int, sample_rows: int, most_pivots: int, chunk_rows: int) -> DataFrame:
-    """(_row, links, a, b) by task: how many rows it found linked with a distinct vector, its first id and that of one these links lead to."""
-    sample = equal.orderBy(F.xxhash64("_rep", "_row"), "_row").limit(sample_rows).select("_v").collect()  # sample_rows vectors at most
+    """(_row, links, a, b) by task: how many rows it found linked with a distinct vector a (_row again), and a vector b these links lead to."""
+    sample = equal.orderBy(F.xxhash64("_v"), "_row").limit(sample_rows).select("_v").collect()  # sample_rows vectors at most
     plan = Plan(unit(np.array([r["_v"] for r in sample], np.float64)), cosine, min(blocks, dim), most_pivots, count)
     chunk_rows = max(2, min(chunk_rows, CHUNK_BYTES // (4 * dim)))
 
@@ -210,13 +216,13 @@ def _links(equal: DataFrame, dim: int, count: int, cosine: float, blocks: int, s
         )
     )
     tasks = dealt.select("_row", "block", "cell", "chunk", F.explode(meets).alias("m")).select("_row", "block", "cell", "chunk", "m.h", "m.c")
-    rows = tasks.join(equal.select("_row", "_rep", "_many", F.col("_v").cast("array<float>").alias("_v") if _single(equal) else "_v"), "_row")
+    rows = tasks.join(equal.select("_row", "_many", F.col("_v").cast("array<float>").alias("_v") if _single(equal) else "_v"), "_row")
 
     def compared(table: pa.Table) -> pa.Table:
         let_go()
         block, h, c = (table.column(n)[0].as_py() for n in ("block", "h", "c"))
         table = table.sort_by("_row")  # whatever order the rows came in
-        chunk, reps, weight, row = (table.column(n).to_numpy() for n in ("chunk", "_rep", "_many", "_row"))
+        chunk, weight, row = (table.column(n).to_numpy() for n in ("chunk", "_many", "_row"))
         units = unit(_matrix(table.column("_v"), dim))
         left, right = np.flatnonzero(chunk == h), np.flatnonzero(chunk == c)
         many, label = np.zeros(len(row), np.int64), np.arange(len(row))
@@ -225,7 +231,7 @@ def _links(equal: DataFrame, dim: int, count: int, cosine: float, blocks: int, s
             many += (np.bincount(a, weights=weight[b], minlength=len(row)) + np.bincount(b, weights=weight[a], minlength=len(row))).astype(np.int64)
             label = merged(label, a, b)
         some = np.flatnonzero(many)
-        return pa.table({"_row": row[some], "links": many[some], "a": reps[some], "b": reps[label][some]}, schema=pa.schema([(n, pa.int64()) for n in ("_row", "links", "a", "b")]))
+        return pa.table({"_row": row[some], "links": many[some], "a": row[some], "b": row[label][some]}, schema=pa.schema([(n, pa.int64()) for n in ("_row", "links", "a", "b")]))
 
     return cut(rows.groupBy("block", "cell", "h", "c").applyInArrow(compared, "_row long, links long, a long, b long"))
 

@@ -593,34 +593,39 @@ def test_vectors_of_each_length_link(spark):
         base = rng.normal(size=(many // 2, dim))
         rows += [[float(x) for x in v] for v in np.vstack([base, base + rng.normal(size=base.shape) * 0.1])]
     rows = list(enumerate(rows))
-    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame([*rows, (0, rows[-1][1])], "vec_id long, embedding array<double>")).collect()}
-    unit = [np.array(v) / np.linalg.norm(v) for _, v in [*rows, rows[-1]]]
-    ids = [*range(len(rows)), 0]
-    many, label = dict.fromkeys(ids, 0), {i: i for i in ids}
-    edges = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(len(ids)) if i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
-    for a, _ in edges:
-        many[a] += 1
-    for _ in range(len(rows)):
-        for a, b in edges:
-            label[a] = label[b] = min(label[a], label[b])
-    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (many[i], label[i]) for i in many}
+    rows += [(0, rows[-1][1]), (7, rows[7][1]), (None, rows[9][1]), (None, [0.0, 0.0, 1e9]), (None, [float("nan")])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == linked(rows)
 
 
 def linked(rows, cosine=0.9):
-    """Brute force over (id, vector): links and least reachable id of each id."""
+    """Brute force over rows (id, vector): how often each (id, links, least id reachable, kept) is in the result."""
     def one(v):
         v = np.array(v) / np.abs(v).max()
         return v / np.linalg.norm(v)
 
     units = [one(v) for _, v in rows]
-    many, label = Counter({i: 0 for i, _ in rows}), {i: i for i, _ in rows}
     pairs = [(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and len(units[a]) == len(units[b]) and units[a] @ units[b] >= cosine]
-    for a, _ in pairs:
-        many[rows[a][0]] += 1
-    for _ in range(len(rows)):
+    many, label = Counter(a for a, _ in pairs), list(range(len(rows)))
+    while any(label[a] != label[b] for a, b in pairs):
         for a, b in pairs:
-            label[rows[a][0]] = label[rows[b][0]] = min(label[rows[a][0]], label[rows[b][0]])
-    return {i: (many[i], label[i]) for i in label}
+            label[a] = label[b] = min(label[a], label[b])
+    least = {k: min((i for (i, _), x in zip(rows, label, strict=True) if x == k and i is not None), default=None) for k in set(label)}
+    return Counter((i, many[k], least[label[k]], i == least[label[k]]) for k, (i, _) in enumerate(rows))
+
+
+def test_rows_of_one_id_and_of_none_count_on_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.02]), (3, [0.0, 1.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == Counter([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (3, 0, 3, True)]) == linked(rows)
+    nameless = vectors.near_vectors(spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.1])], "vec_id string, embedding array<float>")).collect()
+    assert [tuple(r) for r in nameless] == [(None, 1, None, True)] * 2
+
+
+def test_one_vector_in_very_many_rows(spark):
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 2500, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id") * 1.0, F.lit(-7.0))).alias("embedding"))
+    got = vectors.near_vectors(rows).groupBy("n_links", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(2499, 0, 2500), (499, 2500, 500)}
 
 
 def test_vectors_of_extreme_size_copies_and_string_ids(spark):
@@ -630,8 +635,7 @@ def test_vectors_of_extreme_size_copies_and_string_ids(spark):
     rows = [(f"id{k:03d}", [float(x) for x in v]) for k, v in enumerate(rows)]
     for chunk in (vectors.CHUNK_ROWS, 4):
         got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), chunk_rows=chunk).collect()
-        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == linked(rows)
-        assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+        assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == linked(rows)
 
 
 def test_pairs_at_a_blocks_bound(spark):
@@ -649,7 +653,7 @@ def test_pairs_at_a_blocks_bound(spark):
         rows += [u, np.cos(angle) * u + np.sin(angle) * other]
     rows = list(enumerate([[float(x) for x in v] for v in [*rows, *vectors.unit(sample)]]))
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), most_pivots=8, sample_rows=400).collect()
-    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == linked(rows)
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == linked(rows)
 
 
 # personal data
