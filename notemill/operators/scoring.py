@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.operators import similarity
+
 
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     """Precision, recall and F1 to four decimals; all 1 where both sides are empty, 0 where a part has no ground."""
@@ -64,38 +63,17 @@ def frequent_errors(gold: DataFrame, predicted: DataFrame, by: str, record: str,
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(by, "kind").orderBy(*order))).where(F.col("rank") <= k).drop("_p", "_n")
 
 
-def similar(a: str, b: str, ratio: float = 0.85) -> bool:
-    """The shorter stands as a word in the longer, or the two share most of their characters in order."""
-    short, long = sorted((a, b), key=len)
-    if short and re.search(rf"\b{re.escape(short)}\b", long):
-        return True
-    m = difflib.SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio  # bounds by length and letters first
-
-
 def fuzzy_scores(gold: DataFrame, predicted: DataFrame, by: str, item: str, ratio: float = 0.85) -> DataFrame:
-    """Scores by group with one-to-one matches: equal items first, then similar ones, greedily in sorted order.
+    """Scores by group with one-to-one matches: equal items first, then similar ones, greedily in a fixed order.
 
-    Only items without an equal partner are compared. Groups are meant to be one record's (or category's) lists;
-    a group is matched in one task.
+    Only items without an equal partner are compared, by a similarity join (see operators/similarity.py); a group of any
+    size, of which any share may be one category's, is never in one place. Null items match nothing.
     """
     both = matched(gold, predicted, [by], item)
-    exact = both.groupBy(by).agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("exact"))
-    rest = both.where("g is null or p is null")
-
-    def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        g = sorted(rows.loc[rows["g"].notna(), item])
-        p = sorted(rows.loc[rows["p"].notna(), item])
-        taken: set[str] = set()
-        for x in g:
-            hit = next((y for y in p if y not in taken and similar(x, y, ratio)), None)
-            if hit is not None:
-                taken.add(hit)
-        return pd.DataFrame({by: [key[0]], "hits": [len(taken)], "n_g": [len(g)], "n_p": [len(p)]})
-
-    kind = both.schema[by].dataType.simpleString()
-    found = rest.groupBy(by).applyInPandas(pair, f"`{by}` {kind}, hits long, n_g long, n_p long")
-    counts = exact.join(found, by, "left").na.fill(0, ["hits", "n_g", "n_p"])
+    counts = both.groupBy(by).agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("exact"), F.count_if(F.col("p").isNull()).alias("n_g"), F.count_if(F.col("g").isNull()).alias("n_p"))
+    pairs = similarity.similar_pairs(both.where("p is null"), both.where("g is null"), by, item, ratio)
+    hits = similarity.matching(pairs, by).groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("hits"))
+    counts = counts.join(hits, counts[by].eqNullSafe(hits["_by"]), "left").na.fill(0, ["hits"])
     counts = counts.select(by, (F.col("exact") + F.col("hits")).alias("tp"), (F.col("n_p") - F.col("hits")).alias("fp"), (F.col("n_g") - F.col("hits")).alias("fn"))
     return counts.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions import text
-from notemill.operators import contract, review, scoring, training
+from notemill.operators import contract, review, scoring, similarity, training
 from notemill.plans.base import documents, table, words
 from notemill.streaming import windows
 
@@ -49,12 +49,25 @@ def model_comparison(spark, d):
     return scoring.comparison(both, "lang", "mode", "f1", ["pooled", "per_record"])
 
 
-def fuzzy_prf(spark, d):
-    """Words of the pages' titles against those of their addresses, by page: some differ in a few letters."""
+def _titles_and_addresses(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Words of the pages' titles and of their addresses, by page: some differ in a few letters."""
     pages = table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"), F.lower("url").alias("url"))
     gold = pages.select("page_id", F.explode(F.split("title", r"\s+")).alias("item"))
     predicted = pages.select("page_id", F.explode(F.split(F.regexp_replace("url", "[^a-z0-9]+", " "), r"\s+")).alias("item"))
-    return scoring.fuzzy_scores(gold.where("item <> ''"), predicted.where("item <> ''"), "page_id", "item")
+    return gold.where("item <> ''"), predicted.where("item <> ''")
+
+
+def fuzzy_prf(spark, d):
+    return scoring.fuzzy_scores(*_titles_and_addresses(spark, d), "page_id", "item")
+
+
+def contained_items(spark, d):
+    """Pairs of a title's pieces and its address' parts, in plain letters, one of which stands as words in the other."""
+    plain = lambda c: F.regexp_replace(text.fold(c), "[^a-z0-9 -]+", "")
+    pages = table(spark, d, "pages").select("page_id", plain(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"), F.regexp_replace(F.lower("url"), "[^a-z0-9/-]+", "").alias("url"))
+    gold = pages.select("page_id", F.explode(text.chunks(F.split("title", " +"), 2, 1)).alias("w")).select("page_id", F.array_join("w", " ").alias("item"))
+    predicted = pages.select("page_id", F.explode(F.split("url", "[-/]")).alias("item"))
+    return similarity.similar_pairs(gold, predicted, "page_id", "item").where("stands").select("page_id", "l", "r")
 
 
 def chunks(spark, d):
@@ -154,7 +167,7 @@ def events_sessions(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (set_prf, set_prf_per_record, micro_macro, error_topk, model_comparison, fuzzy_prf, chunks, head_tail_truncate, chat_messages, chat_valid, prompt_format, bio_labels, label_numbers, span_table, loss_mask, json_parse, review_completeness, extraction_records, events_tumbling, events_sliding, events_sessions)
+    for f in (set_prf, set_prf_per_record, micro_macro, error_topk, model_comparison, fuzzy_prf, contained_items, chunks, head_tail_truncate, chat_messages, chat_valid, prompt_format, bio_labels, label_numbers, span_table, loss_mask, json_parse, review_completeness, extraction_records, events_tumbling, events_sliding, events_sessions)
 }
 
 _SETS = r"""li AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents),
@@ -176,6 +189,15 @@ _BIO = r"""b0 AS (SELECT item_id, text, list_filter(regexp_split_to_array(text,
     tags AS (SELECT tok.item_id, tok.i, coalesce(hit.tag, 'O') AS tag FROM tok LEFT JOIN hit ON tok.item_id = hit.item_id AND tok.i = hit.i)"""
 
 ORACLE_SQL = {
+    "contained_items": r"""
+        WITH p AS (
+            SELECT page_id, string_split_regex(regexp_replace(lower(strip_accents(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))), '[^a-z0-9 -]+', '', 'g'), ' +') AS w,
+                   string_split_regex(regexp_replace(lower(url), '[^a-z0-9/-]+', '', 'g'), '[-/]') AS u FROM pages),
+        g AS (SELECT DISTINCT page_id, array_to_string(w[i:i + 1], ' ') AS l FROM (SELECT page_id, w, unnest(range(1, greatest(2, len(w)))) AS i FROM p WHERE len(w) > 0)),
+        r AS (SELECT DISTINCT page_id, unnest(u) AS r FROM p)
+        SELECT page_id, l, r FROM g JOIN r USING (page_id)
+        WHERE l <> r AND l <> '' AND r <> '' AND length(l) <> length(r)
+              AND regexp_matches(CASE WHEN length(l) > length(r) THEN l ELSE r END, '\b' || regexp_escape(CASE WHEN length(l) > length(r) THEN r ELSE l END) || '\b')""",
     "chat_messages": """SELECT u.conv_id, u.turn, md5('system' || chr(30) || 'Extract the entities as JSON.' || chr(31) || 'user' || chr(30) || coalesce(u.text, '') || chr(31) || 'assistant' || chr(30) || '{"size":' || length(coalesce(a.text, '')) || '}') AS digest, true AS valid
         FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'""",
     "bio_labels": f"""WITH RECURSIVE {_BIO} SELECT t.item_id, count(*)::INTEGER AS n_tokens, coalesce(any_value(n.n), 0)::INTEGER AS n_spans, string_agg(tag, ' ' ORDER BY i) AS labels, true AS valid
