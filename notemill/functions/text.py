@@ -58,6 +58,36 @@ def section(text: Column, header: str, following: Iterable[str]) -> Column:
     return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1)))
 
 
+def sections(text: Column, table: Mapping[str, tuple[str, Iterable[str]]]) -> Column:
+    """A map of all of table's sections, each as section() gives it, from one cut of the text at all headers.
+
+    The text is cut where any header or following header begins, overlapping ones included; sections are runs of pieces.
+    Select it as a column of its own, so that all that read it share the cut. A header must not hold the beginning of
+    another within itself. Null without a text.
+    """
+    wanted = {name: (header.lower(), [f.lower() for f in following]) for name, (header, following) in table.items()}
+    tokens = sorted({t for header, following in wanted.values() for t in (header, *following)}, key=lambda t: (-len(t), t))
+    for header, _ in wanted.values():
+        if any(header[k:].startswith(t[: len(header) - k]) for k in range(1, len(header)) for t in tokens):
+            raise ValueError(f"another header begins within {header!r}")
+    starting = lambda with_: [t for t in tokens if any(t.startswith(w) for w in with_)]  # noqa: E731  the longest is what a cut is known by
+    begins = "(?i)(?=(" + "|".join(map(re.escape, tokens)) + "))"
+    marked = F.concat(F.lit("\n"), text)  # a cut at the very beginning would be none
+
+    def found(cut: Column, header: str, following: list[str]) -> Column:
+        flags = lambda with_: F.transform(cut["heads"], lambda h: h.isin(*starting(with_)))
+        first = F.array_position(flags([header]), True).cast("int")
+        rest = F.slice(flags(following), first + 1, F.size(cut["heads"]))
+        many = F.array_position(rest, True).cast("int")
+        body = F.substring(F.array_join(F.slice(cut["pieces"], first + 1, many), ""), len(header) + 1, 2**31 - 1)
+        return F.when((first > 0) & (many > 0), strip(body))
+
+    heads = F.transform(F.regexp_extract_all(marked, F.lit(begins), F.lit(1)), F.lower)
+    cut = F.array(F.struct(heads.alias("heads"), F.split(marked, begins, -1).alias("pieces")))
+    made = F.transform(cut, lambda c: F.create_map(*[x for name, (header, following) in wanted.items() for x in (F.lit(name), found(c, header, following))]))
+    return F.when(text.isNotNull(), F.get(made, F.lit(0)))
+
+
 def capture(text: Column, pattern: str) -> Column:
     """The first group of the first match; null if there is none."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))

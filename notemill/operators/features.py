@@ -9,9 +9,18 @@ from notemill.functions import lexicons, text
 from notemill.operators import cohort, profile
 
 
-def symptoms(body: Column) -> dict[str, Column]:
+def sections(body: Column) -> Column:
+    """All sections of a note, as a map; give it to the functions below to cut a note only once."""
+    return text.sections(body, lexicons.SECTIONS)
+
+
+def _section(body: Column, name: str, cut: Column | None) -> Column:
+    return text.section(body, *lexicons.SECTIONS[name]) if cut is None else F.try_element_at(cut, F.lit(name))
+
+
+def symptoms(body: Column, cut: Column | None = None) -> dict[str, Column]:
     """A flag for each symptom in the history of present illness; null without that section."""
-    return text.flags(text.section(body, *lexicons.SECTIONS["hpi"]), lexicons.SYMPTOMS)
+    return text.flags(_section(body, "hpi", cut), lexicons.SYMPTOMS)
 
 
 def alert(flags: dict[str, Column]) -> Column:
@@ -19,14 +28,14 @@ def alert(flags: dict[str, Column]) -> Column:
     return flags["fever"] & profile.any_of(*[flags[k] for k in ("headache", "myalgia", "arthralgia", "rash")])
 
 
-def labels(body: Column) -> dict[str, Column]:
+def labels(body: Column, cut: Column | None = None) -> dict[str, Column]:
     """A flag for each disease in the discharge diagnosis; null without that section."""
-    return text.flags(text.section(body, *lexicons.SECTIONS["diagnosis"]), lexicons.LABELS, "diag_")
+    return text.flags(_section(body, "diagnosis", cut), lexicons.LABELS, "diag_")
 
 
-def context(body: Column) -> dict[str, Column]:
+def context(body: Column, cut: Column | None = None) -> dict[str, Column]:
     """Travel, medication on admission, the first temperature of the exam and whether it is a fever (over 100.4)."""
-    history, medication, exam = (text.section(body, *lexicons.SECTIONS[k]) for k in ("hpi", "admission_context", "exam_context"))
+    history, medication, exam = (_section(body, k, cut) for k in ("hpi", "admission_context", "exam_context"))
     measured = text.capture(exam, "(?i)" + lexicons.TEMPERATURE).try_cast("double")
     return {
         "travel": text.has(history, lexicons.TRAVEL),
@@ -37,9 +46,9 @@ def context(body: Column) -> dict[str, Column]:
     }
 
 
-def laboratory(body: Column) -> dict[str, Column]:
+def laboratory(body: Column, cut: Column | None = None) -> dict[str, Column]:
     """Diabetes and hypertension in the past history, low platelets anywhere."""
-    past = text.section(body, *lexicons.SECTIONS["past_history"])
+    past = _section(body, "past_history", cut)
     return {"diabetes": text.has(past, lexicons.DIABETES), "hypertension": text.has(past, lexicons.HYPERTENSION), "platelets": text.has(body, lexicons.PLATELETS)}
 
 

@@ -56,22 +56,33 @@ def notes(spark, d):
     return documents(spark, d).select("doc_id", _pick(1, TARGETS).alias("target"), F.concat(*parts).alias("note"))
 
 
+def cut_notes(spark, d):
+    """The notes with all their sections, found in one pass."""
+    return notes(spark, d).withColumn("cut", features.sections(F.col("note")))
+
+
 def symptom_alert(spark, d):
-    flags = features.symptoms(F.col("note"))
-    flagged = notes(spark, d).select("doc_id", *[c.alias(k) for k, c in flags.items()])
+    flags = features.symptoms(F.col("note"), F.col("cut"))
+    flagged = cut_notes(spark, d).select("doc_id", *[c.alias(k) for k, c in flags.items()])
     return flagged.withColumn("alert", features.alert({k: F.col(k) for k in flags}))
 
 
 def disease_labels(spark, d):
-    return notes(spark, d).select("doc_id", *[c.alias(k) for k, c in features.labels(F.col("note")).items()])
+    return cut_notes(spark, d).select("doc_id", *[c.alias(k) for k, c in features.labels(F.col("note"), F.col("cut")).items()])
 
 
 def clinical_context(spark, d):
-    return notes(spark, d).select("doc_id", *[c.alias(k) for k, c in features.context(F.col("note")).items()])
+    return cut_notes(spark, d).select("doc_id", *[c.alias(k) for k, c in features.context(F.col("note"), F.col("cut")).items()])
 
 
 def laboratory_features(spark, d):
-    return notes(spark, d).select("doc_id", *[c.alias(k) for k, c in features.laboratory(F.col("note")).items()])
+    return cut_notes(spark, d).select("doc_id", *[c.alias(k) for k, c in features.laboratory(F.col("note"), F.col("cut")).items()])
+
+
+def note_sections(spark, d):
+    """Each section of each note."""
+    cut = cut_notes(spark, d).select("doc_id", F.explode("cut").alias("section", "body"))
+    return cut.select("doc_id", "section", F.length("body").alias("size"), F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
 def target_coverage(spark, d):
@@ -118,7 +129,7 @@ def layer_stats(spark, d):
     return counted.select("layer", "n", F.array_join("examples", "; ").alias("examples"))
 
 
-QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, target_coverage, note_complexity, qc_eight_checks, qc_runner, clinical_layers, clinical_steps, layer_stats)}
+QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, note_sections, target_coverage, note_complexity, qc_eight_checks, qc_runner, clinical_layers, clinical_steps, layer_stats)}
 
 
 def _quoted(value: str) -> str:
@@ -209,6 +220,7 @@ ORACLE_SQL = {
     "clinical_context": f"""WITH {_CUTS}, c AS (SELECT doc_id, {_has("hpi", lexicons.TRAVEL)} AS travel, {_has("admission_context", lexicons.ANTIPYRETIC)} AS antipyretic, {_has("admission_context", lexicons.ANTIMALARIAL)} AS antimalarial,
         try_cast(nullif(regexp_extract(exam_context, {_TEMPERATURE}, 1), '') AS DOUBLE) AS measured FROM s) SELECT *, measured > 100.4 AS objective_fever FROM c""",
     "laboratory_features": f"WITH {_CUTS} SELECT doc_id, {_has('past_history', lexicons.DIABETES)} AS diabetes, {_has('past_history', lexicons.HYPERTENSION)} AS hypertension, {_has('note', lexicons.PLATELETS)} AS platelets FROM s",
+    "note_sections": f"WITH {_NOTES}, s AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS section, {_section(k)} AS body FROM n" for k in lexicons.SECTIONS) + ") SELECT doc_id, section, CAST(length(body) AS INTEGER) AS size, md5(body) AS digest FROM s",
     "target_coverage": f"""WITH {_NOTES}, t AS (SELECT doc_id, {_TARGET} AS target, regexp_replace(note, '(?ms)\\A(.*?)^={{3,}}.*?^={{3,}}(.*)\\z', '\\1\\2') AS body FROM n),
         m AS (SELECT doc_id, target, CAST(CASE target {" ".join(f"WHEN {_quoted(k)} THEN {_count('body', p)}" for k, p in lexicons.MENTIONS.items())} ELSE 0 END AS INTEGER) AS n FROM t)
         SELECT *, CASE WHEN n = 0 THEN 'zero' WHEN n <= 2 THEN 'minimal' ELSE 'adequate' END AS coverage FROM m""",

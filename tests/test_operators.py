@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,25 @@ def test_section_is_null_without_header_and_empty_with_nothing_after_it(spark):
     assert cut(None) is None
 
 
+def test_all_sections_of_one_cut_equal_those_of_their_own(spark):
+    rng = random.Random(3)
+    bits = [t for h, f in lexicons.SECTIONS.values() for t in (h, *f)]
+    texts = ["".join(rng.choice([rng.choice(bits), rng.choice(bits).upper(), rng.choice(bits)[:7], " x\ny ", "Medicationsocial History:", "é𝔘 "]) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "x string").withColumn("cut", text.sections(F.col("x"), lexicons.SECTIONS))
+    rows = df.select("cut", F.create_map(*[c for k, v in lexicons.SECTIONS.items() for c in (F.lit(k), text.section(F.col("x"), *v))]).alias("own"), "x").collect()
+    assert all(r["cut"] == r["own"] for r in rows if r["x"] is not None) and rows[-2]["cut"] is None
+    assert sum(v is not None for r in rows[:-2] for v in r["own"].values()) > 100
+    with pytest.raises(ValueError):
+        text.sections(F.col("x"), {"a": ("one two:", ("two",))})
+
+
+def test_notes_are_cut_once_for_all_features(spark, sf):
+    from notemill.plans import catalogue
+
+    plan = catalogue.QUERIES["clinical_context"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+
+
 def test_key_folds_accents_case_and_space(spark):
     assert one(spark, "  Hipertensão \n Arterial ", text.key) == "hipertensao arterial"
 
