@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notemill.functions import lexicons, text
-from notemill.operators import checks, cohort, entities, features
-from notemill.plans.base import documents
+from notemill.operators import checks, cohort, entities, features, lexicon
+from notemill.plans.base import documents, table
 
 TEXT = object()
 #: Literal parts, the document's text, and choices (factor, options): the option at id x factor modulo their number.
@@ -85,6 +85,30 @@ def note_sections(spark, d):
     return cut.select("doc_id", "section", F.length("body").alias("size"), F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
+#: Lexicons that are looked up in whole notes together, and what their columns begin with.
+TOGETHER = {**{f"s_{k}": p for k, p in lexicons.SYMPTOMS.items()}, **{f"d_{k}": p for k, p in lexicons.LABELS.items()}}
+COUNTED = {**lexicons.MENTIONS, **{k: lexicons.COMPLEXITY[k] for k in ("negations", "pending", "differentials")}}
+
+
+def note_lexicons(spark, d):
+    """Flags of all symptoms and diseases and counts of mentions, over whole notes in one pass."""
+    lists, other = lexicon.split({**TOGETHER, **COUNTED})
+    found = lexicon.hits(notes(spark, d).select("doc_id", "note"), "note", lists)
+    flagged = lexicon.flags(F.col("hits"), [k for k in TOGETHER if k in lists]) | text.flags(F.col("note"), {k: p for k, p in other.items() if k in TOGETHER})
+    counted = lexicon.counts(F.col("hits"), [k for k in COUNTED if k in lists]) | {k: text.count(F.col("note"), p) for k, p in other.items() if k in COUNTED}
+    return found.select("doc_id", *[c.alias(k) for k, c in flagged.items()], *[c.cast("int").alias(f"n_{k}") for k, c in counted.items()])
+
+
+def vocabulary_hits(spark, d):
+    """Where the words of all passages stand in the documents: a lexicon of thousands of terms, in one pass."""
+    plain = lambda c: F.regexp_replace(text.fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]", " ")
+    words = table(spark, d, "benchmark").select(F.explode(F.split(plain(F.col("text")), " +")).alias("w")).where("w <> ''").distinct()
+    held = [r["w"] for r in words.orderBy("w").limit(lexicon.MOST_TERMS + 1).collect()]  # hits() refuses more
+    found = lexicon.hits(documents(spark, d).select("doc_id", plain(F.col("text")).alias("t")), "t", {"word": held})
+    places = F.transform("hits", lambda h: F.concat_ws(":", h["start"].cast("string"), h["end"].cast("string")))
+    return found.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.md5(F.array_join(places, ",").cast("binary")).alias("places"))
+
+
 def target_coverage(spark, d):
     counted = notes(spark, d).select("doc_id", text.canonical(F.col("target"), lexicons.ALIASES).alias("target"), features.target_mentions(F.col("note"), F.col("target")).cast("int").alias("n"))
     return counted.withColumn("coverage", cohort.coverage(F.col("n")))
@@ -129,7 +153,7 @@ def layer_stats(spark, d):
     return counted.select("layer", "n", F.array_join("examples", "; ").alias("examples"))
 
 
-QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, note_sections, target_coverage, note_complexity, qc_eight_checks, qc_runner, clinical_layers, clinical_steps, layer_stats)}
+QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, note_sections, note_lexicons, vocabulary_hits, target_coverage, note_complexity, qc_eight_checks, qc_runner, clinical_layers, clinical_steps, layer_stats)}
 
 
 def _quoted(value: str) -> str:
@@ -220,6 +244,16 @@ ORACLE_SQL = {
     "clinical_context": f"""WITH {_CUTS}, c AS (SELECT doc_id, {_has("hpi", lexicons.TRAVEL)} AS travel, {_has("admission_context", lexicons.ANTIPYRETIC)} AS antipyretic, {_has("admission_context", lexicons.ANTIMALARIAL)} AS antimalarial,
         try_cast(nullif(regexp_extract(exam_context, {_TEMPERATURE}, 1), '') AS DOUBLE) AS measured FROM s) SELECT *, measured > 100.4 AS objective_fever FROM c""",
     "laboratory_features": f"WITH {_CUTS} SELECT doc_id, {_has('past_history', lexicons.DIABETES)} AS diabetes, {_has('past_history', lexicons.HYPERTENSION)} AS hypertension, {_has('note', lexicons.PLATELETS)} AS platelets FROM s",
+    "note_lexicons": f"WITH {_NOTES} SELECT doc_id, " + ", ".join([*[f'{_has("note", p)} AS "{k.replace(" ", "_").lower()}"' for k, p in TOGETHER.items()], *[f'CAST({_count("note", p)} AS INTEGER) AS "n_{k}"' for k, p in COUNTED.items()]]) + " FROM n",
+    "vocabulary_hits": r"""
+        WITH known AS (SELECT DISTINCT unnest(string_split_regex(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', ' ', 'g'), ' +')) AS word FROM benchmark),
+        cut AS (
+            SELECT doc_id, unnest(string_split(t, ' ')) AS word, generate_subscripts(string_split(t, ' '), 1) AS i
+            FROM (SELECT doc_id, regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]', ' ', 'g') AS t FROM documents)),
+        placed AS (SELECT *, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM cut),
+        hit AS (SELECT * FROM placed SEMI JOIN known USING (word) WHERE word <> '')
+        SELECT doc_id, count(h.i) AS n_hits, md5(coalesce(string_agg(start || ':' || (start + length(word)), ',' ORDER BY i), '')) AS places
+        FROM documents LEFT JOIN hit h USING (doc_id) GROUP BY doc_id""",
     "note_sections": f"WITH {_NOTES}, s AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS section, {_section(k)} AS body FROM n" for k in lexicons.SECTIONS) + ") SELECT doc_id, section, CAST(length(body) AS INTEGER) AS size, md5(body) AS digest FROM s",
     "target_coverage": f"""WITH {_NOTES}, t AS (SELECT doc_id, {_TARGET} AS target, regexp_replace(note, '(?ms)\\A(.*?)^={{3,}}.*?^={{3,}}(.*)\\z', '\\1\\2') AS body FROM n),
         m AS (SELECT doc_id, target, CAST(CASE target {" ".join(f"WHEN {_quoted(k)} THEN {_count('body', p)}" for k, p in lexicons.MENTIONS.items())} ELSE 0 END AS INTEGER) AS n FROM t)
