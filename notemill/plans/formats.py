@@ -74,6 +74,17 @@ def record_array(spark, d):
     return both.groupBy("form", "codigo_cid").agg(F.count("*").alias("n"), F.sum(filled).alias("n_lists"), F.sum(F.size("ner.sign_or_symptom")).alias("n_items"))
 
 
+def large_arrays(spark, d):
+    """Records with whole texts as JSON arrays, bare and under notes, each file read by as many tasks as it has splits."""
+    made = _records(spark, d).join(documents(spark, d).select(F.col("doc_id").cast("string").alias("paciente_id"), F.coalesce("text", F.lit("")).alias("course")), "paciente_id")
+    made = made.withColumn("soap", F.col("soap").withField("course", F.col("course"))).drop("course")
+    bare, wrapped = shared_folder(spark, "arrays"), shared_folder(spark, "wrapped")
+    writers.json_arrays(made, bare)
+    writers.json_arrays(made, wrapped, under="notes")
+    both = readers.array_records(spark, bare).withColumn("form", F.lit("bare")).unionByName(readers.array_records(spark, wrapped).withColumn("form", F.lit("wrapped")))
+    return both.select("form", F.col("paciente_id").cast("long").alias("doc_id"), "codigo_cid", F.size("ner.organism_or_virus").alias("n_last"), F.md5(F.col("soap.course").cast("binary")).alias("digest"))
+
+
 def batch_resume(spark, d):
     """A stage in parts; the second run finds them all done."""
     path = shared_folder(spark, "batches")
@@ -194,7 +205,7 @@ def audited_records(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, batch_resume, text_corpus, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
+    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, large_arrays, batch_resume, text_corpus, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
 }
 
 _SPANS = lambda name, more: f"""{name}_t AS (SELECT item_id, pos, CASE WHEN t = 'the' THEN 'B-A' WHEN regexp_matches(t, '^[aeiou]') AND length(t) > {more} THEN 'I-A' WHEN regexp_matches(t, '^b') THEN 'B-B' ELSE 'O' END AS tag FROM tok),
@@ -213,6 +224,8 @@ ORACLE_SQL = {
     "ndjson_round_trip": "SELECT doc_id, source, length(text)::INTEGER AS size, md5(text) AS digest FROM documents",
     "event_log": "SELECT event_type AS msg, count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY event_type",
     "record_array": "SELECT form, quality::VARCHAR AS codigo_cid, count(*) AS n, (6 * count(*))::BIGINT AS n_lists, (2 * count(*))::BIGINT AS n_items FROM labels, (VALUES ('array'), ('lines')) f(form) GROUP BY ALL",
+    "large_arrays": """SELECT form, doc_id, CAST(quality AS VARCHAR) AS codigo_cid, CAST(0 AS INTEGER) AS n_last, md5(coalesce(text, '')) AS digest
+        FROM labels JOIN documents USING (doc_id), (VALUES ('bare'), ('wrapped')) f(form)""",
     "batch_resume": "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders",
     "text_corpus": f"""SELECT page_id, md5({_HTML}) AS digest FROM pages UNION ALL
         SELECT -1, md5('<html><body><h1>Pages</h1><ul>' || string_agg('<li><a href="page_' || page_id || '.html">page_' || page_id || '</a></li>', '' ORDER BY page_id::VARCHAR) || '</ul></body></html>') FROM pages""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill import schemas
+from notemill.sources import arrays
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -34,6 +35,12 @@ def records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return schemas.filled(read.select(F.inline(F.coalesce("notes", F.array(own)))))
 
 
+def array_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of files that are large JSON arrays, bare or under notes; each file is read by many tasks."""
+    read = arrays.elements(spark, path).select(F.from_json("value", schemas.RECORD).alias("r"))
+    return schemas.filled(read.where("r is not null").select("r.*"))
+
+
 def events(spark: SparkSession, path: str, message: str | None = None) -> DataFrame:
     """NDJSON log lines; blank and broken ones are left out."""
     read = spark.read.schema(schemas.EVENT).option("mode", "DROPMALFORMED").json(path).where("msg is not null")

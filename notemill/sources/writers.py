@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,25 @@ def json_array(df: DataFrame, path: str, rows: int = 100_000, allow_text: bool =
     safe.agg(F.concat(F.lit("[\n"), listed, F.lit("\n]")).alias("value")).coalesce(1).write.text(path)
 
 
+def json_arrays(df: DataFrame, path: str, under: str | None = None, allow_text: bool = False) -> None:
+    """A folder of files, each a JSON array of a partition's rows, or an object that holds it under a name.
+
+    Tasks write as they read, so nothing is gathered; non-ASCII letters stay. Partitions without rows give empty arrays.
+    """
+    opening, closing = ("[", "]") if under is None else ("{" + json.dumps(under) + ": [", "]}")
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        for batch in batches:
+            ahead = [","] * len(batch)
+            if first and ahead:
+                ahead[0], first = opening, False
+            yield pd.DataFrame({"value": [a + v for a, v in zip(ahead, batch["value"], strict=True)]})
+        yield pd.DataFrame({"value": [(opening if first else "") + closing]})
+
+    _safe(df, allow_text).select(F.to_json(F.struct("*")).alias("value")).mapInPandas(lines, "value string").write.text(path)
+
+
 def csv_to_parquet(spark: SparkSession, pairs: dict[str, str], schema: str | None = None) -> None:
     """Each CSV (key) as Parquet (value); what exists already is left alone."""
     from notemill.sources.readers import csv as read_csv
