@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from notemill.plans import cleanup, cohorts, evaluation, formats, notes, profiling
+from notemill.plans import cleanup, cohorts, evaluation, formats, notes, profiling, streams
 
-MODULES = (profiling, cohorts, cleanup, evaluation, notes, formats)
+MODULES = (profiling, cohorts, cleanup, evaluation, notes, formats, streams)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
