@@ -57,24 +57,77 @@ def synonyms(entities: DataFrame, groups: Sequence[Sequence[str]], check: str =
     return many.select("record_id", F.lit(check).alias("check"), "category", F.lit(None).cast("string").alias("entity"), "detail")
 
 
-def all_checks(entities: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
-    """The eight checks with their default lexicons."""
-    disease, symptom, _, lab, _, organism = lexicons.CATEGORIES
-    del symptom
-    parts = [
-        repeated_keys(entities),
-        leaked_tests(entities, lexicons.CHECK_NEGATIVE, "negative_test", lab, (disease, organism)),
-        leaked_tests(entities, lexicons.CHECK_PENDING, "pending_test", lab, (disease, organism)),
-        listed(entities, lexicons.CHECK_SYMPTOMS, "symptom_as_disease", disease),
-        containing(entities, "(" + "|".join(lexicons.CHECK_IMAGING) + ")", "imaging_as_disease", disease, contexts),
-        synonyms(entities, lexicons.CHECK_SYNONYMS),
-        containing(entities, lexicons.CHECK_ENGLISH, "language"),
-        containing(entities, lexicons.CHECK_VITALS, "vital_as_lab", lab),
+CHECKS = ("repeated_key", "negative_test", "pending_test", "symptom_as_disease", "imaging_as_disease", "synonyms", "language", "vital_as_lab")
+
+
+def marked(entities: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """Entities, dealt out by record once, with `issues`: those of the eight checks, with their default lexicons.
+
+    A test with a leaking result is there a second time under the name before its marker, so that the windows over
+    (record, key) show whether an entity of a target category has that name; such rows have no entity of their own
+    (real is false). An issue of several rows stands at the first of them. contexts: one row (record_id, context) a record.
+    """
+    disease, _, _, lab, _, organism = lexicons.CATEGORIES
+    c = {k: F.col(k) for k in ("category", "entity", "key", "real", "probe")}
+    rows = with_key(entities)
+    imaging = "(" + "|".join(lexicons.CHECK_IMAGING) + ")"
+    probe = lambda marker, check: F.when((c["category"] == lab) & text.has(c["key"], marker), F.struct(text.before_marker(c["key"], marker).alias("key"), F.lit(check).alias("probe")))
+    own = F.struct(c["key"], F.lit(None).cast("string").alias("probe"))
+    probes = F.filter(F.array(probe(lexicons.CHECK_NEGATIVE, "negative_test"), probe(lexicons.CHECK_PENDING, "pending_test")), lambda p: p.isNotNull() & (p["key"] != ""))
+    rows = rows.select("record_id", "category", "pos", "entity", F.inline(F.concat(F.array(own), probes))).withColumn("real", c["probe"].isNull()).repartition("record_id")
+
+    said = F.lit(False)
+    if contexts is not None:
+        rows = rows.join(contexts.select("record_id", F.lower("context").alias("_context")), "record_id", "left")
+        said = F.coalesce(F.contains("_context", c["key"]), F.lit(False))
+    of = lambda check, category, entity, detail: F.struct(F.lit(check).alias("check"), category.cast("string").alias("category"), entity.cast("string").alias("entity"), detail.cast("string").alias("detail"))
+    word = lambda pattern: F.regexp_extract("key", f"(?iU){pattern}", 0)
+    plain = {
+        "symptom_as_disease": ((c["category"] == disease) & c["key"].isin(list(lexicons.CHECK_SYMPTOMS)), c["key"]),
+        "imaging_as_disease": ((c["category"] == disease) & text.has(c["key"], imaging) & ~said, word(imaging)),
+        "language": (text.has(c["key"], lexicons.CHECK_ENGLISH), word(lexicons.CHECK_ENGLISH)),
+        "vital_as_lab": ((c["category"] == lab) & text.has(c["key"], lexicons.CHECK_VITALS), word(lexicons.CHECK_VITALS)),
+    }
+    rows = rows.withColumn("_plain", F.array_compact(F.array(*[F.when(c["real"] & hit, of(check, c["category"], c["entity"], detail)) for check, (hit, detail) in plain.items()]))).drop("_context")
+
+    table = F.create_map(*[F.lit(x) for i, g in enumerate(lexicons.CHECK_SYNONYMS) for k in g for x in (k, i)])
+    rows = rows.withColumn("_g", F.when(c["real"], F.try_element_at(table, c["key"])))
+    key, group = Window.partitionBy("record_id", "key"), Window.partitionBy("record_id", "category", "_g")
+    first = lambda over: F.row_number().over(over) == 1
+    rows = rows.withColumns({"_n": F.count_if(c["real"]).over(key), "_in": F.collect_set(F.when(c["real"], c["category"])).over(key), "_first": first(key.orderBy(F.desc("real"), "category", "pos"))})
+    rows = rows.withColumns({"_keys": F.collect_set(F.when(F.col("_g").isNotNull(), c["key"])).over(group), "_lead": first(group.orderBy("key", "pos"))})
+    none = F.lit(None)
+    leaked = [F.when(~c["real"] & F.array_contains("_in", t), F.struct(c["probe"].alias("check"), c["category"], c["entity"], F.lit(t).alias("detail"))) for t in (disease, organism)]
+    several = [
+        F.when(c["real"] & F.col("_first") & (F.col("_n") > 1), of("repeated_key", none, c["key"], F.array_join(F.array_sort("_in"), ","))),
+        F.when(F.col("_g").isNotNull() & F.col("_lead") & (F.size("_keys") > 1), of("synonyms", c["category"], none, F.array_join(F.array_sort("_keys"), ","))),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rows.select("record_id", "category", "pos", "entity", "real", F.concat("_plain", F.array_compact(F.array(*leaked, *several))).alias("issues"))
+
+
+def all_checks(entities: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """The eight checks with their default lexicons: one issue a row."""
+    return marked(entities, contexts).select("record_id", F.inline("issues"))
+
+
+def report(entities: DataFrame, contexts: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """A row a record: how many entities and issues it has, how many of each check, and the issues in order.
+
+    records (record_id): those that are to be in the report although they may have no entity.
+    """
+    rows = marked(entities, contexts)
+    order = F.array_sort(F.flatten(F.collect_list("issues")))
+    found = rows.groupBy("record_id").agg(F.count_if("real").alias("n_entities"), order.alias("issues"))
+    if records is not None:
+        found = records.select("record_id").distinct().join(found, "record_id", "left")
+    issues = F.coalesce("issues", F.array().cast("array<struct<check:string,category:string,entity:string,detail:string>>"))
+    found = found.select("record_id", F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"), issues.alias("issues"))
+    many = F.create_map(*[x for k in CHECKS for x in (F.lit(k), F.size(F.filter("issues", _of(k))))])
+    return found.select("record_id", "n_entities", F.size("issues").cast("long").alias("n_issues"), many.alias("by_check"), "issues")
+
+
+def _of(check: str):
+    return lambda issue: issue["check"] == check
 
 
 def summed(entities: DataFrame, terms: Sequence[str], term_check: str, category: str, groups: Sequence[Sequence[str]]) -> DataFrame:

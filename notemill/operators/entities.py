@@ -165,23 +165,37 @@ def key_variants(record: Mapping[str, Sequence[Column]]) -> dict[str, Column]:
     return {name: F.coalesce(*options, F.lit("")) for name, options in record.items()}
 
 
-def layer_counts(entities: DataFrame, examples: int = 5) -> DataFrame:
-    """(layer, n, examples): how many entities each of the five layers touches, with the first few, by record, category and place.
+def layer_marks(entities: DataFrame) -> DataFrame:
+    """One row for each entity that a layer touches: (layer, record_id, category, pos, entity), all on one shuffle.
 
-    imaging: moved; vitals: dropped; language: replaced; across, within: removed as repeats.
+    imaging: moved; vitals: dropped; language: replaced; across, within: removed as repeats. Rows that a layer removes
+    stay as dead ones, which the windows of later layers put last.
     """
-    keyed = by_record(entities)
-    moving = keyed.where((F.col("category") == DISEASE) & F.col("key").rlike(imaging_pattern()))
-    moved = _moved(keyed, imaging_pattern(), DISEASE, SYMPTOM)
-    vital = _matching(lexicons.VITALS, LAB)
-    left = moved.where(~vital).withColumn("_before", F.col("entity"))
-    placed = _placed(with_key(substituted(left)), lexicons.PRECEDENCE_B, lexicons.STOP_TERMS)
-    again = F.row_number().over(Window.partitionBy("record_id", "category", "key").orderBy("pos")) > 1
-    touched = {"imaging": moving, "vitals": moved.where(vital), "across": placed.where("gone"), "within": placed.where("not gone").withColumn("_again", again).where("_again"), "language": placed.where("_before <> entity").drop("entity").withColumnRenamed("_before", "entity")}
-    rows = None
-    for layer, df in touched.items():
-        part = df.select(F.lit(layer).alias("layer"), *LONG)
-        rows = part if rows is None else rows.unionByName(part)
+    moves = (F.col("category") == DISEASE) & F.col("key").rlike(imaging_pattern())
+    rows = by_record(entities).withColumns({"_moves": moves, "_old": F.struct("category", "pos", "entity"), "category": F.when(moves, SYMPTOM).otherwise(F.col("category"))})
+    number = lambda by, *order: F.row_number().over(Window.partitionBy("record_id", *by).orderBy(*order))
+    rows = rows.withColumn("_live", ~F.col("_moves") | (number(["category", "key"], "_moves", "pos") == 1))
+    rows = rows.withColumn("pos", F.when(F.col("category") == SYMPTOM, number(["category"], F.desc("_live"), "_moves", "pos") - 1).otherwise(F.col("pos")))
+    rows = rows.withColumn("_vital", F.col("_live") & _matching(lexicons.VITALS, LAB)).withColumn("_live", F.col("_live") & ~F.col("_vital")).withColumn("_before", F.col("entity"))
+    rows = with_key(substituted(rows)).withColumn("_rank", _rank(lexicons.PRECEDENCE_B))
+    gone = F.col("_live") & (number(["key"], F.desc("_live"), "_rank", "pos") > 1) & ~F.col("key").isin(list(lexicons.STOP_TERMS))
+    rows = rows.withColumn("_gone", gone).withColumn("_left", F.col("_live") & ~F.col("_gone"))
+    rows = rows.withColumn("_again", F.col("_left") & (number(["category", "key"], F.desc("_left"), "pos") > 1))
+    at = lambda layer, hit, category, pos, entity: F.when(hit, F.struct(F.lit(layer).alias("layer"), category.alias("category"), pos.alias("pos"), entity.alias("entity")))
+    now = (F.col("category"), F.col("pos"))
+    touched = [
+        at("imaging", F.col("_moves"), *[F.col(f"_old.{c}") for c in ("category", "pos", "entity")]),
+        at("vitals", F.col("_vital"), *now, F.col("_before")),
+        at("language", F.col("_live") & (F.col("_before") != F.col("entity")), *now, F.col("_before")),
+        at("across", F.col("_gone"), *now, F.col("entity")),
+        at("within", F.col("_again"), *now, F.col("entity")),
+    ]
+    return rows.select("record_id", F.inline(F.array_compact(F.array(*touched))))
+
+
+def layer_counts(entities: DataFrame, examples: int = 5) -> DataFrame:
+    """(layer, n, examples): how many entities each of the five layers touches, with the first few, by record, category and place."""
+    rows = layer_marks(entities)
     counts = rows.groupBy("layer").agg(F.count("*").alias("n"))
     shown = first_rows(rows, ["layer"], [F.col("record_id"), F.col("category"), F.col("pos")], F.lit(examples)).groupBy("layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda x: x["entity"]).alias("examples"))
     return counts.join(shown, "layer", "left")

@@ -118,12 +118,19 @@ def note_complexity(spark, d):
     return notes(spark, d).select("doc_id", F.length("note").alias("size"), features.complexity(F.col("note")).alias("score"))
 
 
+POOL = tuple((c, e) for lists in LISTS for c, items in lists for e in items)
+WORDS = "[A-Z][a-z]+"
+
+
 def clinical_entities(spark, d):
-    """Each document's entity list, long."""
-    rows = [(i, c, n, e) for i, lists in enumerate(LISTS) for c, items in lists for n, e in enumerate(items)]
-    lists = spark.createDataFrame(rows, "_list long, category string, pos int, entity string")
-    ids = documents(spark, d).select(F.col("doc_id").alias("record_id"), F.pmod("doc_id", F.lit(len(LISTS))).alias("_list"))
-    return ids.join(F.broadcast(lists), "_list").drop("_list")  # a fixed table of some 40 rows
+    """Each document's capitalised words as its entities, long: half of them, by length, letter and place, stand for a term of POOL."""
+    terms = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(e).alias("entity")) for c, e in POOL])
+    own = F.array(*[F.lit(c) for c in lexicons.CATEGORIES])
+    each = documents(spark, d).select(F.col("doc_id").alias("record_id"), F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("pos", "word"))
+    at = (F.length("word") * 31 + F.ascii("word") * 7 + F.col("pos")) % (2 * len(POOL))
+    term = F.get(terms, at)
+    category = F.coalesce(term["category"], F.get(own, at % len(lexicons.CATEGORIES)))
+    return each.select("record_id", category.alias("category"), "pos", F.coalesce(term["entity"], F.lower("word")).alias("entity"))
 
 
 def _contexts(spark, d):
@@ -139,6 +146,15 @@ def qc_runner(spark, d):
     return checks.summary(checks.all_checks(clinical_entities(spark, d), _contexts(spark, d)))
 
 
+def qc_report(spark, d):
+    """A report for each document: its entities, its issues by check, and the issues themselves."""
+    ids = documents(spark, d).select(F.col("doc_id").alias("record_id"))
+    made = checks.report(clinical_entities(spark, d), _contexts(spark, d), ids)
+    line = lambda i: F.concat_ws("|", i["check"], F.coalesce(i["category"], F.lit("-")), F.coalesce(i["entity"], F.lit("-")), i["detail"])
+    listed = F.array_join(F.array_sort(F.transform("issues", line)), ";")
+    return made.select("record_id", "n_entities", "n_issues", *[F.element_at("by_check", k).cast("long").alias(f"n_{k}") for k in checks.CHECKS], F.md5(listed.cast("binary")).alias("issues"))
+
+
 def clinical_layers(spark, d):
     return entities.layered(clinical_entities(spark, d))
 
@@ -153,7 +169,7 @@ def layer_stats(spark, d):
     return counted.select("layer", "n", F.array_join("examples", "; ").alias("examples"))
 
 
-QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, note_sections, note_lexicons, vocabulary_hits, target_coverage, note_complexity, qc_eight_checks, qc_runner, clinical_layers, clinical_steps, layer_stats)}
+QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, note_sections, note_lexicons, vocabulary_hits, target_coverage, note_complexity, qc_eight_checks, qc_runner, qc_report, clinical_layers, clinical_steps, layer_stats)}
 
 
 def _quoted(value: str) -> str:
@@ -187,9 +203,12 @@ _CUTS = f"{_NOTES}, s AS (SELECT doc_id, target, note, " + ", ".join(f"{_section
 _LABEL = lambda name: "diag_" + name.replace(" ", "_").lower()
 _TEMPERATURE = _quoted("(?i)" + lexicons.TEMPERATURE)
 _TARGET = "coalesce(CASE lower(trim(target)) " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in {**lexicons.ALIASES, **{v.lower(): v for v in lexicons.ALIASES.values()}}.items()) + " END, target)"
-_ROWS = ", ".join(f"({i}, {_quoted(c)}, {n}, {_quoted(e)})" for i, lists in enumerate(LISTS) for c, items in lists for n, e in enumerate(items))
-_ENTITIES = f"""lists AS (SELECT * FROM (VALUES {_ROWS}) v(list, category, pos, entity)),
-    ents AS (SELECT doc_id AS record_id, category, CAST(pos AS INTEGER) AS pos, entity, trim(regexp_replace(lower(strip_accents(entity)), '\\s+', ' ', 'g')) AS key FROM documents JOIN lists ON doc_id % {len(LISTS)} = list)"""
+_POOL = ", ".join(f"({i}, {_quoted(c)}, {_quoted(e)})" for i, (c, e) in enumerate(POOL))
+_ENTITIES = f"""pool AS (SELECT * FROM (VALUES {_POOL}) v(slot, term_category, term)),
+    words AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS l FROM documents)),
+    placed AS (SELECT *, (length(word) * 31 + ascii(word) * 7 + pos) % {2 * len(POOL)} AS slot FROM words),
+    named AS (SELECT doc_id AS record_id, coalesce(term_category, [{", ".join(map(_quoted, lexicons.CATEGORIES))}][placed.slot % {len(lexicons.CATEGORIES)} + 1]) AS category, CAST(pos AS INTEGER) AS pos, coalesce(term, lower(word)) AS entity FROM placed LEFT JOIN pool USING (slot)),
+    ents AS (SELECT *, trim(regexp_replace(lower(strip_accents(entity)), '\\s+', ' ', 'g')) AS key FROM named)"""
 
 
 def _rank(order: tuple[str, ...]) -> str:
@@ -263,6 +282,12 @@ ORACLE_SQL = {
         + CASE WHEN length(note) > 15000 THEN 5 ELSE 0 END + CASE WHEN length(note) > 10000 THEN 3 ELSE 0 END AS BIGINT) AS score FROM n""",
     "qc_eight_checks": f"WITH {_ENTITIES} SELECT DISTINCT * FROM ({_CHECKS})",
     "qc_runner": f'WITH {_ENTITIES} SELECT "check", count(*) AS n_issues, count(DISTINCT record_id) AS n_records FROM ({_CHECKS}) GROUP BY "check"',
+    "qc_report": f"""WITH {_ENTITIES}, issues AS ({_CHECKS}),
+        listed AS (SELECT record_id, count(*) AS n_issues, {", ".join(f"""count(*) FILTER ("check" = '{k}') AS n_{k}""" for k in checks.CHECKS)},
+            array_to_string(list_sort(list(concat_ws('|', "check", coalesce(category, '-'), coalesce(entity, '-'), detail))), ';') AS t FROM issues GROUP BY record_id),
+        many AS (SELECT record_id, count(*) AS n FROM ents GROUP BY record_id)
+        SELECT doc_id AS record_id, coalesce(n, 0) AS n_entities, coalesce(n_issues, 0) AS n_issues, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in checks.CHECKS)}, md5(coalesce(t, '')) AS issues
+        FROM documents LEFT JOIN listed ON doc_id = listed.record_id LEFT JOIN many ON doc_id = many.record_id""",
     "clinical_layers": f"WITH {_ENTITIES}, {_LAYERS} SELECT record_id, category, pos, entity FROM ix WHERE NOT again",
     "clinical_steps": f"""WITH {_ENTITIES}, {_CANON}, a AS (SELECT * FROM ents QUALIFY row_number() OVER (PARTITION BY record_id, category, key ORDER BY pos) = 1),
         b AS (SELECT * FROM a QUALIFY {_rank(lexicons.PRECEDENCE_A)} = min({_rank(lexicons.PRECEDENCE_A)}) OVER (PARTITION BY record_id, key)),

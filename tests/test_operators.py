@@ -314,6 +314,33 @@ def test_mentions_follow_the_rows_target_and_its_aliases(spark):
     assert [r[0] for r in df.select(features.target_mentions(F.col("x"), F.col("t"))).collect()] == [3, 2, 0, 0]
 
 
+def test_checks_in_one_pass_equal_each_on_its_own(spark):
+    rng = random.Random(6)
+    pool = ["HIV", "hiv", "HIV negativo", "hiv: pendente", "febre", "Febre", "HAS", "hipertensao", "Derrame pleural", "derrame pleural", "chest pain", "SpO2 97", "Nódulo pulmonar", "negativo", "dislipidemia", "hiperlipidemia", "tosse"]
+    rows = [(k, rng.choice(lexicons.CATEGORIES), n, rng.choice([x for x in pool])) for k in range(60) for n in range(rng.randint(0, 14))] + [(None, D, 0, "febre"), (None, D, 1, "febre")]
+    context = spark.createDataFrame([(k, "tem derrame pleural") for k in range(0, 60, 3)], "record_id long, context string")
+    e = long(spark, rows)
+    parts = [checks.repeated_keys(e), checks.leaked_tests(e, lexicons.CHECK_NEGATIVE, "negative_test", L, (D, O)), checks.leaked_tests(e, lexicons.CHECK_PENDING, "pending_test", L, (D, O)), checks.listed(e, lexicons.CHECK_SYMPTOMS, "symptom_as_disease", D)]
+    parts += [checks.containing(e, "(" + "|".join(lexicons.CHECK_IMAGING) + ")", "imaging_as_disease", D, context), checks.synonyms(e, lexicons.CHECK_SYNONYMS), checks.containing(e, lexicons.CHECK_ENGLISH, "language"), checks.containing(e, lexicons.CHECK_VITALS, "vital_as_lab", L)]
+    want = sorted(str(tuple(r)) for p in parts for r in p.select(*checks.ISSUE).collect())
+    got = checks.all_checks(e, context)
+    assert sorted(str(tuple(r)) for r in got.select(*checks.ISSUE).collect()) == want and len({r["check"] for r in got.collect()}) == 8
+    plan = checks.all_checks(e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    ids = spark.range(70).select(F.col("id").alias("record_id"))
+    report = {r["record_id"]: r for r in checks.report(e, context, ids).collect()}
+    assert set(report) == set(range(70)) and report[69]["n_issues"] == 0 == report[69]["n_entities"] and report[69]["issues"] == []
+    for k in range(60):
+        mine = [r for r in got.where(F.col("record_id") == k).collect()] if k < 3 else None
+        assert report[k]["n_entities"] == sum(r[0] == k for r in rows) and report[k]["n_issues"] == sum(report[k]["by_check"].values()) == len(report[k]["issues"])
+        assert mine is None or sorted(r["check"] for r in mine) == [i["check"] for i in report[k]["issues"]]
+
+
+def test_layers_mark_what_they_touch_on_one_shuffle(spark):
+    plan = entities.layer_marks(long(spark, [(1, D, 0, "x")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_exports_and_reports(spark, tmp_path):
     df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n int")
     writers.json_array(df, f"{tmp_path}/array")
