@@ -9,7 +9,7 @@ from notemill.functions import text
 from notemill.operators import cohort, contract, entities, profile, review, scoring
 from notemill.plans.base import documents, table
 from notemill.session import shared_folder
-from notemill.sources import readers, writers
+from notemill.sources import readers, stored, writers
 
 MODELS = ("m1", "m2", "m3")
 
@@ -85,6 +85,19 @@ def large_arrays(spark, d):
     return both.select("form", F.col("paciente_id").cast("long").alias("doc_id"), "codigo_cid", F.size("ner.organism_or_virus").alias("n_last"), F.md5(F.col("soap.course").cast("binary")).alias("digest"))
 
 
+def stored_upsert(spark, d):
+    """A stored table updated by key: replaced, added and repeated rows; the second time nothing is left to change."""
+    path = shared_folder(spark, "stored")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stored.create(orders, path, "o_orderkey", buckets=16)
+    dear = orders.where("o_totalprice > 300000")
+    new = dear.select("o_orderkey", F.lit("Y").alias("o_orderstatus"), F.lit(2).alias("v")).unionByName(dear.select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(1).alias("v")))
+    new = new.unionByName(dear.where("o_totalprice > 400000").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.lit(1).alias("v")))
+    first = stored.upsert(new, path, order="v", insert=True)
+    again = stored.upsert(new, path, order="v", insert=True)
+    return stored.read(spark, path).select("*", F.lit(again["written"]).alias("n_again"), F.lit(again["version"] - first["version"]).alias("n_versions"))
+
+
 def batch_resume(spark, d):
     """A stage in parts; the second run finds them all done."""
     path = shared_folder(spark, "batches")
@@ -205,7 +218,7 @@ def audited_records(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, large_arrays, batch_resume, text_corpus, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
+    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, large_arrays, stored_upsert, batch_resume, text_corpus, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
 }
 
 _SPANS = lambda name, more: f"""{name}_t AS (SELECT item_id, pos, CASE WHEN t = 'the' THEN 'B-A' WHEN regexp_matches(t, '^[aeiou]') AND length(t) > {more} THEN 'I-A' WHEN regexp_matches(t, '^b') THEN 'B-B' ELSE 'O' END AS tag FROM tok),
@@ -226,6 +239,8 @@ ORACLE_SQL = {
     "record_array": "SELECT form, quality::VARCHAR AS codigo_cid, count(*) AS n, (6 * count(*))::BIGINT AS n_lists, (2 * count(*))::BIGINT AS n_items FROM labels, (VALUES ('array'), ('lines')) f(form) GROUP BY ALL",
     "large_arrays": """SELECT form, doc_id, CAST(quality AS VARCHAR) AS codigo_cid, CAST(0 AS INTEGER) AS n_last, md5(coalesce(text, '')) AS digest
         FROM labels JOIN documents USING (doc_id), (VALUES ('bare'), ('wrapped')) f(form)""",
+    "stored_upsert": """SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'Y' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, 0 AS n_again, 0 AS n_versions FROM orders
+        UNION ALL SELECT -o_orderkey, 'N', NULL, 0, 0 FROM orders WHERE o_totalprice > 400000""",
     "batch_resume": "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders",
     "text_corpus": f"""SELECT page_id, md5({_HTML}) AS digest FROM pages UNION ALL
         SELECT -1, md5('<html><body><h1>Pages</h1><ul>' || string_agg('<li><a href="page_' || page_id || '.html">page_' || page_id || '</a></li>', '' ORDER BY page_id::VARCHAR) || '</ul></body></html>') FROM pages""",
