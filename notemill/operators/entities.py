@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import lexicons, text
+from notemill.operators import lexicon
 from notemill.operators.cohort import bounded_broadcast, first_rows
 
 LONG = ("record_id", "category", "pos", "entity")
@@ -73,7 +74,7 @@ def _moved(keyed: DataFrame, pattern: str, source: str, target: str) -> DataFram
     keys = Window.partitionBy("record_id", "category", "key")
     seen = marked.withColumn("_n", F.row_number().over(keys.orderBy("_moves", "pos"))).where(~F.col("_moves") | (F.col("_n") == 1))
     order = Window.partitionBy("record_id", "category").orderBy("_moves", "pos")
-    return seen.withColumn("pos", F.when(F.col("category") == target, F.row_number().over(order) - 1).otherwise(F.col("pos"))).select(*LONG, "key")
+    return seen.withColumn("pos", F.when(F.col("category") == target, F.row_number().over(order) - 1).otherwise(F.col("pos"))).drop("_moves", "_n")
 
 
 def _matching(pattern: str, category: str) -> Column:
@@ -136,7 +137,18 @@ def dropped(entities: DataFrame, pattern: str, category: str) -> DataFrame:
 
 def substituted(entities: DataFrame, table: Mapping[str, str] = lexicons.TRANSLATIONS) -> DataFrame:
     """Entities with phrases replaced; a key is made anew."""
-    return entities.drop("key").withColumn("entity", text.phrases(F.col("entity"), table))
+    return entities.drop("key").withColumn("entity", lexicon.substitute(F.col("entity"), table))
+
+
+def _with_phrases(entities: DataFrame, table: Mapping[str, str]) -> DataFrame:
+    """Keyed rows dealt out by record, with _by: the entity with its phrases replaced, null where nothing is. Found before the
+    shuffle, as what runs in Python would undo the dealing out."""
+    by = lexicon.substitute(F.col("entity"), table)
+    return with_key(entities).withColumn("_by", F.nullif(by, F.col("entity"))).repartition("record_id")
+
+
+def _replaced(rows: DataFrame) -> DataFrame:
+    return with_key(rows.withColumn("entity", F.coalesce("_by", "entity")).drop("_by", "key"))
 
 
 def layered(entities: DataFrame, moves: tuple[str, str, str] | None = None, drops: tuple[str, str] | None = None, table: Mapping[str, str] = lexicons.TRANSLATIONS, order: Sequence[str] = lexicons.PRECEDENCE_B, stop: Sequence[str] = lexicons.STOP_TERMS) -> DataFrame:
@@ -144,9 +156,9 @@ def layered(entities: DataFrame, moves: tuple[str, str, str] | None = None, drop
 
     moves: pattern, source and target of the first layer; drops: pattern and category of the second.
     """
-    moved = _moved(by_record(entities), *(moves or (imaging_pattern(), DISEASE, SYMPTOM)))
+    moved = _moved(_with_phrases(entities, table), *(moves or (imaging_pattern(), DISEASE, SYMPTOM)))
     left = moved.where(~_matching(*(drops or (lexicons.VITALS, LAB))))
-    return _within(_placed(with_key(substituted(left, table)), order, stop).where("not gone")).select(*LONG)
+    return _within(_placed(_replaced(left), order, stop).where("not gone")).select(*LONG)
 
 
 def totals(entities: DataFrame) -> DataFrame:
@@ -172,12 +184,12 @@ def layer_marks(entities: DataFrame) -> DataFrame:
     stay as dead ones, which the windows of later layers put last.
     """
     moves = (F.col("category") == DISEASE) & F.col("key").rlike(imaging_pattern())
-    rows = by_record(entities).withColumns({"_moves": moves, "_old": F.struct("category", "pos", "entity"), "category": F.when(moves, SYMPTOM).otherwise(F.col("category"))})
+    rows = _with_phrases(entities, lexicons.TRANSLATIONS).withColumns({"_moves": moves, "_old": F.struct("category", "pos", "entity"), "category": F.when(moves, SYMPTOM).otherwise(F.col("category"))})
     number = lambda by, *order: F.row_number().over(Window.partitionBy("record_id", *by).orderBy(*order))
     rows = rows.withColumn("_live", ~F.col("_moves") | (number(["category", "key"], "_moves", "pos") == 1))
     rows = rows.withColumn("pos", F.when(F.col("category") == SYMPTOM, number(["category"], F.desc("_live"), "_moves", "pos") - 1).otherwise(F.col("pos")))
     rows = rows.withColumn("_vital", F.col("_live") & _matching(lexicons.VITALS, LAB)).withColumn("_live", F.col("_live") & ~F.col("_vital")).withColumn("_before", F.col("entity"))
-    rows = with_key(substituted(rows)).withColumn("_rank", _rank(lexicons.PRECEDENCE_B))
+    rows = _replaced(rows).withColumn("_rank", _rank(lexicons.PRECEDENCE_B))
     gone = F.col("_live") & (number(["key"], F.desc("_live"), "_rank", "pos") > 1) & ~F.col("key").isin(list(lexicons.STOP_TERMS))
     rows = rows.withColumn("_gone", gone).withColumn("_left", F.col("_live") & ~F.col("_gone"))
     rows = rows.withColumn("_again", F.col("_left") & (number(["category", "key"], F.desc("_left"), "pos") > 1))

@@ -6,10 +6,13 @@ are spelt out as terms. Others keep their pattern. The automaton is built once a
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from re import _parser as parser
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,8 +112,8 @@ class Automaton:
             self.machine.make_automaton()
         self.any = bool(uses)
 
-    def hits(self, text: str) -> list[tuple[int, int, int]]:
-        """(name, start, end) by name and place; of those of a name that overlap the leftmost, then the first choice."""
+    def all(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(name, start, place of the term in its list, end) of every term that stands in the text."""
         if not self.any:
             return []
         low = lowered(text)
@@ -121,8 +124,12 @@ class Automaton:
             for i, order, begins, ends in use:
                 if (not begins or word[start] != word[start + 1]) and (not ends or word[end] != word[end + 1]):
                     found.append((i, start, order, end))
+        return found
+
+    def hits(self, text: str) -> list[tuple[int, int, int]]:
+        """(name, start, end) by name and place; of those of a name that overlap the leftmost, then the first choice."""
         out, free = [], (-1, 0)
-        for i, start, _, end in sorted(found):
+        for i, start, _, end in sorted(self.all(text)):
             if i != free[0] or start >= free[1]:
                 out.append((i, start, end))
                 free = (i, end)
@@ -168,6 +175,51 @@ def hits(df: DataFrame, text_col: str, lists: Mapping[str, Iterable[Term | str]]
     return df.withColumn(name, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+def feeding(table: Mapping[str, str]) -> list[tuple[str, str]]:
+    """(phrase, other) where what replaces a phrase could make another that is replaced later, alone or with the words beside it."""
+    words = lambda t: re.findall(r"\w+", t.lower())
+    inside = lambda a, b: any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1))
+
+    def makes(by: list[str], other: list[str]) -> bool:
+        return inside(by, other) or inside(other, by) or any(by[-k:] == other[:k] or by[:k] == other[-k:] for k in range(1, min(len(by), len(other))))
+
+    order = sorted(table, key=lambda k: -len(k))
+    return [(k, other) for i, k in enumerate(order) for other in order[i + 1 :] if makes(words(table[k]), words(other))]
+
+
+def substituted(text: str, machine: Automaton, phrases: list[str], table: Mapping[str, str]) -> str:
+    """text with all phrases replaced at once: where some overlap the longest, then the first of the table, then the leftmost."""
+    found = sorted((-len(phrases[order]), order, start, end) for _, start, order, end in machine.all(text))
+    if not found:
+        return text
+    taken: list[tuple[int, int, int]] = []
+    for _, order, start, end in found:
+        at = bisect.bisect(taken, (start, end, order))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end, order))
+    parts, last = [], 0
+    for start, end, order in taken:
+        parts += [text[last:start], table[phrases[order]]]
+        last = end
+    return "".join([*parts, text[last:]])
+
+
+def substitute(text: Column, table: Mapping[str, str]) -> Column:
+    """Whole phrases replaced in one pass, longest first, in any case; null stays null.
+
+    The same as replacing one phrase after the other, longest first, as long as no replacement helps to make a phrase
+    (feeding() lists those that do): here a replacement is never replaced again.
+    """
+    phrases = [k for k in table if k]
+    lists = {"": [Term(k, True, True) for k in phrases]}
+
+    def run(texts: pd.Series) -> pd.Series:
+        machine = _automaton(lists)
+        return texts.map(lambda t: None if t is None else substituted(t, machine, phrases, table))
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def _named(name: str) -> Callable[[Column], Column]:
     return lambda hit: hit["name"] == name
 

@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notemill.functions.text import is_json
 
 
-def tokens(text: Column) -> Column:
-    """Tokens between blanks as (token, start, end), end exclusive.
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
-    A running sum over token lengths and blanks: the parts between tokens and the tokens alternate.
-    """
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    gaps = F.regexp_extract_all(text, F.lit(r"(\s+|^)\S"), F.lit(1))
-    steps = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("n"), w.alias("w")))
-    none = F.array().cast("array<struct<token:string,start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["g"]
-        here = F.struct(x["w"].alias("token"), at.alias("start"), (at + x["n"]).alias("end"))
-        return F.struct((at + x["n"]).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+def _tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else [{"token": m.group(), "start": m.start(), "end": m.end()} for m in _WORD.finditer(t)])
 
-    return F.aggregate(steps, start, step, lambda a: a["out"])
+
+def tokens(text: Column) -> Column:
+    """Tokens between blanks as (token, start, end), end exclusive; in time linear in the text. Null stays null."""
+    return F.pandas_udf(_tokens, "array<struct<token:string,start:int,end:int>>")(text)
 
 
 def found_spans(text: Column, entities: Column) -> Column:
@@ -48,15 +44,31 @@ def without_overlaps(spans: Column) -> Column:
     return F.aggregate(order, start, step, lambda a: a["out"])
 
 
+def swept(starts, ends, begins, stops, labels) -> list[str | None]:
+    """Tags of tokens (starts, ends, ascending) by spans (begins, stops, labels): a sweep over both that holds the open spans."""
+    order = sorted(range(len(begins)), key=lambda k: begins[k])
+    out, held, at = [], [], 0
+    for start, end in zip(starts, ends, strict=True):
+        while at < len(order) and begins[order[at]] < end:
+            heapq.heappush(held, order[at])
+            at += 1
+        while held and stops[held[0]] <= start:  # no later token can meet it
+            heapq.heappop(held)
+        k = held[0] if held else None
+        out.append("O" if k is None else None if labels[k] is None else ("B-" if start <= begins[k] else "I-") + labels[k])
+    return out
+
+
 def bio(offsets: Column, spans: Column) -> Column:
-    """B-, I- or O for each token: B- if it holds a span's start, I- if it lies in one."""
+    """B-, I- or O for each token: B- if it holds a span's start, I- if it lies in one; the first of spans that overlap counts.
+
+    offsets are in order of their starts. Null offsets or spans give null.
+    """
 
-    def tag(t: Column) -> Column:
-        hit = F.filter(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-        first = F.get(hit, F.lit(0))
-        return F.when(F.size(hit) == 0, "O").when(t["start"] <= first["start"], F.concat(F.lit("B-"), first["label"])).otherwise(F.concat(F.lit("I-"), first["label"]))
+    def run(starts: pd.Series, ends: pd.Series, begins: pd.Series, stops: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else swept(*row) for row in zip(starts, ends, begins, stops, labels, strict=True)], dtype=object)
 
-    return F.transform(offsets, tag)
+    return F.pandas_udf(run, "array<string>")(offsets["start"], offsets["end"], spans["start"], spans["end"], spans["label"])
 
 
 def valid_labels(labels: Column) -> Column:

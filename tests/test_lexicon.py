@@ -74,3 +74,17 @@ def test_empty_lexicons_and_too_large_ones(spark, monkeypatch):
     monkeypatch.setattr(lexicon, "MOST_TERMS", 1)
     with pytest.raises(ValueError):
         lexicon.hits(df, "x", {"a": ["a", "b"]})
+
+
+def test_all_phrases_at_once_equal_one_after_the_other(spark):
+    table = lexicons.TRANSLATIONS
+    assert lexicon.feeding(table) == []
+    assert lexicon.feeding({"a b": "x c", "c": "y", "c d e": "b", "e": ""}) == [("c d e", "a b"), ("a b", "c")]
+    rng = random.Random(5)
+    bits = [*table, *[k.upper() for k in table], *[k.split()[-1] for k in table], "non-", "-", ", ", "é", "x"]
+    rows = [("".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 9))),) for _ in range(1500)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "x string").select("x", lexicon.substitute(F.col("x"), table).alias("one"), text.phrases(F.col("x"), table).alias("chain"))
+    assert all(r["one"] == r["chain"] for r in df.collect())
+    overlaps = {"a b c": "1", "b c d e": "2", "e": "3", "$": "4"}
+    got = spark.createDataFrame([("a b c d e a b c",)], "x string").select(lexicon.substitute(F.col("x"), overlaps), text.phrases(F.col("x"), overlaps)).first()
+    assert got[0] == got[1] == "a 2 1"

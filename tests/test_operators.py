@@ -341,6 +341,37 @@ def test_layers_mark_what_they_touch_on_one_shuffle(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_tags_by_sweep_equal_tags_by_comparison(spark):
+    rng = random.Random(8)
+    for _ in range(400):
+        at, toks = 0, []
+        for _ in range(rng.randint(0, 12)):
+            at += rng.randint(1, 3)
+            toks.append((at, at := at + rng.randint(1, 5)))
+        spans = [(s, s + rng.randint(1, 12), rng.choice("AB")) for s in (rng.randint(0, 50) for _ in range(rng.randint(0, 6)))]
+        want = []
+        for a, b in toks:
+            hit = next((s for s in spans if a < s[1] and s[0] < b), None)
+            want.append("O" if hit is None else ("B-" if a <= hit[0] else "I-") + hit[2])
+        assert training.swept(*(zip(*toks, strict=True) if toks else ([], [])), *(zip(*spans, strict=True) if spans else ([], [], []))) == want
+
+
+def test_tags_of_a_very_long_text_take_linear_time(spark):
+    import time
+
+    def took(n):
+        body = " ".join(f"w{i}" for i in range(n))
+        spans = F.transform(F.sequence(F.lit(0), F.lit(n // 4)), lambda i: F.struct((i * 20).alias("start"), (i * 20 + 7).alias("end"), F.lit("X").alias("label")))
+        df = spark.createDataFrame([(body,), (None,)], "x string").select(training.tokens(F.col("x")).alias("t"), spans.alias("s"))
+        began = time.time()
+        rows = df.select(training.bio(F.col("t"), F.col("s")).alias("b")).collect()
+        assert len(rows[0]["b"]) == n and rows[1]["b"] is None
+        return time.time() - began
+
+    took(100)
+    assert took(160_000) < 10 * max(1.0, took(20_000))
+
+
 def test_exports_and_reports(spark, tmp_path):
     df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n int")
     writers.json_array(df, f"{tmp_path}/array")
