@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words before whose full stop no sentence ends.
+ABBREVIATIONS = ("dr", "dra", "mr", "mrs", "ms", "prof", "sr", "sra", "st", "vs", "approx", "no", "nr", "fig", "dept", "pt", "pts", "hx", "dx", "tx", "rx", "sx", "abd", "resp", "neuro", "ext", "temp", "i.e", "e.g", "etc", "cf", "p.o", "p.r.n", "q.d", "b.i.d", "t.i.d", "q.i.d", "i.v", "i.m", "s.c", "a.m", "p.m", "h.s")
+
+
 def _fold_map() -> tuple[str, str]:
     """Letters of the Latin blocks whose NFKD form is one letter and combining marks."""
     pairs = []
@@ -152,6 +156,21 @@ def sentences(text: Column, least: int = 10) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: F.length(s) > least)
 
 
+def clinical_sentences(text: Column, least: int = 10, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
+    """Sentences of more than `least` characters of a clinical text.
+
+    One ends at a line's end, and after . ! or ? (with closing quotes or brackets) before a blank and what can begin the
+    next: a capital, a digit, an opening quote or bracket. Not after an abbreviation, an initial (one capital), or the
+    number of a list item at a line's beginning; decimals hold no blank. Wrapped lines go on where the next line begins
+    in lower case.
+    """
+    short = "|".join(re.escape(a) for a in sorted(abbreviations, key=lambda a: (-len(a), a)))
+    stop = r"(?:(?<=[.!?])|(?<=[.!?][\"')\]]))"
+    not_after = rf"(?<!(?i:(?:^|[^\p{{L}}\p{{N}}.])(?:{short}))\.)(?<!(?:^|[^\p{{L}}\p{{N}}])\p{{Lu}}\.)(?<!(?:^|\n)[ \t]{{0,8}}\d{{1,2}}\.)"
+    parts = F.split(text, rf"{stop}{not_after}[ \t]+(?=[\p{{Lu}}\p{{N}}\"'(\[])|[ \t]*\n+(?![ \t]*\p{{Ll}})|\n{{2,}}")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(strip(s), r"\s*\n\s*", " ")), lambda s: F.length(s) > least)
+
+
 def chunks(items: Column, size: int, overlap: int) -> Column:
     """Windows of `size` items that share `overlap`; the last is the first that reaches the end."""
     step = size - overlap

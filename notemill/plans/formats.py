@@ -9,7 +9,7 @@ from notemill.functions import text
 from notemill.operators import cohort, contract, entities, profile, review, scoring
 from notemill.plans.base import documents, table
 from notemill.session import shared_folder
-from notemill.sources import readers, stored, writers
+from notemill.sources import pages, readers, stored, writers
 
 MODELS = ("m1", "m2", "m3")
 
@@ -107,15 +107,37 @@ def batch_resume(spark, d):
 
 
 def text_corpus(spark, d):
-    """Files of whole texts named after their record, read with what the names say."""
+    """Pages as HTML, a row each, and a page that links them (page_files() writes them as files)."""
     path = shared_folder(spark, "texts")
-    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("title"), "url")
-    made = writers.html_pages(pages, "title", ["url"])
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("title"), "url")
+    made = writers.html_pages(rows, "title", ["url"])
     writers.parquet(made.select("page_id", "html"), path)
     index = writers.index_page(made.select("title", F.concat("title", F.lit(".html")).alias("file")), "title", "file", "Pages").select(F.lit(-1).cast("long").alias("page_id"), F.md5(F.col("html").cast("binary")).alias("digest"))
     return readers.parquet(spark, path).select("page_id", F.md5(F.col("html").cast("binary")).alias("digest")).unionByName(index)
 
 
+def page_files(spark, d):
+    """Pages as files, read again whole, and how often the parts of the index link each."""
+    path = shared_folder(spark, "pages")
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("title"), "url")
+    made = writers.html_pages(rows, "title", ["url"]).withColumn("file", F.concat("title", F.lit(".html")))
+    pages.write(made, path, "file", "title", "html", instructions="Open a page to review it.", pages_per_part=100)
+    number = F.regexp_extract("name", r"^page_(\d+)\.html$", 1)
+    files = readers.text_files(spark, f"{path}/page_*.html").select(number.cast("long").alias("page_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    links = readers.text_files(spark, f"{path}/index-*.html").select(F.explode(F.regexp_extract_all("text", F.lit(r'href="page_(\d+)\.html"'), F.lit(1))).alias("page_id"))
+    counted = links.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.count("*").alias("n_links"))
+    return files.join(counted, "page_id", "left").select("page_id", "digest", "n_links")
+
+
+def note_files(spark, d):
+    """Documents as text files whose names say what they are, read again with their names taken apart; empty files are not read."""
+    path = shared_folder(spark, "notes")
+    name = F.concat(F.lit("note_"), F.col("lang"), F.lit("_A"), (F.col("doc_id") % 90).cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    pages.write(documents(spark, d).select(name.alias("name"), "text"), path, "name", "name", "text")
+    read = readers.named_parts(readers.text_files(spark, f"{path}/*.txt"))
+    return read.select(F.col("id").cast("long").alias("doc_id"), F.col("target").alias("lang"), "code", F.length("text").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def named_files(spark, d):
     names = documents(spark, d).select("doc_id", F.concat(F.lit("note_"), F.col("lang"), F.lit("_A"), (F.col("doc_id") % 90).cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".csv").otherwise(".txt")).alias("name"))
     return readers.named_parts(names).select("doc_id", "target", "code", "id")
@@ -218,7 +240,7 @@ def audited_records(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, large_arrays, stored_upsert, batch_resume, text_corpus, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
+    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, large_arrays, stored_upsert, batch_resume, text_corpus, page_files, note_files, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
 }
 
 _SPANS = lambda name, more: f"""{name}_t AS (SELECT item_id, pos, CASE WHEN t = 'the' THEN 'B-A' WHEN regexp_matches(t, '^[aeiou]') AND length(t) > {more} THEN 'I-A' WHEN regexp_matches(t, '^b') THEN 'B-B' ELSE 'O' END AS tag FROM tok),
@@ -244,6 +266,8 @@ ORACLE_SQL = {
     "batch_resume": "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders",
     "text_corpus": f"""SELECT page_id, md5({_HTML}) AS digest FROM pages UNION ALL
         SELECT -1, md5('<html><body><h1>Pages</h1><ul>' || string_agg('<li><a href="page_' || page_id || '.html">page_' || page_id || '</a></li>', '' ORDER BY page_id::VARCHAR) || '</ul></body></html>') FROM pages""",
+    "page_files": f"SELECT page_id, md5({_HTML}) AS digest, 1 AS n_links FROM pages",
+    "note_files": "SELECT doc_id, lang, 'A' || doc_id % 90 AS code, CAST(length(coalesce(text, '')) AS INTEGER) AS size, md5(coalesce(text, '')) AS digest FROM documents WHERE text <> ''",
     "named_files": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE lang END AS target, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE 'A' || doc_id % 90 END AS code, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE doc_id::VARCHAR END AS id FROM documents",
     "first_rows_by_key": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 5",
     "smoke_sample": "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 3",

@@ -6,6 +6,8 @@ whole text. Both engines build it from one template.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,13 @@ TEMPLATE = (
     (1, ("HIV infection", "pulmonary tuberculosis", "neurosyphilis", "viral meningitis", "dengue", "malaria", "hepatitis C", "measles", "fracture", "chagas disease", "yellow fever")),
     "\nDischarge Condition: good\n",
 )
+#: What a course ends with, and its last sentence.
+SAID = (
+    "Seen by Dr. Silva at 9 a.m. today. Given 2.5 mg p.o. b.i.d. for pain.",
+    "Temp. 38.2 at night. Pt. A. Costa vs. control.",
+    "1. Aspirin 100 mg daily.",
+    "He was stable (see note.) Discharged home, e.g. on foot.",
+)
 TARGETS = ("hiv", "Tuberculosis", "Sifilis", "syphilis", "dengue", "HIV")
 DISEASE, SYMPTOM, DRUG, LAB, PROCEDURE, ORGANISM = lexicons.CATEGORIES
 #: Entity lists by id modulo their number.
@@ -146,6 +155,14 @@ def qc_runner(spark, d):
     return checks.summary(checks.all_checks(clinical_entities(spark, d), _contexts(spark, d)))
 
 
+def note_sentences(spark, d):
+    """Sentences of the notes' courses, with clinical phrases between the document's own sentences."""
+    phrase = _pick(7, SAID)
+    body = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ,.!?\n]", ""), F.lit("\n\n"), phrase)
+    split = documents(spark, d).select("doc_id", F.posexplode(text.clinical_sentences(body, 0)).alias("n", "sentence"))
+    return split.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max_by("sentence", "n").alias("last"), F.sum(F.length("sentence")).alias("chars"))
+
+
 def qc_report(spark, d):
     """A report for each document: its entities, its issues by check, and the issues themselves."""
     ids = documents(spark, d).select(F.col("doc_id").alias("record_id"))
@@ -169,7 +186,7 @@ def layer_stats(spark, d):
     return counted.select("layer", "n", F.array_join("examples", "; ").alias("examples"))
 
 
-QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, note_sections, note_lexicons, vocabulary_hits, target_coverage, note_complexity, qc_eight_checks, qc_runner, qc_report, clinical_layers, clinical_steps, layer_stats)}
+QUERIES = {f.__name__: f for f in (symptom_alert, disease_labels, clinical_context, laboratory_features, note_sections, note_lexicons, vocabulary_hits, target_coverage, note_complexity, qc_eight_checks, qc_runner, note_sentences, qc_report, clinical_layers, clinical_steps, layer_stats)}
 
 
 def _quoted(value: str) -> str:
@@ -282,6 +299,15 @@ ORACLE_SQL = {
         + CASE WHEN length(note) > 15000 THEN 5 ELSE 0 END + CASE WHEN length(note) > 10000 THEN 3 ELSE 0 END AS BIGINT) AS score FROM n""",
     "qc_eight_checks": f"WITH {_ENTITIES} SELECT DISTINCT * FROM ({_CHECKS})",
     "qc_runner": f'WITH {_ENTITIES} SELECT "check", count(*) AS n_issues, count(DISTINCT record_id) AS n_records FROM ({_CHECKS}) GROUP BY "check"',
+    # full stops that end nothing are marked first, as these patterns cannot look back
+    "note_sentences": rf"""
+        WITH b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ,.!?\n]', '', 'g') || chr(10) || chr(10) || {_pick_sql(7, SAID)} AS t FROM documents),
+        k AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(^|[^A-Za-z0-9.])((?i:{"|".join(re.escape(a) for a in sorted(text.ABBREVIATIONS, key=len, reverse=True))}))\.', '\1\2' || chr(1), 'g'),
+            '(^|[^A-Za-z0-9])([A-Z])\.', '\1\2' || chr(1), 'g'), '(^|\n)([0-9]{{1,2}})\.', '\1\2' || chr(1), 'g') AS t FROM b),
+        m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '([.!?][)]?)[ \t]+([A-Z0-9(])', '\1' || chr(30) || '\2', 'g'), '\n{{2,}}', chr(30), 'g'), '[ \t]*\n[ \t]*([a-z])', ' \1', 'g') AS t FROM k),
+        p AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split_regex(t, '[\n' || chr(30) || ']') AS l FROM m)),
+        c AS (SELECT doc_id, n, regexp_replace(replace(s, chr(1), '.'), '^\s+|\s+$', '', 'g') AS s FROM p)
+        SELECT doc_id, count(*) AS n_sentences, arg_max(s, n) AS last, CAST(sum(length(s)) AS BIGINT) AS chars FROM c WHERE s <> '' GROUP BY doc_id""",
     "qc_report": f"""WITH {_ENTITIES}, issues AS ({_CHECKS}),
         listed AS (SELECT record_id, count(*) AS n_issues, {", ".join(f"""count(*) FILTER ("check" = '{k}') AS n_{k}""" for k in checks.CHECKS)},
             array_to_string(list_sort(list(concat_ws('|', "check", coalesce(category, '-'), coalesce(entity, '-'), detail))), ';') AS t FROM issues GROUP BY record_id),

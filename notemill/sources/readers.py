@@ -52,7 +52,7 @@ def ndjson(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFr
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of whole files."""
+    """(name, text) of whole files; Spark leaves out empty ones."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 

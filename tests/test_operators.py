@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -372,6 +373,27 @@ def test_tags_of_a_very_long_text_take_linear_time(spark):
     assert took(160_000) < 10 * max(1.0, took(20_000))
 
 
+MARKED = (
+    "Pt. seen by Dr. Smith at 9 a.m. today.| He denies chest pain.| BP 120/80, temp. 37.8 C.",
+    "Given 2.5 mg p.o. b.i.d. for pain.| Discharged home.",
+    "Meds:|1. Aspirin 81 mg daily|2. Lisinopril 10 mg|3. Insulin 10 units s.c. at night.| Follow up in 2 wks.",
+    "No fever.| No chills!| Any rash?| None seen.",
+    "J. R. Costa was referred by Prof. Lima.| Hx. of TB vs. sarcoidosis.",
+    'She said "I feel fine."| Exam was normal (see note.)| Plan: rest.',
+    "The patient was admitted with\nfever and cough.| Cultures were sent.",
+    "Labs: Na 140, K 4.2.| 2 units were given.| WBC 12.3 K.",
+    "Assessment:|Stable.|Plan:|Continue meds, e.g. Tylenol 500 mg q.i.d. as needed.",
+    "Paciente com febre.| Sem queixas.| Água e repouso.| É alérgico.",
+)
+
+
+def test_sentences_as_marked_by_hand(spark):
+    made = [(k, re.sub(r"\|(?! )", "\n", m).replace("|", "")) for k, m in enumerate(MARKED)]
+    got = dict(spark.createDataFrame(made, "k int, x string").select("k", text.clinical_sentences(F.col("x"), 0)).collect())
+    assert got == {k: [re.sub(r"\s+", " ", s).strip() for s in m.split("|")] for k, m in enumerate(MARKED)}
+    assert spark.createDataFrame([(None,)], "x string").select(text.clinical_sentences(F.col("x"))).first()[0] is None
+
+
 def test_exports_and_reports(spark, tmp_path):
     df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n int")
     writers.json_array(df, f"{tmp_path}/array")
