@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -26,6 +28,12 @@ def load(path: str) -> Settings:
     return of(_yaml(text) if path.endswith((".yaml", ".yml")) else json.loads(text))
 
 
+def read(spark: SparkSession, path: str) -> Settings:
+    """Settings from a file that Spark can read, wherever it is."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return of(_yaml(text) if path.endswith((".yaml", ".yml")) else json.loads(text))
+
+
 def of(values: Mapping[str, Any] | None) -> Settings:
     values = dict(values or {})
     unknown = values.keys() - {f.name for f in fields(Settings)}

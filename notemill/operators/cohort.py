@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.config import Settings
 from notemill.functions import lexicons, text
 
 
@@ -120,18 +122,54 @@ def with_flag(df: DataFrame, term: str, flag: str, value: int = 1) -> DataFrame:
 def filled_from_neighbours(df: DataFrame, class_col: str, bin_col: str, quota: Mapping[str, int], neighbours: Mapping[str, Sequence[str]], order: Sequence[Column]) -> DataFrame:
     """quota[bin] rows of each class and bin; a bin with too few takes rows that no bin has picked from its neighbours.
 
-    The bins fill in the order given, each from rows not picked before, so a row is picked once.
+    The bins fill in the order given, each from rows not picked before, so a row is picked once. Every bin's rows go in
+    one order, whoever takes them: so a pass ranks them, as far as all quotas together reach, and who gets which ranks
+    follows from the number of rows of each class and bin.
     """
-    picked = None
-    for target, n in quota.items():
-        left = df if picked is None else df.join(picked.select("_id"), df["_id"] == picked["_id"], "left_anti")
-        preference = F.when(F.col(bin_col) == target, 0)
-        for i, other in enumerate(neighbours.get(target, ()), 1):
-            preference = preference.when(F.col(bin_col) == other, i)
-        rows = left.withColumn("_preferred", preference).where("_preferred is not null")
-        got = first_rows(rows, [class_col], [F.col("_preferred"), *order], F.lit(n)).drop("_preferred").withColumn("picked_for", F.lit(target))
-        picked = got if picked is None else picked.unionByName(got)
-    return picked
+    names = list(dict.fromkeys([b for target in quota for b in (target, *neighbours.get(target, ()))]))
+    ranked = first_rows(df.where(F.col(bin_col).isin(names)), [class_col, bin_col], order, F.lit(sum(quota.values())), rank="_rank")
+    counts = ranked.groupBy(F.col(class_col).alias("_class"), F.col(bin_col).alias("_bin")).agg(F.max("_rank").alias("_n"))
+
+    def dealt(rows: pd.DataFrame) -> pd.DataFrame:  # one class: a row a bin
+        left, out = dict(zip(rows["_bin"], rows["_n"], strict=True)), []
+        used = dict.fromkeys(left, 0)
+        for target, wanted in quota.items():
+            for b in (target, *neighbours.get(target, ())):
+                take = min(wanted, left.get(b, 0) - used.get(b, 0))
+                if take > 0:
+                    out.append((rows["_class"].iloc[0], b, used[b], used[b] + take, target))
+                    used[b], wanted = used[b] + take, wanted - take
+        return pd.DataFrame(out, columns=["_class", "_bin", "_from", "_to", "picked_for"])
+
+    kinds = f"_class {df.schema[class_col].dataType.simpleString()}, _bin {df.schema[bin_col].dataType.simpleString()}"
+    shares = counts.groupBy("_class").applyInPandas(dealt, f"{kinds}, _from int, _to int, picked_for string")
+    mine = F.col(class_col).eqNullSafe(F.col("_class")) & (F.col(bin_col) == F.col("_bin")) & (F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to"))
+    got = ranked.join(bounded_broadcast(shares), mine).withColumn("rank", F.row_number().over(Window.partitionBy(class_col, "picked_for").orderBy(F.col(bin_col) != F.col("picked_for"), "_rank")))
+    return got.select(*df.columns, "rank", "picked_for")
+
+
+def configured(df: DataFrame, settings: Settings, class_col: str, size: Column, order: Sequence[Column], on: str) -> DataFrame:
+    """A sample as the settings say, with bin, anchor, rank and split.
+
+    Rows get a bin by settings.size_bins (upper borders, what is above is `long`); rows whose `on` is an anchor are all in,
+    and of the others settings.quotas[class][bin] of each class and bin, in the order; of each class validation_share go
+    to the validation part. order: text columns, the first a hash of the id; settings.seed belongs in it (seeded()).
+    """
+    borders = sorted(settings.size_bins.items(), key=lambda kv: kv[1])
+    label = F.lit("long")
+    for name, border in reversed(borders):
+        label = F.when(size < border, name).otherwise(label)
+    binned = df.withColumn("bin", label)
+    spark = df.sparkSession
+    quota = spark.createDataFrame([(c, b, n) for c, bins in settings.quotas.items() for b, n in bins.items()], f"{class_col} string, bin string, quota int")
+    anchors = spark.createDataFrame([(a,) for a in settings.anchors], "_anchor string").select(F.col("_anchor").cast(df.schema[on].dataType).alias(on))
+    taken = anchored(binned, anchors, on, [class_col, "bin"], quota, order)
+    return split(taken, class_col, order, settings.validation_share)
+
+
+def seeded(id_col: Column, settings: Settings) -> Column:
+    """A hash of the id that is another for each seed."""
+    return F.md5(F.concat(F.lit(f"{settings.seed}:"), id_col.cast("string")).cast("binary"))
 
 
 def shortages(df: DataFrame, keys: Sequence[str], quota: DataFrame) -> DataFrame:

@@ -8,30 +8,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.operators.cohort import bounded_broadcast
+from notemill.session import checkpointed
+
 
 def length_stats(df: DataFrame, size: Column) -> DataFrame:
     """Least, mean (truncated to a whole number), median and most."""
     return df.agg(F.min(size).alias("least"), F.avg(size).cast("int").alias("mean"), F.median(size).alias("median"), F.max(size).alias("most"))
 
 
-def medians(df: DataFrame, by: str, value: str, slack: float = 0.002) -> DataFrame:
-    """(by, median), exact, of a column of many distinct values: no group's values meet in one buffer.
+def medians(df: DataFrame, by: str, value: str, slack: float = 0.002, parts: int = 4096) -> DataFrame:
+    """(by, median), exact, of a column of many distinct values: no group's values meet in one buffer or task.
 
-    A sketch gives two values between which the median lies; rows below are counted, and only the distinct values
-    between, about 2 x slack of the rows, are ranked. A group's two middle rows are averaged. Nulls do not count; a
-    group of nulls only has none. by must not be null.
+    A sketch gives two values between which the median lies. What lies between is counted in `parts` ranges of equal
+    width, which says in which one or two of them the middle rows are and how far in; only the distinct values of these
+    are ranked, some 2 x slack / parts of a group. Its two middle rows are averaged. Nulls do not count; a group of nulls
+    only has none. by must not be null.
     """
     known = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
     around = F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], int(4 / slack))
     borders = known.groupBy(by).agg(around.alias("_b"), F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     few = F.col("_n") * slack < 4  # too few for the sketch's error to fit in
-    borders = borders.select(by, "_n", F.when(few, F.col("_least")).otherwise(F.col("_b")[0]).alias("_low"), F.when(few, F.col("_most")).otherwise(F.col("_b")[1]).alias("_high"))
-    near = known.join(borders, by).where("_v <= _high")
-    counts = near.groupBy(by, "_n", "_low", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(Window.partitionBy(by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto).where("_v is not null")
+    borders = checkpointed(borders.select(by, "_n", F.when(few, F.col("_least")).otherwise(F.col("_b")[0]).alias("_low"), F.when(few, F.col("_most")).otherwise(F.col("_b")[1]).alias("_high")))
+    width = F.col("_high") - F.col("_low")
+    part = F.when((width > 0) & (width < float("inf")), F.least(F.lit(parts - 1), F.floor((F.col("_v") - F.col("_low")) / width * parts)).cast("int")).otherwise(0)
+    near = known.join(bounded_broadcast(borders), by).where("_v <= _high").withColumn("_part", F.when(F.col("_v") < F.col("_low"), -1).otherwise(part))
+    ahead = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # parts + 1 rows a group at most
+    counts = near.groupBy(by, "_n", "_part").agg(F.count("*").alias("_k")).withColumn("_ahead", F.coalesce(F.sum("_k").over(ahead), F.lit(0).cast("long")))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    holds = lambda rank: (F.col("_ahead") < rank) & (rank <= F.col("_ahead") + F.col("_k"))
+    chosen = checkpointed(counts.where(holds(low) | holds(high)).select(by, "_part", "_ahead"))  # two rows a group at most
+    values = near.join(bounded_broadcast(chosen), [by, "_part"]).groupBy(by, "_n", "_part", "_ahead", "_v").agg(F.count("*").alias("_k"))
+    upto = F.col("_ahead") + F.sum("_k").over(Window.partitionBy(by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("_upto", upto)
     at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
-    return ranked.groupBy(by).agg(((at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2).alias("median"))
+    return ranked.groupBy(by).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def row_dicts(df: DataFrame, rows: int = 100_000) -> Iterator[dict]:

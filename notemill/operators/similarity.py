@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.session import shared_folder
+from notemill.session import checkpointed
 
 #: Bigrams that come last in the order of prefixes because most strings have them.
 COMMON = 100
@@ -25,14 +25,6 @@ COMMON = 100
 TAIL = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def stands_in(short: str, long: str) -> bool:
     """Whether short is in long with a word border at both of its ends, as \\b is defined."""
     word = lambda i: 0 <= i < len(long) and (long[i].isalnum() or long[i] == "_")
@@ -147,16 +139,16 @@ def matching(pairs: DataFrame, by: str, tail: int = TAIL) -> DataFrame:
     pairs, at most tail of them, are matched in one pass. Each round is kept in the shared checkpoint folder.
     """
     order = F.struct(F.xxhash64(by, "l", "r"), "l", "r")
-    left = cut(pairs.select(F.xxhash64(by).alias("_k"), by, "l", "r", order.alias("_o")))
+    left = checkpointed(pairs.select(F.xxhash64(by).alias("_k"), by, "l", "r", order.alias("_o")))
     taken: list[DataFrame] = []
     while left.limit(tail + 1).count() > tail:
         first = lambda side: left.groupBy("_k", by, side).agg(F.min("_o").alias("_o")).select("_k", by, "_o")  # noqa: B023, E731
-        won = cut(first("l").intersect(first("r")).select("_k", by, F.col("_o.l").alias("l"), F.col("_o.r").alias("r")))
+        won = checkpointed(first("l").intersect(first("r")).select("_k", by, F.col("_o.l").alias("l"), F.col("_o.r").alias("r")))
         taken.append(won.select(by, "l", "r"))
         for side in ("l", "r"):
             gone = won.select("_k", F.col(by).alias("_by"), F.col(side).alias("_x"))
             left = left.join(gone, (left["_k"] == gone["_k"]) & left[by].eqNullSafe(gone["_by"]) & (left[side] == gone["_x"]), "left_anti")
-        left = cut(left)
+        left = checkpointed(left)
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         used: tuple[set, set] = (set(), set())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from notemill import schemas
+from notemill import config, schemas
 from notemill.functions import text
 from notemill.operators import cohort, contract, entities, profile, review, scoring
 from notemill.plans.base import documents, table
@@ -98,6 +100,17 @@ def stored_upsert(spark, d):
     return stored.read(spark, path).select("*", F.lit(again["written"]).alias("n_again"), F.lit(again["version"] - first["version"]).alias("n_versions"))
 
 
+def configured_sample(spark, d):
+    """Anchors, quotas by language and size, and a split, all as a settings file says."""
+    path = shared_folder(spark, "settings")
+    given = {"seed": 7, "validation_share": 0.25, "size_bins": {"short": 1000, "medium": 3000}, "quotas": {x: {"short": 8, "medium": 4, "long": 2} for x in ("en", "fr", "de", "es")}, "anchors": {str(i): "kept" for i in (3, 30, 133)}}
+    spark.createDataFrame([(json.dumps(given),)], "value string").coalesce(1).write.text(path)
+    settings = config.read(spark, path)
+    docs = documents(spark, d).select("doc_id", "lang", F.length("text").alias("size"))
+    order = [cohort.seeded(F.col("doc_id"), settings), F.col("doc_id")]
+    return cohort.configured(docs, settings, "lang", F.col("size"), order, "doc_id").select("doc_id", "lang", "bin", "anchor", "split")
+
+
 def batch_resume(spark, d):
     """A stage in parts; the second run finds them all done."""
     path = shared_folder(spark, "batches")
@@ -240,7 +253,7 @@ def audited_records(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, large_arrays, stored_upsert, batch_resume, text_corpus, page_files, note_files, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
+    for f in (csv_round_trip, csv_inferred, csv_as_parquet, ndjson_round_trip, event_log, record_array, large_arrays, stored_upsert, configured_sample, batch_resume, text_corpus, page_files, note_files, named_files, first_rows_by_key, smoke_sample, anchored_sample, vocabulary, dictionary_export, contains_word, type_guards, span_scores, scores_of_predicted, review_by_model, review_of_models, bulk_approved, review_export, audited_records)
 }
 
 _SPANS = lambda name, more: f"""{name}_t AS (SELECT item_id, pos, CASE WHEN t = 'the' THEN 'B-A' WHEN regexp_matches(t, '^[aeiou]') AND length(t) > {more} THEN 'I-A' WHEN regexp_matches(t, '^b') THEN 'B-B' ELSE 'O' END AS tag FROM tok),
@@ -261,6 +274,11 @@ ORACLE_SQL = {
     "record_array": "SELECT form, quality::VARCHAR AS codigo_cid, count(*) AS n, (6 * count(*))::BIGINT AS n_lists, (2 * count(*))::BIGINT AS n_items FROM labels, (VALUES ('array'), ('lines')) f(form) GROUP BY ALL",
     "large_arrays": """SELECT form, doc_id, CAST(quality AS VARCHAR) AS codigo_cid, CAST(0 AS INTEGER) AS n_last, md5(coalesce(text, '')) AS digest
         FROM labels JOIN documents USING (doc_id), (VALUES ('bare'), ('wrapped')) f(form)""",
+    "configured_sample": """
+        WITH b AS (SELECT doc_id, lang, CASE WHEN length(text) < 1000 THEN 'short' WHEN length(text) < 3000 THEN 'medium' ELSE 'long' END AS bin, md5('7:' || doc_id) AS o, doc_id IN (3, 30, 133) AS anchor FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, bin, anchor ORDER BY o, doc_id) AS k FROM b),
+        t AS (SELECT * FROM r WHERE anchor OR k <= CASE bin WHEN 'short' THEN 8 WHEN 'medium' THEN 4 ELSE 2 END)
+        SELECT doc_id, lang, bin, anchor, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY o, doc_id) <= greatest(1, floor(count(*) OVER (PARTITION BY lang) * 0.25)) THEN 'validation' ELSE 'train' END AS split FROM t""",
     "stored_upsert": """SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'Y' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, 0 AS n_again, 0 AS n_versions FROM orders
         UNION ALL SELECT -o_orderkey, 'N', NULL, 0, 0 FROM orders WHERE o_totalprice > 400000""",
     "batch_resume": "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders",

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "notemill", cores: int | str | None = None, **conf: str) -> SparkSession:
@@ -36,6 +36,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(given or 'file://' + tempfile.gettempdir()).rstrip('/')}/notemill-{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder that driver and executors share."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors unless their Python finds it already (PYTHONPATH or the working folder)."""
     root = Path(sys.modules["notemill"].__file__).resolve().parents[1]

@@ -458,6 +458,34 @@ def test_medians_without_gathering_a_group(spark, n):
     assert got == {k: pytest.approx(statistics.median([v for j, v in rows if j == k and v is not None])) for k in range(2)}
 
 
+def test_medians_of_values_far_apart_and_infinite(spark):
+    import statistics
+
+    groups = {1: [float("-inf")] * 3 + [float("inf")] * 4, 2: [10.0 ** (k - 300) for k in range(0, 600, 7)], 3: [5.0] * 5000 + [6.0] * 5000, 4: [float(i) for i in range(9999)] + [1e300]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, v double")
+    for parts in (1, 4096):
+        assert {r["k"]: r["median"] for r in profile.medians(df, "k", "v", parts=parts).collect()} == {k: statistics.median(v) for k, v in groups.items()}
+
+
+def test_neighbours_fill_as_bin_after_bin(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["x", "x", "y", None]), rng.choice(["s", "s", "m", "l", "other"])) for i in range(160)] + [(500 + i, "z", "l") for i in range(3)]
+    quota, near = {"s": 20, "m": 25, "l": 30}, {"s": ("m", "l"), "m": ("l", "s"), "l": ("m",)}
+    got = cohort.filled_from_neighbours(spark.createDataFrame(rows, "id int, c string, b string"), "c", "b", quota, near, [F.col("id")])
+    want = set()
+    for c in ("x", "y", "z", None):
+        used = set()
+        for target, n in quota.items():
+            preferred = [target, *near[target]]
+            free = sorted((preferred.index(b), i) for i, k, b in rows if k == c and b in preferred and i not in used)[:n]
+            used |= {i for _, i in free}
+            want |= {(c, target, i, r + 1) for r, (_, i) in enumerate(free)}
+    rank = {(r["c"], r["picked_for"], r["id"]): r["rank"] for r in got.collect()}
+    assert {k[:3] for k in want} == set(rank) and got.columns == ["id", "c", "b", "rank", "picked_for"]
+    for c, t in {k[:2] for k in want}:
+        assert sorted(rank[k] for k in rank if k[:2] == (c, t)) == sorted(k[3] for k in want if k[:2] == (c, t))
+
+
 def test_row_dicts_are_bounded(spark):
     df = spark.createDataFrame([(1, [2]), (2, None)], "a int, b array<int>")
     assert sorted(profile.row_dicts(df), key=lambda r: r["a"]) == [{"a": 1, "b": [2]}, {"a": 2, "b": None}]
@@ -465,7 +493,7 @@ def test_row_dicts_are_bounded(spark):
         profile.row_dicts(df, 1)
 
 
-def test_settings(tmp_path):
+def test_settings(spark, tmp_path):
     from notemill import config
 
     (tmp_path / "a.json").write_text('{"seed": 7, "quotas": {"x": {"short": 2}}}')
@@ -473,6 +501,7 @@ def test_settings(tmp_path):
     assert got.seed == 7 and got.quotas["x"]["short"] == 2 and got.validation_share == 0.1 and config.of(None) == config.Settings()
     with pytest.raises(ValueError, match="no such setting: sed"):
         config.of({"sed": 1})
+    assert config.read(spark, f"file://{tmp_path}/a.json") == got
     pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text("validation_share: 0.2\nanchors: {a1: x}\n")
     assert config.load(str(tmp_path / "a.yaml")).anchors == {"a1": "x"}
