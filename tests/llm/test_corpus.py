@@ -274,6 +274,26 @@ def test_toxicity_on_held_out_rows(labelled, empty):
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_chances_rise_and_fit_the_labels():
+    rng = np.random.default_rng(2)
+    sums = np.round(rng.normal(size=400) * 3, 1)
+    labels = (rng.random(400) < 1 / (1 + np.exp(-2 * sums))).astype(float)
+    curve = toxicity.chances(sums, labels)
+    at = np.unique(sums)
+    found = curve.of(at)
+    assert (np.diff(found) > 0).all() and 0 < found[0] and found[-1] < 1
+    assert abs(curve.of(sums).mean() - labels.mean()) < 0.03
+    # of all rising step functions none is nearer: no two neighbouring pools are out of order
+    level = {x: np.interp(x, curve.sums, curve.chances) for x in at}
+    pools = {}
+    for x, y in zip(sums, labels):
+        pools.setdefault(level[x], []).append(y)
+    means = [np.mean(v) for _, v in sorted(pools.items())]
+    assert all(a <= b for a, b in zip(means, means[1:]))
+    assert (toxicity.chances(np.empty(0), np.empty(0)).of(np.zeros(3)) == 0.5).all()
+    assert toxicity.chances(np.zeros(9), np.ones(9)).of(np.zeros(1))[0] > 0.9
+
+
 def test_ftrl_equals_the_update_rule():
     """Coordinate by coordinate, as the rule is written."""
     rng = np.random.default_rng(4)
