@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import ftrl, wordhash
-from notemill.llm.common import cut, map_texts
+from notemill.llm.common import BROADCAST_ROWS, cut, map_texts
 from notemill.llm.toxicity import _WORD
 
 _NOT_SPACE = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
@@ -224,8 +224,10 @@ def _guesses(keyed: DataFrame, model: Model, known: DataFrame) -> DataFrame:
             logits = _logits(batch, model, tables)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(logits[:, 0]), pa.array(logits[:, 1])], ["_id", "_key", "_view0", "_view1"])
 
-    all_rows = map_texts(keyed, guessed, f"_id {keyed.schema['_id'].dataType.simpleString()}, _key long, _view0 double, _view1 double")
-    return all_rows.join(known, "_id", "left_anti").drop("_id")
+    kind = f"_id {keyed.schema['_id'].dataType.simpleString()}, _key long, _view0 double, _view1 double"
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then the known rows need not be scored
+        return map_texts(keyed.join(F.broadcast(known), "_id", "left_anti"), guessed, kind).drop("_id")
+    return map_texts(keyed, guessed, kind).join(known, "_id", "left_anti").drop("_id")  # narrow rows shuffle, texts do not
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int = 4000, rounds: int = 3, passes: int = 3, exchange: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> tuple[Model, DataFrame]:
