@@ -75,7 +75,8 @@ def sections(text: Column, table: Mapping[str, tuple[str, Iterable[str]]]) -> Co
         if any(header[k:].startswith(t[: len(header) - k]) for k in range(1, len(header)) for t in tokens):
             raise ValueError(f"another header begins within {header!r}")
     starting = lambda with_: [t for t in tokens if any(t.startswith(w) for w in with_)]  # noqa: E731  the longest is what a cut is known by
-    begins = "(?i)(?=(" + "|".join(map(re.escape, tokens)) + "))"
+    letters = "".join(re.escape(c) for c in sorted({t[0] for t in tokens}))
+    begins = f"(?i)(?=[{letters}])(?=({'|'.join(map(re.escape, tokens))}))"  # most places fail at the first letter
     marked = F.concat(F.lit("\n"), text)  # a cut at the very beginning would be none
 
     def found(cut: Column, header: str, following: list[str]) -> Column:
