@@ -36,6 +36,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(given or 'file://' + tempfile.gettempdir()).rstrip('/')}/notemill-{name}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, file system) as Spark's driver sees them, for names and places of files; rows never pass here."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the checkpoint folder that driver and executors share."""
     context = df.sparkSession.sparkContext

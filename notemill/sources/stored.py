@@ -16,17 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.session import hadoop_path
+
 #: A manifest has one entry a bucket.
 MOST_BUCKETS = 100_000
 
 
-def _path(spark: SparkSession, path: str):
-    made = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def versions(spark: SparkSession, path: str) -> list[int]:
-    folder, fs = _path(spark, f"{path}/manifests")
+    folder, fs = hadoop_path(spark, f"{path}/manifests")
     if not fs.exists(folder):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
@@ -42,8 +39,8 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
 
 
 def _publish(spark: SparkSession, path: str, made: dict) -> None:
-    target, fs = _path(spark, f"{path}/manifests/{made['version']}.json")
-    temporary, _ = _path(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
+    target, fs = hadoop_path(spark, f"{path}/manifests/{made['version']}.json")
+    temporary, _ = hadoop_path(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
     out = fs.create(temporary)
     out.write(bytearray(json.dumps(made).encode()))
     out.close()
@@ -61,7 +58,7 @@ def _write(rows: DataFrame, path: str, version: int) -> set[int]:
     spark = rows.sparkSession
     target = f"{path}/data/v{version}"
     rows.withColumnRenamed("_bucket", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-    folder, fs = _path(spark, target)
+    folder, fs = hadoop_path(spark, target)
     return {int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("bucket=")}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions.text import escape_html
+from notemill.session import hadoop_path
 
 RAW = ("text", "texto")
 
@@ -75,12 +76,9 @@ def in_batches(df: DataFrame, path: str, stage: Callable[[DataFrame], DataFrame]
     """stage(df) appended in parts by hash of the key: a run that breaks off leaves whole parts, and a second run does the others."""
     spark = df.sparkSession
     part = F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")
-    try:
-        done = {r["part"] for r in spark.read.parquet(path).select("part").distinct().collect()}  # at most `batches` rows
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        done = set()
+    folder, fs = hadoop_path(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = {int(n.split("=")[1]) for n in names if n.startswith("part=")}
     for p in range(batches):
         if p not in done:
             _safe(stage(df.where(part == p)), allow_text).withColumn("part", F.lit(p)).write.mode("append").partitionBy("part").parquet(path)
