@@ -15,6 +15,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from notemill.llm.common import _stored, bounded_broadcast, cut, ensure_checkpoint_dir, map_texts, remove
 
 #: Distinct (source, term) that a task counts before it hands them on.
-HELD = 200_000
+HELD = 300_000
 #: Bytes of a term stand for themselves, A-Z for a-z, all others for a space.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -37,11 +38,15 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, source, t, n, held[t]) for (lang, source), (seen, held) in found.items() for t, n in seen.items()]
+            terms, n, docs = [], [], []
+            for seen, held in found.values():
+                terms += seen
+                n += seen.values()
+                docs += map(held.__getitem__, seen)
+            group = pa.array(np.repeat(np.arange(len(found)), np.array([len(seen) for seen, _ in found.values()], np.int64)))
+            names = [pa.array([key[k] for key in found], pa.string()).take(group) for k in range(2)]
             found.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            terms = pa.array(cols[2], pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), terms, pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            return pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for text, lang, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
