@@ -125,7 +125,8 @@ def text_corpus(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("title"), "url")
     made = writers.html_pages(rows, "title", ["url"])
     writers.parquet(made.select("page_id", "html"), path)
-    index = writers.index_page(made.select("title", F.concat("title", F.lit(".html")).alias("file")), "title", "file", "Pages").select(F.lit(-1).cast("long").alias("page_id"), F.md5(F.col("html").cast("binary")).alias("digest"))
+    pieces = writers.index_pieces(made.select("title", F.concat("title", F.lit(".html")).alias("file")), "title", "file", "Pages")
+    index = writers.digest(pieces).select(F.lit(-1).cast("long").alias("page_id"), "digest")
     return readers.parquet(spark, path).select("page_id", F.md5(F.col("html").cast("binary")).alias("digest")).unionByName(index)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -91,7 +92,7 @@ def html_pages(df: DataFrame, title: str, fields: Sequence[str]) -> DataFrame:
 
 
 def index_page(df: DataFrame, title: str, link: str, heading: str, rows: int = 100_000) -> DataFrame:
-    """One row, `html`: a page of links to at most `rows` pages, by title."""
+    """One row, `html`: a page of links to at most `rows` pages, by title; index_pieces() gives one of any length."""
     if df.limit(rows + 1).count() > rows:
         raise ValueError(f"more than {rows} pages: make an index for each part")
     item = F.concat(F.lit('<li><a href="'), escape_html(F.col(link).cast("string")), F.lit('">'), escape_html(F.col(title).cast("string")), F.lit("</a></li>"))
@@ -99,6 +100,44 @@ def index_page(df: DataFrame, title: str, link: str, heading: str, rows: int = 1
     return df.agg(F.concat(F.lit(f"<html><body><h1>{heading}</h1><ul>"), F.array_join(F.transform(items, lambda x: x["i"]), ""), F.lit("</ul></body></html>")).alias("html"))
 
 
+def index_pieces(df: DataFrame, title: str, link: str, heading: str, size: int = 1_000_000) -> DataFrame:
+    """(part, n, piece): the page that index_page() gives, however many pages it links, in pieces of some `size` characters.
+
+    Each range of titles is put together by a task of its own; the page is the pieces in order of part and n.
+    """
+    from pyspark import TaskContext
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n, held, many = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            for item in batch["item"]:
+                held.append(item)
+                many += len(item)
+                if many >= size:
+                    yield pd.DataFrame({"part": [part], "n": [n], "piece": ["".join(held)]})
+                    n, held, many = n + 1, [], 0
+        if held:
+            yield pd.DataFrame({"part": [part], "n": [n], "piece": ["".join(held)]})
+
+    item = F.concat(F.lit('<li><a href="'), escape_html(F.col(link).cast("string")), F.lit('">'), escape_html(F.col(title).cast("string")), F.lit("</a></li>"))
+    listed = df.select(F.col(title).cast("string").alias("t"), item.alias("item")).where("item is not null").orderBy("t", "item").select("item").mapInPandas(pieces, "part long, n long, piece string")
+    ends = [(-1, 0, f"<html><body><h1>{heading}</h1><ul>"), (2**62, 0, "</ul></body></html>")]
+    return listed.unionByName(df.sparkSession.createDataFrame(ends, listed.schema))
+
+
+def digest(pieces: DataFrame) -> DataFrame:
+    """One row, `digest`: md5 of pieces (part, n, piece) in their order. It needs all bytes in order, so one task reads them, a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = hashlib.md5(usedforsecurity=False)
+        for batch in batches:
+            for piece in batch["piece"]:
+                made.update(piece.encode())
+        yield pd.DataFrame({"digest": [made.hexdigest()]})
+
+    return pieces.repartition(1).sortWithinPartitions("part", "n").mapInPandas(run, "digest string")
+
+
 def stats(counts: DataFrame, path: str, seconds: float, records: int, key: str = "layer") -> None:
     """A JSON file of a run: seconds, records, and the counters and examples of each layer (key, n, examples)."""
     rows = F.array_sort(F.collect_list(F.struct(key, "n", "examples")))

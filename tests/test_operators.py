@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import re
@@ -505,3 +506,15 @@ def test_settings(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text("validation_share: 0.2\nanchors: {a1: x}\n")
     assert config.load(str(tmp_path / "a.yaml")).anchors == {"a1": "x"}
+
+
+def test_an_index_of_any_length_is_the_page_in_pieces(spark):
+    rows = spark.createDataFrame([(f"<{i % 700}>", f"{i}.html") for i in range(900)] + [(None, "x")], "t string, f string").repartition(5)
+    page = writers.index_page(rows.where("t is not null"), "t", "f", "All").first()["html"]
+    pieces = writers.index_pieces(rows, "t", "f", "All", size=2000)
+    got = sorted((r["part"], r["n"], r["piece"]) for r in pieces.collect())
+    assert "".join(p for _, _, p in got) == page and len(got) > 10 and max(len(p) for _, _, p in got) < 2100
+    assert writers.digest(pieces).first()["digest"] == hashlib.md5(page.encode()).hexdigest()
+    assert writers.digest(writers.index_pieces(rows.limit(0), "t", "f", "All")).first()["digest"] == hashlib.md5(b"<html><body><h1>All</h1><ul></ul></body></html>").hexdigest()
+    many = writers.index_pieces(spark.range(100_003).selectExpr("cast(id as string) t"), "t", "t", "All")  # index_page() refuses so many
+    assert many.agg(F.sum(F.length("piece"))).first()[0] == 47 + sum(len(f'<li><a href="{i}">{i}</a></li>') for i in range(100_003))
