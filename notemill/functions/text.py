@@ -30,7 +30,8 @@ _FROM, _TO = _fold_map()
 
 def fold(text: Column) -> Column:
     """Without accents and in lower case."""
-    return F.lower(F.translate(text, _FROM, _TO))
+    ascii = F.octet_length(text) == F.length(text)  # nothing to translate, which is the dear part
+    return F.lower(F.when(ascii, text).otherwise(F.translate(text, _FROM, _TO)))
 
 
 def strip(text: Column) -> Column:
@@ -44,7 +45,7 @@ def collapse(text: Column) -> Column:
 
 def key(text: Column) -> Column:
     """What two spellings of one entity share: folded, stripped, runs of white space as one space."""
-    return F.regexp_replace(fold(strip(text)), r"\s+", " ")
+    return F.when(text.rlike(r"\s"), F.regexp_replace(fold(strip(text)), r"\s+", " ")).otherwise(fold(text))
 
 
 def has(text: Column, pattern: str) -> Column:

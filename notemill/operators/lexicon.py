@@ -7,6 +7,7 @@ are spelt out as terms. Others keep their pattern. The automaton is built once a
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from re import _parser as parser
@@ -204,12 +205,55 @@ def substituted(text: str, machine: Automaton, phrases: list[str], table: Mappin
     return "".join([*parts, text[last:]])
 
 
+@functools.cache
+def _cases() -> dict[str, str]:
+    """The characters that lowered() makes into a character, for each that is not only its own."""
+    upper: dict[str, str] = {}
+    for c in map(chr, range(0x110000)):
+        if (low := c.lower()) != c and len(low) == 1:
+            upper[low] = upper.get(low, low) + c
+    return upper
+
+
+def _word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _pattern(phrase: str) -> str:
+    """A pattern of the built-in functions that matches where the automaton finds the phrase between word borders."""
+    letters = "".join(f"[{_cases()[c]}]" if c in _cases() else re.escape(c) for c in lowered(phrase))
+    ahead, behind = ("(?<!" if _word(phrase[0]) else "(?<="), ("(?!" if _word(phrase[-1]) else "(?=")
+    return rf"{ahead}[\p{{L}}\p{{N}}_]){letters}{behind}[\p{{L}}\p{{N}}_])"
+
+
+#: At most so many phrases are replaced by built-in functions, one after the other.
+FEW = 64
+
+
+def built_in(table: Mapping[str, str]) -> bool:
+    """Whether substitute() replaces the table's phrases without Python: they are few, one after the other gives the same,
+    and neither phrases nor what replaces them change where words end."""
+    found = {k: v for k, v in table.items() if k}
+    edges = all(v and _word(k[0]) == _word(v[0]) and _word(k[-1]) == _word(v[-1]) for k, v in found.items())
+    return 0 < len(found) <= FEW and edges and not feeding(found) and not any(c in "σς" for k in found for c in lowered(k))
+
+
+def _chained(text: Column, table: Mapping[str, str]) -> Column:
+    phrases = sorted((k for k in table if k), key=lambda k: -len(k))
+    out = text
+    for k in phrases:
+        out = F.regexp_replace(out, _pattern(k), table[k].replace("\\", "\\\\").replace("$", "\\$"))
+    return F.when(text.rlike("|".join(map(_pattern, phrases))), out).otherwise(text)  # most texts have none of them
+
+
 def substitute(text: Column, table: Mapping[str, str]) -> Column:
     """Whole phrases replaced in one pass, longest first, in any case; null stays null.
 
     The same as replacing one phrase after the other, longest first, as long as no replacement helps to make a phrase
     (feeding() lists those that do): here a replacement is never replaced again.
     """
+    if built_in(table):
+        return _chained(text, table)
     phrases = [k for k in table if k]
     lists = {"": [Term(k, True, True) for k in phrases]}
 
