@@ -19,7 +19,8 @@ def _issues(df: DataFrame, check: str, detail: Column) -> DataFrame:
 
 def repeated_keys(entities: DataFrame) -> DataFrame:
     """A key more than once in a record, in whatever categories: one issue a key."""
-    many = with_key(entities).groupBy("record_id", "key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("detail")).where("n > 1")
+    each = with_key(entities).groupBy("record_id", "key", "category").agg(F.count("*").alias("n"))
+    many = each.groupBy("record_id", "key").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("category")), ",").alias("detail")).where("n > 1")
     return many.select("record_id", F.lit("repeated_key").alias("check"), F.lit(None).cast("string").alias("category"), F.col("key").alias("entity"), "detail")
 
 
@@ -60,12 +61,13 @@ def synonyms(entities: DataFrame, groups: Sequence[Sequence[str]], check: str =
 CHECKS = ("repeated_key", "negative_test", "pending_test", "symptom_as_disease", "imaging_as_disease", "synonyms", "language", "vital_as_lab")
 
 
-def marked(entities: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+def marked(entities: DataFrame, contexts: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Entities, dealt out by record once, with `issues`: those of the eight checks, with their default lexicons.
 
     A test with a leaking result is there a second time under the name before its marker, so that the windows over
     (record, key) show whether an entity of a target category has that name; such rows have no entity of their own
     (real is false). An issue of several rows stands at the first of them. contexts: one row (record_id, context) a record.
+    dealt: the entities are dealt out by record already.
     """
     disease, _, _, lab, _, organism = lexicons.CATEGORIES
     c = {k: F.col(k) for k in ("category", "entity", "key", "real", "probe")}
@@ -74,7 +76,8 @@ def marked(entities: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     probe = lambda marker, check: F.when((c["category"] == lab) & text.has(c["key"], marker), F.struct(text.before_marker(c["key"], marker).alias("key"), F.lit(check).alias("probe")))
     own = F.struct(c["key"], F.lit(None).cast("string").alias("probe"))
     probes = F.filter(F.array(probe(lexicons.CHECK_NEGATIVE, "negative_test"), probe(lexicons.CHECK_PENDING, "pending_test")), lambda p: p.isNotNull() & (p["key"] != ""))
-    rows = rows.select("record_id", "category", "pos", "entity", F.inline(F.concat(F.array(own), probes))).withColumn("real", c["probe"].isNull()).repartition("record_id")
+    rows = rows.select("record_id", "category", "pos", "entity", F.inline(F.concat(F.array(own), probes))).withColumn("real", c["probe"].isNull())
+    rows = rows if dealt else rows.repartition("record_id")
 
     said = F.lit(False)
     if contexts is not None:
@@ -105,17 +108,17 @@ def marked(entities: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     return rows.select("record_id", "category", "pos", "entity", "real", F.concat("_plain", F.array_compact(F.array(*leaked, *several))).alias("issues"))
 
 
-def all_checks(entities: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+def all_checks(entities: DataFrame, contexts: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """The eight checks with their default lexicons: one issue a row."""
-    return marked(entities, contexts).select("record_id", F.inline("issues"))
+    return marked(entities, contexts, dealt).select("record_id", F.inline("issues"))
 
 
-def report(entities: DataFrame, contexts: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+def report(entities: DataFrame, contexts: DataFrame | None = None, records: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """A row a record: how many entities and issues it has, how many of each check, and the issues in order.
 
     records (record_id): those that are to be in the report although they may have no entity.
     """
-    rows = marked(entities, contexts)
+    rows = marked(entities, contexts, dealt)
     order = F.array_sort(F.flatten(F.collect_list("issues")))
     found = rows.groupBy("record_id").agg(F.count_if("real").alias("n_entities"), order.alias("issues"))
     if records is not None:
@@ -130,10 +133,10 @@ def _of(check: str):
     return lambda issue: issue["check"] == check
 
 
-def summed(entities: DataFrame, terms: Sequence[str], term_check: str, category: str, groups: Sequence[Sequence[str]]) -> DataFrame:
+def summed(entities: DataFrame, terms: Sequence[str], term_check: str, category: str, groups: Sequence[Sequence[str]], dealt: bool = False) -> DataFrame:
     """summary() of repeated_keys(), listed() and synonyms(), in one pass: rows are dealt out by record once and marked there."""
     table = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for k in g for x in (k, i)])
-    keyed = by_record(entities).withColumn("_g", F.try_element_at(table, F.col("key")))
+    keyed = by_record(entities, dealt).withColumn("_g", F.try_element_at(table, F.col("key")))
     key, group = Window.partitionBy("record_id", "key"), Window.partitionBy("record_id", "category", "_g")
     numbered = keyed.withColumns({"_kn": F.row_number().over(key.orderBy("category", "pos")), "_gk": F.dense_rank().over(group.orderBy("key")), "_gn": F.row_number().over(group.orderBy("key"))})
     repeated, many = F.col("_kn") == 2, F.col("_g").isNotNull() & (F.col("_gk") == 2)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from notemill.functions import lexicons, text
 from notemill.operators import lexicon
 from notemill.operators.cohort import bounded_broadcast, first_rows
+from notemill.session import checkpointed
 
 LONG = ("record_id", "category", "pos", "entity")
 DISEASE, SYMPTOM, _, LAB, _, _ = lexicons.CATEGORIES
@@ -42,9 +43,12 @@ def with_key(entities: DataFrame) -> DataFrame:
     return entities if "key" in entities.columns else entities.withColumn("key", text.key(F.col("entity")))
 
 
-def by_record(entities: DataFrame) -> DataFrame:
-    """Keyed rows dealt out by record: all windows and groups of the steps hold the record, so this shuffle serves them all."""
-    return with_key(entities).repartition("record_id")
+def by_record(entities: DataFrame, dealt: bool = False) -> DataFrame:
+    """Keyed rows dealt out by record: all windows and groups of the steps hold the record, so this shuffle serves them all.
+
+    dealt: they are so already, as where records were dealt out before their lists became rows.
+    """
+    return with_key(entities) if dealt else with_key(entities).repartition("record_id")
 
 
 def _within(keyed: DataFrame) -> DataFrame:
@@ -105,15 +109,21 @@ def canonical_table(spark, names: Mapping[str, str] = lexicons.CANONICAL) -> Dat
     return spark.createDataFrame(list(names.items()), "key string, name string")
 
 
-def clean(entities: DataFrame, table: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A) -> DataFrame:
+def clean(entities: DataFrame, table: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A, dealt: bool = False) -> DataFrame:
     """Repeats, precedence, canonical names, on one shuffle: stable from its second application on."""
-    return _within(_named(_best(_within(by_record(entities)), order), table)).select(*LONG)
+    return _within(_named(_best(_within(by_record(entities, dealt)), order), table)).select(*LONG)
+
+
+def after_exclusive(entities: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A) -> DataFrame:
+    """Keyed rows with after: whether exclusive() keeps the row."""
+    best = F.min("_rank").over(Window.partitionBy("record_id", "key"))
+    return with_key(entities).withColumn("_rank", _rank(order)).withColumn("after", F.col("_rank") == best).drop("_rank")
 
 
-def after_steps(entities: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A) -> DataFrame:
+def after_steps(entities: DataFrame, order: Sequence[str] = lexicons.PRECEDENCE_A, dealt: bool = False) -> DataFrame:
     """Keyed rows, dealt out by record, with after: whether the first two steps of clean() keep the row."""
     first = F.row_number().over(Window.partitionBy("record_id", "category", "key").orderBy("pos")) == 1
-    marked = by_record(entities).withColumn("_first", first).withColumn("_rank", F.when(F.col("_first"), _rank(order)))
+    marked = by_record(entities, dealt).withColumn("_first", first).withColumn("_rank", F.when(F.col("_first"), _rank(order)))
     best = F.min("_rank").over(Window.partitionBy("record_id", "key"))
     return marked.withColumn("after", F.col("_first") & (F.col("_rank") == best)).drop("_first", "_rank")
 
@@ -140,23 +150,25 @@ def substituted(entities: DataFrame, table: Mapping[str, str] = lexicons.TRANSLA
     return entities.drop("key").withColumn("entity", lexicon.substitute(F.col("entity"), table))
 
 
-def _with_phrases(entities: DataFrame, table: Mapping[str, str]) -> DataFrame:
+def _with_phrases(entities: DataFrame, table: Mapping[str, str], dealt: bool = False) -> DataFrame:
     """Keyed rows dealt out by record, with _by: the entity with its phrases replaced, null where nothing is. Found before the
     shuffle, as what runs in Python would undo the dealing out."""
     by = lexicon.substitute(F.col("entity"), table)
-    return with_key(entities).withColumn("_by", F.nullif(by, F.col("entity"))).repartition("record_id")
+    rows = with_key(entities).withColumn("_by", F.nullif(by, F.col("entity")))
+    return rows if dealt and lexicon.built_in(table) else rows.repartition("record_id")
 
 
 def _replaced(rows: DataFrame) -> DataFrame:
-    return with_key(rows.withColumn("entity", F.coalesce("_by", "entity")).drop("_by", "key"))
+    key = F.when(F.col("_by").isNull(), F.col("key")).otherwise(text.key(F.col("_by")))
+    return rows.withColumns({"entity": F.coalesce("_by", "entity"), "key": key}).drop("_by")
 
 
-def layered(entities: DataFrame, moves: tuple[str, str, str] | None = None, drops: tuple[str, str] | None = None, table: Mapping[str, str] = lexicons.TRANSLATIONS, order: Sequence[str] = lexicons.PRECEDENCE_B, stop: Sequence[str] = lexicons.STOP_TERMS) -> DataFrame:
+def layered(entities: DataFrame, moves: tuple[str, str, str] | None = None, drops: tuple[str, str] | None = None, table: Mapping[str, str] = lexicons.TRANSLATIONS, order: Sequence[str] = lexicons.PRECEDENCE_B, stop: Sequence[str] = lexicons.STOP_TERMS, dealt: bool = False) -> DataFrame:
     """The five layers in their order, on one shuffle: imaging findings, vital signs, language, repeats across and within categories.
 
     moves: pattern, source and target of the first layer; drops: pattern and category of the second.
     """
-    moved = _moved(_with_phrases(entities, table), *(moves or (imaging_pattern(), DISEASE, SYMPTOM)))
+    moved = _moved(_with_phrases(entities, table, dealt), *(moves or (imaging_pattern(), DISEASE, SYMPTOM)))
     left = moved.where(~_matching(*(drops or (lexicons.VITALS, LAB))))
     return _within(_placed(_replaced(left), order, stop).where("not gone")).select(*LONG)
 
@@ -172,19 +184,25 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.groupBy("record_id", "category").agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("n_changes"))
 
 
+def removals(marked: DataFrame) -> DataFrame:
+    """changes() between all rows and those with `after`, in one pass: entities of a record and category of which no row stays."""
+    items = marked.groupBy("record_id", "category", F.lower(text.strip(F.col("entity"))).alias("item")).agg(F.bool_or("after").alias("after"))
+    return items.groupBy("record_id", "category").agg(F.count_if(~F.col("after")).alias("n_changes"))
+
+
 def key_variants(record: Mapping[str, Sequence[Column]]) -> dict[str, Column]:
     """For each name the first of its older or foreign keys that is there; lists become lines."""
     return {name: F.coalesce(*options, F.lit("")) for name, options in record.items()}
 
 
-def layer_marks(entities: DataFrame) -> DataFrame:
+def layer_marks(entities: DataFrame, dealt: bool = False) -> DataFrame:
     """One row for each entity that a layer touches: (layer, record_id, category, pos, entity), all on one shuffle.
 
     imaging: moved; vitals: dropped; language: replaced; across, within: removed as repeats. Rows that a layer removes
     stay as dead ones, which the windows of later layers put last.
     """
     moves = (F.col("category") == DISEASE) & F.col("key").rlike(imaging_pattern())
-    rows = _with_phrases(entities, lexicons.TRANSLATIONS).withColumns({"_moves": moves, "_old": F.struct("category", "pos", "entity"), "category": F.when(moves, SYMPTOM).otherwise(F.col("category"))})
+    rows = _with_phrases(entities, lexicons.TRANSLATIONS, dealt).withColumns({"_moves": moves, "_old": F.struct("category", "pos", "entity"), "category": F.when(moves, SYMPTOM).otherwise(F.col("category"))})
     number = lambda by, *order: F.row_number().over(Window.partitionBy("record_id", *by).orderBy(*order))
     rows = rows.withColumn("_live", ~F.col("_moves") | (number(["category", "key"], "_moves", "pos") == 1))
     rows = rows.withColumn("pos", F.when(F.col("category") == SYMPTOM, number(["category"], F.desc("_live"), "_moves", "pos") - 1).otherwise(F.col("pos")))
@@ -205,9 +223,17 @@ def layer_marks(entities: DataFrame) -> DataFrame:
     return rows.select("record_id", F.inline(F.array_compact(F.array(*touched))))
 
 
-def layer_counts(entities: DataFrame, examples: int = 5) -> DataFrame:
-    """(layer, n, examples): how many entities each of the five layers touches, with the first few, by record, category and place."""
-    rows = layer_marks(entities)
-    counts = rows.groupBy("layer").agg(F.count("*").alias("n"))
+def layer_counts(entities: DataFrame, examples: int = 5, dealt: bool = False) -> DataFrame:
+    """(layer, n, examples): how many entities each of the five layers touches, with the first few, by record, category and place.
+
+    Rows are counted by record, once; the examples are of the first few records of each layer, whose rows are made again.
+    """
+    by = checkpointed(layer_marks(entities, dealt).groupBy("layer", "record_id").agg(F.count("*").alias("n")))
+    counts = by.groupBy("layer").agg(F.sum("n").alias("n"))
+    few = by.withColumn("_r", F.row_number().over(Window.partitionBy("layer").orderBy("record_id"))).where(F.col("_r") <= examples)
+    few = checkpointed(few.select(F.col("layer").alias("_layer"), F.col("record_id").alias("_id")))  # 5 x examples rows at most
+    ids = F.broadcast(few.select("_id").distinct())
+    rows = layer_marks(entities.join(ids, F.col("record_id").eqNullSafe(F.col("_id")), "left_semi"), dealt)
+    rows = rows.join(F.broadcast(few), (F.col("layer") == F.col("_layer")) & F.col("record_id").eqNullSafe(F.col("_id")), "left_semi")
     shown = first_rows(rows, ["layer"], [F.col("record_id"), F.col("category"), F.col("pos")], F.lit(examples)).groupBy("layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda x: x["entity"]).alias("examples"))
     return counts.join(shown, "layer", "left")

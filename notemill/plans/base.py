@@ -25,6 +25,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: So many documents a partition where their words become rows: what a task sorts then stays the same however many there are.
+DEALT = 1024
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents dealt out by id before their words become rows, which windows and groups by record then need not shuffle."""
+    return docs.repartition(max(1, -(-docs.count() // DEALT)), "doc_id")
+
+
 def flag_columns(body: Column) -> dict[str, Column]:
     return text.flags(text.fold(body), FLAGS)
 
@@ -59,4 +68,9 @@ def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_entities(documents(spark, sf_dir))
 
 
-__all__ = ["CATEGORIES", "FLAGS", "NEGATORS", "TERMS", "WORDS_SQL", "documents", "entities", "entity_table", "flag_columns", "flag_sql", "table", "word_entities", "words"]
+def dealt_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table, dealt out by record."""
+    return word_entities(dealt(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+__all__ = ["CATEGORIES", "FLAGS", "NEGATORS", "TERMS", "WORDS_SQL", "dealt", "dealt_entities", "documents", "entities", "entity_table", "flag_columns", "flag_sql", "table", "word_entities", "words"]

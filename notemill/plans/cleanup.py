@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text
 from notemill.operators import checks, entities
-from notemill.plans.base import CATEGORIES, WORDS_SQL, documents, entity_table, table
+from notemill.plans.base import CATEGORIES, WORDS_SQL, dealt_entities, documents, entity_table, table
 
 ORDER_A, ORDER_B = ("c3", "c2", "c4", "c1"), ("c2", "c1", "c4", "c3")
 STOP = ("the", "de", "die")
@@ -20,27 +20,27 @@ def entities_long(spark, d):
 
 
 def dedup_intra(spark, d):
-    return entities.dedup_within(entity_table(spark, d))
+    return entities.dedup_within(dealt_entities(spark, d))
 
 
 def mutual_exclusive(spark, d):
-    return entities.exclusive(entity_table(spark, d), ORDER_A)
+    return entities.exclusive(dealt_entities(spark, d), ORDER_A)
 
 
 def cross_dedup(spark, d):
-    return entities.dedup_across(entity_table(spark, d), ORDER_B, STOP)
+    return entities.dedup_across(dealt_entities(spark, d), ORDER_B, STOP)
 
 
 def canonical_map(spark, d):
-    return entities.canonical(entity_table(spark, d), entities.canonical_table(spark, NAMES))
+    return entities.canonical(dealt_entities(spark, d), entities.canonical_table(spark, NAMES))
 
 
 def cleanup_steps(spark, d):
-    return entities.clean(entity_table(spark, d), entities.canonical_table(spark, NAMES), ORDER_A)
+    return entities.clean(dealt_entities(spark, d), entities.canonical_table(spark, NAMES), ORDER_A, dealt=True)
 
 
 def recategorise(spark, d):
-    return entities.recategorise(entity_table(spark, d), MOVES, "c1", "c4")
+    return entities.recategorise(dealt_entities(spark, d), MOVES, "c1", "c4")
 
 
 def drop_class(spark, d):
@@ -57,8 +57,8 @@ def phrase_subst(spark, d):
 
 
 def cleanup_layers(spark, d):
-    plain = _plain(entity_table(spark, d))
-    return entities.totals(entities.layered(plain, (MOVES, "c1", "c4"), (DROPS, "c3"), PHRASES, ORDER_B, STOP))
+    plain = _plain(dealt_entities(spark, d))
+    return entities.totals(entities.layered(plain, (MOVES, "c1", "c4"), (DROPS, "c3"), PHRASES, ORDER_B, STOP, dealt=True))
 
 
 def entity_totals(spark, d):
@@ -66,17 +66,16 @@ def entity_totals(spark, d):
 
 
 def change_count(spark, d):
-    before = entity_table(spark, d)
-    return entities.changes(before, entities.exclusive(before, ORDER_A)).where("n_changes > 0")
+    return entities.removals(entities.after_exclusive(dealt_entities(spark, d), ORDER_A)).where("n_changes > 0")
 
 
 def regrouped_lists(spark, d):
-    lists = entities.regrouped(entities.dedup_within(entity_table(spark, d)), CATEGORIES)
+    lists = entities.regrouped(entities.dedup_within(dealt_entities(spark, d)), CATEGORIES)
     return lists.select("record_id", *[F.size(c).alias(f"n_{c}") for c in CATEGORIES], *[F.md5(F.array_join(c, "|").cast("binary")).alias(c) for c in CATEGORIES])
 
 
 def qc_repeated_keys(spark, d):
-    return checks.repeated_keys(entity_table(spark, d))
+    return checks.repeated_keys(dealt_entities(spark, d))
 
 
 def _titled(spark, d):
@@ -103,7 +102,7 @@ def qc_containing(spark, d):
 
 
 def qc_synonyms(spark, d):
-    return checks.synonyms(entity_table(spark, d), (("the", "this", "that"), ("und", "der", "die"), ("le", "la", "les")))
+    return checks.synonyms(dealt_entities(spark, d), (("the", "this", "that"), ("und", "der", "die"), ("le", "la", "les")))
 
 
 def qc_language(spark, d):
@@ -111,11 +110,11 @@ def qc_language(spark, d):
 
 
 def qc_summary(spark, d):
-    return checks.summed(entity_table(spark, d), ("the", "of"), "symptom_as_disease", "c3", (("the", "this"),))
+    return checks.summed(dealt_entities(spark, d), ("the", "of"), "symptom_as_disease", "c3", (("the", "this"),), dealt=True)
 
 
 def before_after(spark, d):
-    return checks.before_and_after(entities.after_steps(entity_table(spark, d), ORDER_A), ("the", "of"), "symptom_as_disease", "c3")
+    return checks.before_and_after(entities.after_steps(dealt_entities(spark, d), ORDER_A, dealt=True), ("the", "of"), "symptom_as_disease", "c3")
 
 
 def key_variant_coalesce(spark, d):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import lexicons, text
 from notemill.operators import checks, cohort, entities, features, lexicon
-from notemill.plans.base import documents, table
+from notemill.plans.base import dealt, documents, table
 
 TEXT = object()
 #: Literal parts, the document's text, and choices (factor, options): the option at id x factor modulo their number.
@@ -135,7 +135,8 @@ def clinical_entities(spark, d):
     """Each document's capitalised words as its entities, long: half of them, by length, letter and place, stand for a term of POOL."""
     terms = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(e).alias("entity")) for c, e in POOL])
     own = F.array(*[F.lit(c) for c in lexicons.CATEGORIES])
-    each = documents(spark, d).select(F.col("doc_id").alias("record_id"), F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("pos", "word"))
+    docs = dealt(documents(spark, d).select("doc_id", "text"))
+    each = docs.select(F.col("doc_id").alias("record_id"), F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("pos", "word"))
     at = (F.length("word") * 31 + F.ascii("word") * 7 + F.col("pos")) % (2 * len(POOL))
     term = F.get(terms, at)
     category = F.coalesce(term["category"], F.get(own, at % len(lexicons.CATEGORIES)))
@@ -147,12 +148,12 @@ def _contexts(spark, d):
 
 
 def qc_eight_checks(spark, d):
-    return checks.all_checks(clinical_entities(spark, d), _contexts(spark, d)).distinct()
+    return checks.all_checks(clinical_entities(spark, d), _contexts(spark, d), dealt=True).distinct()
 
 
 def qc_runner(spark, d):
     """Issues and records by check, over all eight."""
-    return checks.summary(checks.all_checks(clinical_entities(spark, d), _contexts(spark, d)))
+    return checks.summary(checks.all_checks(clinical_entities(spark, d), _contexts(spark, d), dealt=True))
 
 
 def note_sentences(spark, d):
@@ -166,23 +167,23 @@ def note_sentences(spark, d):
 def qc_report(spark, d):
     """A report for each document: its entities, its issues by check, and the issues themselves."""
     ids = documents(spark, d).select(F.col("doc_id").alias("record_id"))
-    made = checks.report(clinical_entities(spark, d), _contexts(spark, d), ids)
+    made = checks.report(clinical_entities(spark, d), _contexts(spark, d), ids, dealt=True)
     line = lambda i: F.concat_ws("|", i["check"], F.coalesce(i["category"], F.lit("-")), F.coalesce(i["entity"], F.lit("-")), i["detail"])
     listed = F.array_join(F.array_sort(F.transform("issues", line)), ";")
     return made.select("record_id", "n_entities", "n_issues", *[F.element_at("by_check", k).cast("long").alias(f"n_{k}") for k in checks.CHECKS], F.md5(listed.cast("binary")).alias("issues"))
 
 
 def clinical_layers(spark, d):
-    return entities.layered(clinical_entities(spark, d))
+    return entities.layered(clinical_entities(spark, d), dealt=True)
 
 
 def clinical_steps(spark, d):
-    return entities.clean(clinical_entities(spark, d), entities.canonical_table(spark))
+    return entities.clean(clinical_entities(spark, d), entities.canonical_table(spark), dealt=True)
 
 
 def layer_stats(spark, d):
     """What each of the five layers touches, with five examples."""
-    counted = entities.layer_counts(clinical_entities(spark, d))
+    counted = entities.layer_counts(clinical_entities(spark, d), dealt=True)
     return counted.select("layer", "n", F.array_join("examples", "; ").alias("examples"))
 
 
