@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from re import _parser as parser
 from typing import NamedTuple
@@ -149,6 +150,27 @@ def _automaton(lists: dict) -> Automaton:
     return _built[key][1]
 
 
+#: Hits of so many texts are held at once: they can be far larger than the texts.
+AT_ONCE = 256
+
+
+def _listed(machine: Automaton, texts: pa.Array) -> pa.Array:
+    """The hits of each text, in flat arrays and never as an object a hit; null where the text is null."""
+    names, starts, ends, borders, gone = array("i"), array("i"), array("i"), array("i", [0]), []
+    for text in texts:
+        said = text.as_py()
+        for i, a, b in machine.hits(said) if said is not None else ():
+            names.append(i)
+            starts.append(a)
+            ends.append(b)
+        borders.append(len(starts))
+        gone.append(said is None)
+    ints = lambda x: pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)])
+    named = pa.array(machine.names, pa.string()).take(ints(names)) if machine.names else pa.array([], pa.string())
+    rows = pa.StructArray.from_arrays([named, ints(starts), ints(ends)], ["name", "start", "end"])
+    return pa.ListArray.from_arrays(ints(borders), rows, mask=pa.array(gone, pa.bool_()))
+
+
 def hits(df: DataFrame, text_col: str, lists: Mapping[str, Iterable[Term | str]], name: str = "hits") -> DataFrame:
     """df with an array of (name, start, end) of the terms in its text, in any case; null where the text is null.
 
@@ -162,12 +184,11 @@ def hits(df: DataFrame, text_col: str, lists: Mapping[str, Iterable[Term | str]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(shared.value)
-        kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            found = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                found.append(None if text is None else [{"name": machine.names[i], "start": a, "end": b} for i, a, b in machine.hits(text)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                found = _listed(machine, batch.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], name])
 
     if name in df.columns:
         raise ValueError(f"there is a column {name!r} already")
