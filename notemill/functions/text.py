@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,10 +29,14 @@ def _fold_map() -> tuple[str, str]:
 _FROM, _TO = _fold_map()
 
 
+def _ascii(text: Column) -> Column:
+    """Whether all characters are ASCII: then there are no accents, and the dear Unicode classes of patterns are the plain ones."""
+    return F.octet_length(text) == F.length(text)
+
+
 def fold(text: Column) -> Column:
     """Without accents and in lower case."""
-    ascii = F.octet_length(text) == F.length(text)  # nothing to translate, which is the dear part
-    return F.lower(F.when(ascii, text).otherwise(F.translate(text, _FROM, _TO)))
+    return F.lower(F.when(_ascii(text), text).otherwise(F.translate(text, _FROM, _TO)))
 
 
 def strip(text: Column) -> Column:
@@ -48,13 +53,47 @@ def key(text: Column) -> Column:
     return F.when(text.rlike(r"\s"), F.regexp_replace(fold(strip(text)), r"\s+", " ")).otherwise(fold(text))
 
 
+def _firsts(items: Iterable) -> set[str] | None:
+    """The characters with which a match of a parsed pattern can begin, if they are listed ASCII ones."""
+    for kind, value in items:
+        name = str(kind)
+        if name == "AT" and str(value) == "AT_BOUNDARY":
+            continue
+        if name == "LITERAL":
+            found = {chr(value)}
+        elif name == "IN" and all(str(k) == "LITERAL" for k, _ in value):
+            found = {chr(v) for _, v in value}
+        elif name == "BRANCH":
+            parts = [_firsts(x) for x in value[1]]
+            found = set().union(*parts) if all(parts) else set()
+        elif name == "SUBPATTERN":
+            found = _firsts(value[3]) or set()
+        elif name == "MAX_REPEAT" and value[0] > 0:
+            found = _firsts(value[2]) or set()
+        else:
+            return None
+        return found if found and all(c.isascii() for c in found) else None
+    return None
+
+
+def _eager(pattern: str) -> str:
+    """The pattern for ASCII texts in any case; most places fail at the first letter where that can be listed."""
+    try:
+        found = _firsts(parser.parse(pattern))
+    except re.error:  # what only Spark's patterns know
+        found = None
+    ahead = "".join(re.escape(c) for c in sorted({x for c in found for x in (c.lower(), c.upper())})) if found else ""
+    return f"(?i)(?=[{ahead}])(?:{pattern})" if ahead else f"(?i){pattern}"
+
+
 def has(text: Column, pattern: str) -> Column:
     """Whether the pattern occurs, in any case, with letters of all scripts as word characters. Null stays null."""
-    return text.rlike(f"(?iU){pattern}")
+    return F.when(_ascii(text), text.rlike(_eager(pattern))).otherwise(text.rlike(f"(?iU){pattern}"))
 
 
 def count(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(f"(?iU){pattern}")), F.lit(0))
+    counted = lambda made: F.regexp_count(text, F.lit(made))
+    return F.coalesce(F.when(_ascii(text), counted(_eager(pattern))).otherwise(counted(f"(?iU){pattern}")), F.lit(0))
 
 
 def section(text: Column, header: str, following: Iterable[str]) -> Column:

@@ -58,11 +58,13 @@ def _pick(factor: int, options: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.col("doc_id") * factor, F.lit(len(options))) + 1).cast("int"))
 
 
-def notes(spark, d):
-    """(doc_id, target, note), in letters that both engines' word boundaries know."""
+def notes(spark, d, even=False):
+    """(doc_id, target, note), in letters that both engines' word boundaries know. even: documents are dealt out for work
+    that takes far longer than a shuffle, as files may have fewer row groups than there are cores."""
     course = F.replace(text.fold(F.coalesce("text", F.lit(""))), F.lit("ß"), F.lit("ss"))
     parts = [course if p is TEXT else F.lit(p) if isinstance(p, str) else _pick(*p) for p in TEMPLATE]
-    return documents(spark, d).select("doc_id", _pick(1, TARGETS).alias("target"), F.concat(*parts).alias("note"))
+    docs = documents(spark, d).select("doc_id", "text")
+    return (dealt(docs) if even else docs).select("doc_id", _pick(1, TARGETS).alias("target"), F.concat(*parts).alias("note"))
 
 
 def cut_notes(spark, d):
@@ -124,7 +126,7 @@ def target_coverage(spark, d):
 
 
 def note_complexity(spark, d):
-    return notes(spark, d).select("doc_id", F.length("note").alias("size"), features.complexity(F.col("note")).alias("score"))
+    return notes(spark, d, even=True).select("doc_id", F.length("note").alias("size"), features.complexity(F.col("note")).alias("score"))
 
 
 POOL = tuple((c, e) for lists in LISTS for c, items in lists for e in items)

@@ -74,3 +74,34 @@ def test_keys_of_ascii_and_other_texts(spark):
     rows = spark.createDataFrame([(x,) for x in ("Abc", " É \t x\n", "a  b", "ÀÉÎ", "éX", "", None, " A", "日本 X")], "x string")
     long = F.regexp_replace(F.lower(F.translate(text.strip(F.col("x")), text._FROM, text._TO)), r"\s+", " ")
     assert all(r[0] for r in rows.select(text.key(F.col("x")).eqNullSafe(long)).collect())
+
+
+def test_patterns_of_ascii_texts_find_the_same(spark):
+    rng = random.Random(8)
+    patterns = [*lexicons.COMPLEXITY.values(), *lexicons.SYMPTOMS.values(), *base.FLAGS.values(), "a|b c", r"x*a\b", "[^a]b", "(a|)b", r"(?s)k.s", "é|s"]
+    bits = ["negative", "Ruled out", "q12h", "sputum for\nculture", "sputum culture", "a", "b", "x", "K", "ſ", "é", "É", "_", "-", "\n", "no growth", "RASH", "1234", "k", "s", "!!", "art regimen"]
+    rows = [("".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 10))),) for _ in range(400)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "x string")
+    x = F.col("x")
+    same = [text.has(x, p).eqNullSafe(x.rlike(f"(?iU){p}")) & (text.count(x, p) == F.coalesce(F.regexp_count(x, F.lit(f"(?iU){p}")), F.lit(0))) for p in patterns]
+    assert all(all(r) for r in df.select(*[c.alias(f"c{i}") for i, c in enumerate(same)]).collect())
+    assert text._eager(r"\b(ab|[cd])\b").startswith("(?i)(?=[ACDacd])") and text._eager("x*a") == "(?i)x*a"
+
+
+def test_hits_are_never_objects_of_their_own(spark, monkeypatch):
+    """All hits of a batch of texts as dictionaries took gigabytes; flat arrays of some texts at a time do not."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    machine = lexicon.Automaton({"w": [lexicon.Term("a", True, True)], "none": []})
+    texts = pa.array(["a " * 20_000, None, "", "b"])
+    tracemalloc.start()
+    got = lexicon._listed(machine, pa.concat_arrays([texts] * 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.is_null().to_pylist() == [False, True, False, False] * 10 and got[0].as_py()[1] == {"name": "w", "start": 2, "end": 3}
+    assert [len(h) for h in got[:4].to_pylist() if h is not None] == [20_000, 0, 0] and peak < 20_000_000  # some 90 MB as dictionaries
+    monkeypatch.setattr(lexicon, "AT_ONCE", 2)
+    found = lexicon.hits(spark.createDataFrame([(i, "a" * (i % 2)) for i in range(7)], "i long, x string").coalesce(1), "x", {"w": ["a"]})
+    assert [(r["i"], len(r["hits"])) for r in found.collect()] == [(i, i % 2) for i in range(7)]
