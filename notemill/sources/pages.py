@@ -26,8 +26,8 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if path.startswith("file:") else path)
 
 
-def _put(path: str, name: str, content: str) -> None:
-    system, folder = _file_system(path)
+def _put(path: str, name: str, content: str, at: tuple | None = None) -> None:
+    system, folder = at or _file_system(path)
     with system.open_output_stream(f"{folder}/{name}") as out:
         out.write(content.encode())
 
@@ -51,11 +51,11 @@ class PageWriter(DataSourceWriter):
     def write(self, rows: Iterator[Row]) -> Part:
         from pyspark import TaskContext
 
-        items = []
+        items, at = [], _file_system(self.path)  # looked up once a task
         for r in rows:
             if not r["name"] or not _NAME.fullmatch(r["name"]) or r["name"].startswith(("index", "_", ".")):
                 raise ValueError(f"{r['name']!r} can't be a page's file name")
-            _put(self.path, r["name"], r["content"] or "")
+            _put(self.path, r["name"], r["content"] or "", at)
             items.append((r["name"], r["title"] if r["title"] is not None else r["name"]))
         name = f"index-{TaskContext.get().partitionId():06d}.html"
         if items:

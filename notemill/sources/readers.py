@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +54,15 @@ def ndjson(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFr
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of whole files; Spark leaves out empty ones."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    """(name, text) of whole files; Spark leaves out empty ones.
+
+    A pattern in the last part of the path chooses names of one listing of the folder. As a pattern of paths each file
+    would be a path of its own, to be looked up and listed again.
+    """
+    folder, _, name = path.rpartition("/")
+    one = folder and re.search(r"[*?\[{]", name) and not re.search(r"[*?\[{]", folder)
+    read = spark.read.option("pathGlobFilter", name).text(folder, wholetext=True) if one else spark.read.text(path, wholetext=True)
+    return read.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
 def named_parts(files: DataFrame, pattern: str = r"^[a-z]+_(.+)_([A-Z0-9.]+)_(\d+)\.txt$", parts: tuple[str, ...] = ("target", "code", "id"), default: str = "unknown") -> DataFrame:

@@ -35,3 +35,13 @@ def test_no_rows_and_a_folder_that_is_there(spark, tmp_path):
     assert "0 pages" in (tmp_path / "out/index.html").read_text()
     with pytest.raises(ValueError, match="already"):
         pages.write(rows.withColumn("n", F.lit(1)), f"{tmp_path}/out", "f", "f", "c")
+
+
+def test_many_files_are_one_listing(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p[{i}].{'txt' if i % 3 else 'csv'}", str(i)) for i in range(60)], "f string, c string")
+    pages.write(rows, f"{tmp_path}/out", "f", "f", "c")
+    read = readers.text_files(spark, f"{tmp_path}/out/*.txt")
+    assert sorted(r["text"] for r in read.collect()) == sorted(str(i) for i in range(60) if i % 3)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryFileIndex(1 paths)" in plan  # each of the 40 files was a path, which Spark looks up in jobs of their own
+    assert [r["name"] for r in readers.text_files(spark, f"{tmp_path}/o*/index.html").collect()] == ["index.html"]
