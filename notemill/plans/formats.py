@@ -14,6 +14,8 @@ from notemill.session import shared_folder
 from notemill.sources import pages, readers, stored, writers
 
 MODELS = ("m1", "m2", "m3")
+#: Files of a folder, which one task lists and reads.
+PER_FOLDER = 1000
 
 
 def _orders(spark, d):
@@ -135,10 +137,10 @@ def page_files(spark, d):
     path = shared_folder(spark, "pages")
     rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("title"), "url")
     made = writers.html_pages(rows, "title", ["url"]).withColumn("file", F.concat("title", F.lit(".html")))
-    pages.write(made, path, "file", "title", "html", instructions="Open a page to review it.", pages_per_part=100)
+    pages.write(made, path, "file", "title", "html", instructions="Open a page to review it.", pages_per_part=100, per_folder=PER_FOLDER)
     number = F.regexp_extract("name", r"^page_(\d+)\.html$", 1)
-    files = readers.text_files(spark, f"{path}/page_*.html").select(number.cast("long").alias("page_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
-    links = readers.text_files(spark, f"{path}/index-*.html").select(F.explode(F.regexp_extract_all("text", F.lit(r'href="page_(\d+)\.html"'), F.lit(1))).alias("page_id"))
+    files = pages.read(spark, path).select(number.cast("long").alias("page_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    links = pages.read(spark, path, index=True).select(F.explode(F.regexp_extract_all("text", F.lit(r'href="[^"/]+/page_(\d+)\.html"'), F.lit(1))).alias("page_id"))
     counted = links.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.count("*").alias("n_links"))
     return files.join(counted, "page_id", "left").select("page_id", "digest", "n_links")
 
@@ -147,8 +149,8 @@ def note_files(spark, d):
     """Documents as text files whose names say what they are, read again with their names taken apart; empty files are not read."""
     path = shared_folder(spark, "notes")
     name = F.concat(F.lit("note_"), F.col("lang"), F.lit("_A"), (F.col("doc_id") % 90).cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    pages.write(documents(spark, d).select(name.alias("name"), "text"), path, "name", "name", "text")
-    read = readers.named_parts(readers.text_files(spark, f"{path}/*.txt"))
+    pages.write(documents(spark, d).select(name.alias("name"), "text"), path, "name", "name", "text", per_folder=PER_FOLDER)
+    read = readers.named_parts(pages.read(spark, path))
     return read.select(F.col("id").cast("long").alias("doc_id"), F.col("target").alias("lang"), "code", F.length("text").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
